@@ -1,3 +1,7 @@
 """Named queries.  Importing this package registers all of them."""
 
-from churnscope.plans.catalog import segment_queries  # noqa: F401
+from churnscope.plans.catalog import (  # noqa: F401
+    quality_queries,
+    segment_queries,
+    table_queries,
+)
