@@ -136,13 +136,26 @@ UPSELL_PREMIUM = "Premium plan upgrade"
 # Industry churn benchmark (percent) used by the gap query and the chart line.
 BENCHMARK_CHURN_PCT = 7.0
 
-# Retention program portfolio (USD): program, target, cost, ARR low, ARR high.
+# Retention program portfolio (USD): program, target segment, cost, ARR
+# recovered low and high.  Target sizes are counted from the data.
 PROGRAMS = [
-    ("Contract conversion", "Month-to-month", 45000.0, 280000.0, 560000.0),
-    ("Auto-pay migration", "Electronic check", 8000.0, 95000.0, 190000.0),
-    ("Fiber tech support bundle", "Fiber without tech support", 60000.0, 150000.0, 300000.0),
-    ("Onboarding program", "New customers", 120000.0, 200000.0, 400000.0),
+    ("M2M → Annual contract campaign", "M2M customers", 45000.0, 280000.0, 560000.0),
+    ("Auto-pay migration campaign", "electronic check customers", 8000.0, 95000.0, 190000.0),
+    ("Structured onboarding (0–90 day)", "All new customers", 60000.0, 150000.0, 300000.0),
+    ("At-Risk CSM outreach program", "highest-risk active accounts", 120000.0, 200000.0, 400000.0),
 ]
+PROGRAM_TOTAL = "Total"
+
+# Contract-migration offer: minimum tenure, priority above this charge, discounts.
+MIGRATION_MIN_TENURE = 3
+MIGRATION_PRIORITY_CHARGE = 65
+MIGRATION_DISCOUNTS = [0.10, 0.15]
+# Outreach export: score below this, books of at most this many accounts.
+OUTREACH_MAX_SCORE = 40
+OUTREACH_BOOK_SIZE = 80
+# Onboarding list: tenure at most this many months, fewer than this many services.
+ONBOARDING_MAX_TENURE = 3
+ONBOARDING_MAX_SERVICES = 2
 
 # Features correlated with churn, in the notebook's order.
 CORR_FEATURES = [

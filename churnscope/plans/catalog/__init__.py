@@ -1,6 +1,7 @@
 """Named queries.  Importing this package registers all of them."""
 
 from churnscope.plans.catalog import (  # noqa: F401
+    business_queries,
     quality_queries,
     segment_queries,
     table_queries,
