@@ -4,5 +4,6 @@ from churnscope.plans.catalog import (  # noqa: F401
     business_queries,
     quality_queries,
     segment_queries,
+    stats_queries,
     table_queries,
 )
