@@ -105,7 +105,8 @@ def mann_whitney(df: DataFrame, value: str, group: Column) -> DataFrame:
     var = n1 * n2 / 12.0 * ((n + 1.0) - ratio(F.col("tie"), n * (n - 1.0)))
     sigma = F.when(var > 0, F.sqrt(var))
     z = ratio(F.greatest(u1, u2) - mu - 0.5, sigma)
-    p = F.when(z.isNotNull(), F.least(erfc(z / math.sqrt(2.0)) * 2.0, F.lit(1.0)))
+    # Two-sided p = 2 * (1 - Phi(z)) = erfc(z / sqrt(2)).
+    p = F.when(z.isNotNull(), F.least(erfc(z / math.sqrt(2.0)), F.lit(1.0)))
     out = s.select(
         n1.cast("bigint").alias("n1"),
         n2.cast("bigint").alias("n2"),

@@ -42,7 +42,7 @@ def _mw_sql(value: str, group_cond: str, frame: str) -> str:
         "SELECT n1, n2, u1, (GREATEST(u1, u2) - mu - 0.5) / NULLIF(CASE WHEN var > 0 THEN sqrt(var) END, 0) AS z "
         f"FROM ({u}) u"
     )
-    p_expr = f"CASE WHEN z IS NOT NULL THEN LEAST({stats.erfc_sql(f'z / {SQRT2}')} * 2.0, 1.0) END"
+    p_expr = f"CASE WHEN z IS NOT NULL THEN LEAST({stats.erfc_sql(f'z / {SQRT2}')}, 1.0) END"
     ok = "n1 > 0 AND n2 > 0"
     return (
         "SELECT n1, n2, u_statistic, z_score, p_value, p_value < 0.05 AS significant, "
