@@ -30,13 +30,14 @@ from churnscope.functions.schemas import (
     TYPED_BOOLEANS,
 )
 
-# Leading, then trailing, whitespace of any kind (tabs too, not just spaces).
-_LEADING_WS = r"^\s+"
-_TRAILING_WS = r"\s+$"
+# Whitespace stripped from both ends: space, tab, newline, vertical tab,
+# form feed, carriage return (tabs too, not just spaces).  A character-set
+# trim, not a regular expression: one pass over each end of the value.
+WHITESPACE = " \t\n\x0b\x0c\r"
 
 
 def strip_ws(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, _LEADING_WS, ""), _TRAILING_WS, "")
+    return F.trim(c, F.lit(WHITESPACE))
 
 
 def standardize_columns(raw: DataFrame) -> DataFrame:

@@ -73,9 +73,20 @@ def contract_points(c: Column) -> Column:
     return _map(c, CONTRACT_POINTS)
 
 
-def add_tenure_features(df: DataFrame) -> DataFrame:
+def global_scalars(df: DataFrame) -> DataFrame:
+    """The two global scalars of the feature pipeline, in ONE aggregate:
+    maximum tenure and the exact 75th percentile of monthly charges (6 dp).
+    Subqueries over this same plan are merged and run once."""
+    return df.agg(
+        F.max("tenure").alias("max_tenure"),
+        round_to(F.percentile(F.col("monthly_charges").cast("double"), 0.75), 6).alias("p75"),
+    )
+
+
+def add_tenure_features(df: DataFrame, scalars: DataFrame | None = None) -> DataFrame:
     """FE01-FE03."""
-    max_tenure = df.select(F.max("tenure")).scalar()
+    scalars = scalars if scalars is not None else global_scalars(df)
+    max_tenure = scalars.select("max_tenure").scalar()
     return df.withColumns(
         {
             "tenure_bucket": _band(F.col("tenure"), TENURE_BANDS, TENURE_LABELS_PY),
@@ -103,11 +114,12 @@ def add_service_features(df: DataFrame) -> DataFrame:
     ).withColumn("service_depth", depth)
 
 
-def add_billing_features(df: DataFrame) -> DataFrame:
+def add_billing_features(df: DataFrame, scalars: DataFrame | None = None) -> DataFrame:
     """FE08-FE12.  The high-spender cut is the exact 75th percentile
     (linear interpolation), rounded to 6 places so that an interpolation
     rounding error can never flip ``>=`` for a value equal to it."""
-    p75 = df.select(round_to(F.percentile(F.col("monthly_charges"), 0.75), 6)).scalar()
+    scalars = scalars if scalars is not None else global_scalars(df)
+    p75 = scalars.select("p75").scalar()
     monthly = F.col("monthly_charges")
     tenure = F.col("tenure")
     expected = monthly * F.greatest(tenure, F.lit(1))
@@ -167,10 +179,11 @@ def compute_health_score(df: DataFrame) -> DataFrame:
 
 def engineer_features(clean_df: DataFrame) -> DataFrame:
     """FE23: the whole feature pipeline on the cleaned frame (44 columns)."""
+    scalars = global_scalars(clean_df)
     return (
-        clean_df.transform(add_tenure_features)
+        clean_df.transform(add_tenure_features, scalars)
         .transform(add_service_features)
-        .transform(add_billing_features)
+        .transform(add_billing_features, scalars)
         .transform(encode_boolean_cols)
         .transform(compute_health_score)
     )

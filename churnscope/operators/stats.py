@@ -19,8 +19,8 @@ neither Spark nor SQL engines provide; ``erfc`` below is the published
 Chebyshev fit (fractional error below 1.2e-7) written as a column
 expression, so everything stays in the JVM.
 
-Correlations use ``covar_samp / (stddev_samp * stddev_samp)`` with a
-NULL-safe division: a constant column yields NULL instead of failing the
+Correlations are sums of centred products over one aggregation (see
+``pearson_pairs``); a constant column yields NULL instead of failing the
 job (ANSI mode raises on division by zero).
 """
 
@@ -122,33 +122,57 @@ def mann_whitney(df: DataFrame, value: str, group: Column) -> DataFrame:
     )
 
 
-def pearson(x: str, y: str) -> Column:
-    """Sample Pearson r; NULL when either column is constant (or < 2 rows)."""
-    den = F.stddev_samp(F.col(x).cast("double")) * F.stddev_samp(F.col(y).cast("double"))
-    return F.try_divide(F.covar_samp(F.col(x).cast("double"), F.col(y).cast("double")), den)
+def pearson_table(df: DataFrame, pairs: list[tuple[str, str]]) -> tuple[DataFrame, dict[tuple[str, str], Column]]:
+    """Sample Pearson r for many column pairs from ONE aggregation.
+
+    The aggregate holds ``covar_samp`` for every needed pair and
+    ``var_samp``, min and max for every column (Spark's streaming,
+    numerically stable moment updates, merged across partitions); r is then
+    column arithmetic on that single row:
+    r = cov_ab / sqrt(var_a * var_b), NULL when a column is constant
+    (min = max) instead of a division by zero.
+    Returns the one-row frame and the r expression per pair."""
+    cols = sorted({c for pair in pairs for c in pair})
+    idx = {c: i for i, c in enumerate(cols)}
+
+    def x(c: str) -> Column:
+        return F.col(c).cast("double")
+
+    keyed = sorted({tuple(sorted((idx[a], idx[b]))) for a, b in pairs})
+    aggs = [F.covar_samp(x(cols[i]), x(cols[j])).alias(f"c{i}_{j}") for i, j in keyed]
+    aggs += [F.var_samp(x(c)).alias(f"v{idx[c]}") for c in cols]
+    aggs += [(F.min(c) == F.max(c)).alias(f"k{idx[c]}") for c in cols]
+    one = df.agg(*aggs)
+    out = {}
+    for a, b in pairs:
+        i, j = sorted((idx[a], idx[b]))
+        r = F.try_divide(F.col(f"c{i}_{j}"), F.sqrt(F.col(f"v{i}") * F.col(f"v{j}")))
+        constant = F.coalesce(F.col(f"k{i}") | F.col(f"k{j}"), F.lit(True))
+        out[(a, b)] = F.when(~constant, r)
+    return one, out
 
 
 def corr_with(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     """ST02: r of each column with ``target`` (6 places), with direction,
     from one aggregation; long rows ordered by r ascending."""
     present = [c for c in cols if c in df.columns]
-    wide = df.agg(*[round_to(pearson(c, target), 6).alias(f"r{i}") for i, c in enumerate(present)])
+    one, r = pearson_table(df, [(c, target) for c in present])
     rows = [
-        F.struct(F.lit(c).alias("feature"), F.col(f"r{i}").alias("pearson_r")) for i, c in enumerate(present)
+        F.struct(F.lit(c).alias("feature"), round_to(r[(c, target)], 6).alias("pearson_r")) for c in present
     ]
-    long = wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    long = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     direction = F.when(F.col("pearson_r") < 0, "negative").when(F.col("pearson_r") >= 0, "positive")
     return long.withColumn("direction", direction).orderBy(F.col("pearson_r").asc_nulls_last(), "feature")
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """ST03: lower triangle (a after b in ``cols``) of the correlation matrix
-    as long rows (feature_a, feature_b, r), all pairs in one aggregation."""
+    as long rows (feature_a, feature_b, r), all pairs from one aggregation."""
     present = [c for c in cols if c in df.columns]
     pairs = [(a, b) for i, a in enumerate(present) for b in present[:i]]
-    wide = df.agg(*[round_to(pearson(a, b), 6).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
+    one, r = pearson_table(df, pairs)
     rows = [
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"p{k}").alias("pearson_r"))
-        for k, (a, b) in enumerate(pairs)
+        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), round_to(r[(a, b)], 6).alias("pearson_r"))
+        for a, b in pairs
     ]
-    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

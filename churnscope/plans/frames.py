@@ -23,11 +23,14 @@ from churnscope.operators.features import engineer_features
 from churnscope.operators.scoring import build_scores, score_accounts
 from churnscope.sources.accounts import raw_accounts
 
-_MATERIALISED: dict[tuple[int, str], str] = {}
+_MATERIALISED: dict[tuple[str, str], str] = {}
+# Lazy plans (not data) already built for a session and folder: building a
+# plan runs Spark's analyzer, which costs far more than reusing the object.
+_PLANS: dict[tuple[str, str, str | None, str], DataFrame] = {}
 
 
-def _key(spark: SparkSession, sf_dir: str) -> tuple[int, str]:
-    return (id(spark), sf_dir.rstrip("/"))
+def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
 
 
 def register_accounts_table(spark: SparkSession, sf_dir: str, path: str) -> None:
@@ -38,37 +41,49 @@ def forget_accounts_table(spark: SparkSession, sf_dir: str) -> None:
     _MATERIALISED.pop(_key(spark, sf_dir), None)
 
 
+def _memo(fr: "Frames", name: str, build) -> DataFrame:
+    key = (*_key(fr.spark, fr.sf_dir), _MATERIALISED.get(_key(fr.spark, fr.sf_dir)), name)
+    df = _PLANS.get(key)
+    if df is None:
+        df = build()
+        _PLANS[key] = df
+    return df
+
+
 @dataclass
 class Frames:
     spark: SparkSession
     sf_dir: str
 
-    @property
-    def raw(self) -> DataFrame:
+    def _raw(self) -> DataFrame:
         path = _MATERIALISED.get(_key(self.spark, self.sf_dir))
         if path:
             return self.spark.read.schema(RAW_SCHEMA).parquet(path)
         return raw_accounts(self.spark, self.sf_dir)
 
+    @property
+    def raw(self) -> DataFrame:
+        return _memo(self, "raw", self._raw)
+
     @property
     def acct(self) -> DataFrame:
         """Typed accounts table (SQL semantics)."""
-        return build_accounts(self.raw)
+        return _memo(self, "acct", lambda: build_accounts(self.raw))
 
     @property
     def clean(self) -> DataFrame:
         """Cleaned analysis frame (notebook semantics)."""
-        return clean(self.raw)
+        return _memo(self, "clean", lambda: clean(self.raw))
 
     @property
     def feat(self) -> DataFrame:
         """Feature frame: cleaned frame plus 22 features."""
-        return engineer_features(self.clean)
+        return _memo(self, "feat", lambda: engineer_features(self.clean))
 
     @property
     def scored(self) -> DataFrame:
         """Scores and tiers without the quintile columns."""
-        return score_accounts(self.acct)
+        return _memo(self, "scored", lambda: score_accounts(self.acct))
 
     def scored_full(self) -> DataFrame:
         """The full scored table with the three quintile columns."""
