@@ -58,7 +58,8 @@ def add_health_score_sql(acct: DataFrame) -> DataFrame:
     s = F.col("_scaled")
     return with_pts.withColumns(
         {
-            "health_score": F.least(s, F.lit(100.0)).cast("int"),
+            # least() skips NULL, so guard: unknown points stay NULL, not 100.
+            "health_score": F.when(s.isNotNull(), F.least(s, F.lit(100.0))).cast("int"),
             "health_tier": F.when(s.isNull(), F.lit(None).cast("string"))
             .when(s >= 70, TIER_HEALTHY)
             .when(s >= 40, TIER_NEEDS)
