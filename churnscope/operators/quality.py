@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from churnscope.functions.numeric import count_if, mean, money_mean, pct, round_to
+from churnscope.operators.cleaning import strip_ws
 
 
 def _rows(one_row: DataFrame, structs: list[Column]) -> DataFrame:
@@ -28,7 +29,7 @@ def profile(df: DataFrame) -> DataFrame:
     for i, f in enumerate(fields):
         aggs.append(count_if(F.col(f.name).isNull()).alias(f"_n{i}"))
         if isinstance(f.dataType, StringType):
-            blank = F.regexp_replace(F.col(f.name), r"\s", "") == ""
+            blank = strip_ws(F.col(f.name)) == ""
             aggs.append(count_if(blank).alias(f"_b{i}"))
     wide = df.agg(*aggs)
     structs = []

@@ -19,8 +19,8 @@ neither Spark nor SQL engines provide; ``erfc`` below is the published
 Chebyshev fit (fractional error below 1.2e-7) written as a column
 expression, so everything stays in the JVM.
 
-Correlations are sums of centred products over one aggregation (see
-``pearson_pairs``); a constant column yields NULL instead of failing the
+Correlations: one grouped aggregation over (pair, x, y) entries (see
+``pearson_long``); a constant column yields NULL instead of failing the
 job (ANSI mode raises on division by zero).
 """
 
@@ -122,57 +122,55 @@ def mann_whitney(df: DataFrame, value: str, group: Column) -> DataFrame:
     )
 
 
-def pearson_table(df: DataFrame, pairs: list[tuple[str, str]]) -> tuple[DataFrame, dict[tuple[str, str], Column]]:
-    """Sample Pearson r for many column pairs from ONE aggregation.
-
-    The aggregate holds ``covar_samp`` for every needed pair and
-    ``var_samp``, min and max for every column (Spark's streaming,
-    numerically stable moment updates, merged across partitions); r is then
-    column arithmetic on that single row:
-    r = cov_ab / sqrt(var_a * var_b), NULL when a column is constant
-    (min = max) instead of a division by zero.
-    Returns the one-row frame and the r expression per pair."""
-    cols = sorted({c for pair in pairs for c in pair})
-    idx = {c: i for i, c in enumerate(cols)}
-
-    def x(c: str) -> Column:
-        return F.col(c).cast("double")
-
-    keyed = sorted({tuple(sorted((idx[a], idx[b]))) for a, b in pairs})
-    aggs = [F.covar_samp(x(cols[i]), x(cols[j])).alias(f"c{i}_{j}") for i, j in keyed]
-    aggs += [F.var_samp(x(c)).alias(f"v{idx[c]}") for c in cols]
-    aggs += [(F.min(c) == F.max(c)).alias(f"k{idx[c]}") for c in cols]
-    one = df.agg(*aggs)
-    out = {}
-    for a, b in pairs:
-        i, j = sorted((idx[a], idx[b]))
-        r = F.try_divide(F.col(f"c{i}_{j}"), F.sqrt(F.col(f"v{i}") * F.col(f"v{j}")))
-        constant = F.coalesce(F.col(f"k{i}") | F.col(f"k{j}"), F.lit(True))
-        out[(a, b)] = F.when(~constant, r)
-    return one, out
+def pearson_long(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Sample Pearson r per column pair: rows (a, b, r).
+
+    Each row emits one (pair, x, y) entry per pair (a fixed fan-out), and
+    one grouped aggregation with partial aggregation computes, per pair,
+    ``covar_samp`` and ``var_samp`` of both sides (streaming, numerically
+    stable moment updates) plus min/max to detect a constant column.  The
+    shuffle carries one row per pair and task.  Observations are
+    pairwise-complete (a row counts for a pair only when both values are
+    present).  r = cov / sqrt(var_a * var_b); NULL for a constant column
+    instead of a division by zero."""
+    entries = []
+    for k, (a, b) in enumerate(pairs):
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        both = x.isNotNull() & y.isNotNull()
+        entries.append(F.struct(F.lit(k).alias("p"), F.when(both, x).alias("x"), F.when(both, y).alias("y")))
+    long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    agg = long.groupBy("p").agg(
+        F.covar_samp("x", "y").alias("cov"),
+        F.var_samp("x").alias("vx"),
+        F.var_samp("y").alias("vy"),
+        ((F.min("x") == F.max("x")) | (F.min("y") == F.max("y"))).alias("constant"),
+    )
+    r = F.try_divide(F.col("cov"), F.sqrt(F.col("vx") * F.col("vy")))
+    label_a = F.element_at(F.array(*[F.lit(a) for a, _ in pairs]), F.col("p") + 1)
+    label_b = F.element_at(F.array(*[F.lit(b) for _, b in pairs]), F.col("p") + 1)
+    return agg.select(
+        label_a.alias("a"),
+        label_b.alias("b"),
+        round_to(F.when(~F.coalesce(F.col("constant"), F.lit(True)), r), 6).alias("r"),
+    )
 
 
 def corr_with(df: DataFrame, cols: list[str], target: str) -> DataFrame:
-    """ST02: r of each column with ``target`` (6 places), with direction,
-    from one aggregation; long rows ordered by r ascending."""
+    """ST02: r of each column with ``target`` (6 places) and its direction,
+    ordered by r ascending."""
     present = [c for c in cols if c in df.columns]
-    one, r = pearson_table(df, [(c, target) for c in present])
-    rows = [
-        F.struct(F.lit(c).alias("feature"), round_to(r[(c, target)], 6).alias("pearson_r")) for c in present
-    ]
-    long = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    long = pearson_long(df, [(c, target) for c in present]).select(
+        F.col("a").alias("feature"), F.col("r").alias("pearson_r")
+    )
     direction = F.when(F.col("pearson_r") < 0, "negative").when(F.col("pearson_r") >= 0, "positive")
     return long.withColumn("direction", direction).orderBy(F.col("pearson_r").asc_nulls_last(), "feature")
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """ST03: lower triangle (a after b in ``cols``) of the correlation matrix
-    as long rows (feature_a, feature_b, r), all pairs from one aggregation."""
+    as long rows (feature_a, feature_b, r)."""
     present = [c for c in cols if c in df.columns]
     pairs = [(a, b) for i, a in enumerate(present) for b in present[:i]]
-    one, r = pearson_table(df, pairs)
-    rows = [
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), round_to(r[(a, b)], 6).alias("pearson_r"))
-        for a, b in pairs
-    ]
-    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return pearson_long(df, pairs).select(
+        F.col("a").alias("feature_a"), F.col("b").alias("feature_b"), F.col("r").alias("pearson_r")
+    )

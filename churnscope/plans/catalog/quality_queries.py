@@ -12,6 +12,7 @@ from churnscope.functions.numeric import (
 )
 from churnscope.functions.schemas import RAW_SCHEMA, TYPED_BOOLEANS, SERVICE_COLS
 from churnscope.operators import quality
+from churnscope.plans.oracle_base import _WS_SQL
 from churnscope.plans.registry import query
 
 
@@ -21,7 +22,7 @@ def _profile_sql() -> str:
     for i, f in enumerate(RAW_SCHEMA.fields):
         is_str = f.dataType.simpleString() == "string"
         blank = (
-            count_if_sql(f"regexp_replace({f.name}, '\\s', '', 'g') = ''")
+            count_if_sql(f"trim({f.name}, {_WS_SQL}) = ''")
             if is_str
             else "CAST(NULL AS BIGINT)"
         )

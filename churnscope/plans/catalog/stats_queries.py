@@ -69,7 +69,9 @@ def mannwhitney_health_score(fr):
 
 
 def _pearson_sql(a: str, b: str) -> str:
-    x, y = f"CAST({a} AS DOUBLE)", f"CAST({b} AS DOUBLE)"
+    # Pairwise-complete observations: both values present.
+    both = f"{a} IS NOT NULL AND {b} IS NOT NULL"
+    x, y = f"CASE WHEN {both} THEN CAST({a} AS DOUBLE) END", f"CASE WHEN {both} THEN CAST({b} AS DOUBLE) END"
     return round_to_sql(
         f"COVAR_SAMP({x}, {y}) / NULLIF(STDDEV_SAMP({x}) * STDDEV_SAMP({y}), 0)", 6
     )
