@@ -86,8 +86,11 @@ class Frames:
         return _memo(self, "scored", lambda: score_accounts(self.acct))
 
     def scored_full(self) -> DataFrame:
-        """The full scored table with the three quintile columns."""
-        return build_scores(self.acct)
+        """The full scored table with the three quintile columns.
+
+        Built once per session and folder (its three global ranks are
+        checkpointed), then reused, as the scored table is a stored table."""
+        return _memo(self, "scored_full", lambda: build_scores(self.acct))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
