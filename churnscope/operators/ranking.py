@@ -116,3 +116,42 @@ def top_n_per_group(
     """
     w = Window.partitionBy(*keys).orderBy(*_order_key_columns(order))
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
+
+
+def prefix_sums(
+    df: DataFrame,
+    order_col: str,
+    weights: list[str],
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """Add ``<w>_before`` = sum of ``w`` over rows with a smaller ``order_col``
+    (unique per row, e.g. a histogram's value), for each weight column.
+
+    Distributed like ``global_rank``: range partitions by the key (their ids
+    fixed by a reliable checkpoint), running sums within each partition (a
+    window per partition), and per-partition totals turned into offsets from
+    a table with one row per partition, broadcast to the rows.  No step
+    gathers the rows into one task, however many distinct keys there are.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parted = (
+        df.repartitionByRange(n, F.col(order_col))
+        .withColumn("_ps_pid", F.spark_partition_id())
+        .checkpoint(eager=True)
+    )
+    within = Window.partitionBy("_ps_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    totals = parted.groupBy("_ps_pid").agg(*[F.sum(w).alias(f"_ps_t_{w}") for w in weights])
+    before_parts = Window.orderBy("_ps_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        "_ps_pid",
+        *[F.coalesce(F.sum(f"_ps_t_{w}").over(before_parts), F.lit(0)).alias(f"_ps_o_{w}") for w in weights],
+    )
+    out = parted.withColumns(
+        {f"{w}_before_in_part": F.coalesce(F.sum(w).over(within), F.lit(0)) for w in weights}
+    ).join(F.broadcast(offsets), "_ps_pid", "inner")
+    return out.select(
+        *df.columns,
+        *[(F.col(f"{w}_before_in_part") + F.col(f"_ps_o_{w}")).alias(f"{w}_before") for w in weights],
+    )

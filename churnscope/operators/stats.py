@@ -11,8 +11,10 @@ libraries) is computed from a value histogram, never from pairs:
 3. one aggregation over the histogram gives the rank sum, group sizes and
    the tie term; U, z and p are column arithmetic on that single row.
 
-Step 2 is a window over the histogram (one row per distinct value), which
-is bounded by the value domain (e.g. 73 tenure months), not by the rows.
+Step 2 is a distributed prefix sum over the histogram (``prefix_sums``:
+range partitions, per-partition running sums, per-partition offsets), so
+even a continuous column with billions of distinct values never meets in
+one task.
 
 The two-sided p-value needs the complementary error function, which
 neither Spark nor SQL engines provide; ``erfc`` below is the published
@@ -28,10 +30,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.functions.numeric import ratio, round_to
+from churnscope.operators.ranking import prefix_sums
 
 # --------------------------------------------------------------------------
 # FIXED VALUES: coefficients of the Chebyshev fit of erfc (published, Press
@@ -86,11 +89,10 @@ def mann_whitney(df: DataFrame, value: str, group: Column) -> DataFrame:
     """One row: n1, n2, U (of the first group), z, two-sided p, significance
     at 0.05, and U / (n1 n2) (the AUC of ``value`` for the first group).
     Empty groups or all-equal values give NULL z and p."""
-    hist = value_histogram(df, value, group)
-    before = F.coalesce(
-        F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    hist = prefix_sums(value_histogram(df, value, group), "v", ["c"])
+    ranked = hist.withColumn(
+        "avg_rank", F.col("c_before").cast("double") + (F.col("c").cast("double") + 1.0) / 2.0
     )
-    ranked = hist.withColumn("avg_rank", before.cast("double") + (F.col("c").cast("double") + 1.0) / 2.0)
     s = ranked.agg(
         F.sum(F.col("n1").cast("double") * F.col("avg_rank")).alias("r1"),
         F.sum("n1").cast("double").alias("n1"),

@@ -21,6 +21,7 @@ from churnscope.functions.schemas import RAW_SCHEMA
 from churnscope.operators.cleaning import build_accounts, clean
 from churnscope.operators.features import engineer_features
 from churnscope.operators.scoring import build_scores, score_accounts
+from churnscope.session import session_key
 from churnscope.sources.accounts import raw_accounts
 
 _MATERIALISED: dict[tuple[str, str], str] = {}
@@ -30,7 +31,7 @@ _PLANS: dict[tuple[str, str, str | None, str], DataFrame] = {}
 
 
 def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    return (session_key(spark), sf_dir.rstrip("/"))
 
 
 def register_accounts_table(spark: SparkSession, sf_dir: str, path: str) -> None:

@@ -44,6 +44,14 @@ def build_session(
     return spark
 
 
+def session_key(spark: SparkSession) -> str:
+    """A stable identifier of the running application."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect
+        return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, configuring the context with it.
 
@@ -52,7 +60,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch folder; a cluster session without one is an error, because a
     machine-local folder would not survive the loss of an executor.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the folder
+        return spark.conf.get("spark.checkpoint.dir", "") or ""
     current = sc.getCheckpointDir()
     if current:
         return current

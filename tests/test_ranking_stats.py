@@ -138,3 +138,16 @@ def test_mode_and_percentile_ties(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0), ("b", 10.0)], "k string, v double")
     r = df.agg(F.mode("k", deterministic=True).alias("m"), F.percentile("v", 0.5).alias("p")).first()
     assert r.m == "a" and r.p == 2.5
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_prefix_sums_match_window(spark, parts):
+    rnd = random.Random(parts)
+    rows = [(v, rnd.randint(0, 9), rnd.randint(0, 5)) for v in range(0, 600, 3)]
+    df = spark.createDataFrame(rows, "v int, a int, b int")
+    got = ranking.prefix_sums(df, "v", ["a", "b"], num_partitions=parts)
+    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    want = df.select("v", "a", "b", F.coalesce(F.sum("a").over(w), F.lit(0)).alias("a_before"),
+                     F.coalesce(F.sum("b").over(w), F.lit(0)).alias("b_before"))
+    assert got.count() == df.count()
+    assert got.exceptAll(want).count() == 0
