@@ -16,21 +16,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnscope.functions.numeric import mean, money_mean, money_sum, pct, round_to
+from churnscope.functions.numeric import mean, money_mean, money_sum, pct, quantile, round_to
 from churnscope.functions.schemas import CONTRACT_M2M, INTERNET_FIBER, PAY_ECHECK
 from churnscope.operators.ranking import top_n_per_group
 
 
-def median_of(df: DataFrame, c: str) -> Column:
-    """Exact median (linear interpolation) as a scalar subquery, 6 places."""
-    return df.select(round_to(F.percentile(F.col(c).cast("double"), 0.5), 6)).scalar()
+def median_of(df: DataFrame, c: str, approx: bool = False) -> Column:
+    """Median (exact, linear interpolation; or approximate) as a scalar
+    subquery, 6 places."""
+    return df.select(round_to(quantile(c, 0.5, approx), 6)).scalar()
 
 
-def high_value_churners(acct: DataFrame) -> DataFrame:
+def high_value_churners(acct: DataFrame, approx: bool = False) -> DataFrame:
     """CO01: churned accounts above the overall median charge: size, average
     charge, lost revenue, average tenure, and the most common contract and
     payment method (ties: the first in sort order)."""
-    median = median_of(acct, "monthly_charges")
+    median = median_of(acct, "monthly_charges", approx)
     hv = acct.where((F.col("churn_flag") == 1) & (F.col("monthly_charges") > median))
     return hv.agg(
         F.count(F.lit(1)).cast("bigint").alias("high_value_churners"),
@@ -144,9 +145,9 @@ def risk_rank(acct: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def group_medians(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """CO06: exact medians per group (linear interpolation, 6 places)."""
+def group_medians(df: DataFrame, key: str, cols: list[str], approx: bool = False) -> DataFrame:
+    """CO06: medians per group (exact linear interpolation by default), 6 places."""
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(
         F.count(F.lit(1)).cast("bigint").alias("customers"),
-        *[round_to(F.percentile(F.col(c).cast("double"), 0.5), 6).alias(f"median_{c}") for c in cols],
+        *[round_to(quantile(c, 0.5, approx), 6).alias(f"median_{c}") for c in cols],
     )

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnscope.functions.numeric import mean, ratio, round_fine, round_to
+from churnscope.functions.numeric import mean, quantile, ratio, round_fine, round_to
 
 
 def group_stats(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -65,14 +65,15 @@ def kde_on_grid(
     )
 
 
-def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Per group: n, min, quartiles, max, IQR and 1.5-IQR whiskers."""
+def box_stats(df: DataFrame, group: str, value: str, approx: bool = False) -> DataFrame:
+    """Per group: n, min, quartiles, max, IQR and 1.5-IQR whiskers
+    (``approx=True``: approximate quartiles, bounded memory)."""
     v = F.col(value).cast("double")
     base = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
     q = base.groupBy(group).agg(
         F.count(F.lit(1)).cast("bigint").alias("n"),
         F.min(v).alias("min"),
-        F.percentile(v, [0.25, 0.5, 0.75]).alias("_q"),
+        quantile(v, [0.25, 0.5, 0.75], approx).alias("_q"),
         F.max(v).alias("max"),
     )
     q = q.select(
@@ -123,7 +124,9 @@ def equal_width_histogram(df: DataFrame, group: str, value: str, bins: int = 20)
     )
 
 
-def feature_summary(feat: DataFrame, cols: list[str], categorical: set[str]) -> DataFrame:
+def feature_summary(
+    feat: DataFrame, cols: list[str], categorical: set[str], approx: bool = False
+) -> DataFrame:
     """FE24: one row per feature with count, unique, top, freq (categorical)
     and mean, std, min, quartiles, max (numeric); the other fields NULL.
     Numeric statistics come from one aggregation; categorical counts from
@@ -142,7 +145,7 @@ def feature_summary(feat: DataFrame, cols: list[str], categorical: set[str]) ->
                 round_to(mean(x), 6).alias(f"mean{i}"),
                 round_to(F.stddev_samp(x), 6).alias(f"std{i}"),
                 F.min(x).alias(f"min{i}"),
-                F.percentile(x, [0.25, 0.5, 0.75]).alias(f"q{i}"),
+                quantile(x, [0.25, 0.5, 0.75], approx).alias(f"q{i}"),
                 F.max(x).alias(f"max{i}"),
             ]
         wide = feat.agg(*aggs)
