@@ -35,6 +35,8 @@ def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
 
 
 def register_accounts_table(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Use the raw accounts stored at ``path`` (Parquet, or a CSV export when
+    the path ends in ``.csv``) for every frame of ``sf_dir``."""
     _MATERIALISED[_key(spark, sf_dir)] = path
 
 
@@ -58,6 +60,10 @@ class Frames:
 
     def _raw(self) -> DataFrame:
         path = _MATERIALISED.get(_key(self.spark, self.sf_dir))
+        if path and path.rstrip("/").lower().endswith(".csv"):
+            from churnscope.sources.io import read_raw_csv
+
+            return read_raw_csv(self.spark, path)
         if path:
             return self.spark.read.schema(RAW_SCHEMA).parquet(path)
         return raw_accounts(self.spark, self.sf_dir)

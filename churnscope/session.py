@@ -26,12 +26,14 @@ BASE_CONF: dict[str, str] = {
 
 
 def build_session(
-    master: str = "local[*]",
+    master: str | None = "local[*]",
     shuffle_partitions: int = 8,
     app_name: str = "churnscope",
     extra_conf: dict[str, str] | None = None,
 ) -> SparkSession:
-    builder = SparkSession.builder.master(master).appName(app_name)
+    builder = SparkSession.builder.appName(app_name)
+    if master:  # None: keep the master given by spark-submit / the cluster
+        builder = builder.master(master)
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.setdefault("spark.driver.memory", "8g")

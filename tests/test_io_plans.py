@@ -136,3 +136,21 @@ def test_scratch_dir_under_checkpoint_dir(spark):
 
     assert io.scratch_dir(spark, "x").startswith(ensure_checkpoint_dir(spark).rstrip("/"))
     assert tempfile.gettempdir()
+
+
+def test_queries_run_on_a_raw_csv_export(spark, make_raw, tmp_path):
+    from churnscope.plans.frames import Frames, register_accounts_table
+    from churnscope.plans.registry import specs
+
+    rows = [raw_row(cid="A1", churn="Yes"), raw_row(cid="A2", contract="Two year"), raw_row(cid="A3", total=" ")]
+    path = io.write_raw_csv(make_raw(rows), str(tmp_path / "accounts.csv"))
+    register_accounts_table(spark, "csv-export", path)
+    got = {r.contract: (r.total_customers, r.churned) for r in specs()["churn_by_contract"].build(Frames(spark, "csv-export")).collect()}
+    assert got == {"Month-to-month": (2, 1), "Two year": (1, 0)}
+
+
+def test_cli_lists_and_runs(tmp_path, capsys):
+    from churnscope.__main__ import main
+
+    assert main(["list"]) == 0
+    assert "churn_by_contract" in capsys.readouterr().out
