@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnscope.functions.numeric import mean, money_mean, money_sum, pct, ratio, round_to
+from churnscope.functions.numeric import mean, money_mean, pct, ratio, round_to
 
 
 def n_rows() -> Column:
@@ -104,6 +104,3 @@ def conditional_rates(df: DataFrame, conds: dict[str, Column]) -> DataFrame:
         )
     return df.agg(*aggs)
 
-
-def mrr(c: str = "monthly_charges", digits: int = 0) -> Column:
-    return round_to(money_sum(c), digits)

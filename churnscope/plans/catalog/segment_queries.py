@@ -33,7 +33,6 @@ from churnscope.operators.segments import (
     avg_charges,
     avg_tenure,
     conditional_rates,
-    mrr,
     n_rows,
     pivot_mean,
     segment_churn,
