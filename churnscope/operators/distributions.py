@@ -153,9 +153,9 @@ def feature_summary(
             F.struct(
                 F.lit(c).alias("feature"),
                 F.col(f"n{i}").alias("count"),
-                F.lit(None).cast("bigint").alias("unique"),
+                F.lit(None).cast("double").alias("unique"),
                 F.lit(None).cast("string").alias("top"),
-                F.lit(None).cast("bigint").alias("freq"),
+                F.lit(None).cast("double").alias("freq"),
                 F.col(f"mean{i}").alias("mean"),
                 F.col(f"std{i}").alias("std"),
                 F.col(f"min{i}").alias("min"),
@@ -182,12 +182,14 @@ def feature_summary(
         tot = vc.groupBy("feature").agg(
             F.sum("cnt").cast("bigint").alias("count"), F.count(F.lit(1)).cast("bigint").alias("unique")
         )
+        # unique and freq are doubles, as in a describe() table where the
+        # numeric rows leave them empty.
         cat_rows = tot.join(top, "feature", "inner").select(
             "feature",
             "count",
-            "unique",
+            F.col("unique").cast("double").alias("unique"),
             F.col("value").alias("top"),
-            F.col("cnt").alias("freq"),
+            F.col("cnt").cast("double").alias("freq"),
             *[F.lit(None).cast("double").alias(n) for n in ["mean", "std", "min", "p25", "p50", "p75", "max"]],
         )
         parts.append(cat_rows)

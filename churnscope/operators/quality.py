@@ -34,7 +34,8 @@ def profile(df: DataFrame) -> DataFrame:
     wide = df.agg(*aggs)
     structs = []
     for i, f in enumerate(fields):
-        blank = F.col(f"_b{i}") if isinstance(f.dataType, StringType) else F.lit(None).cast("bigint")
+        # A non-string value cannot be a blank string: 0, not NULL.
+        blank = F.col(f"_b{i}") if isinstance(f.dataType, StringType) else F.lit(0).cast("bigint")
         structs.append(
             F.struct(
                 F.lit(f.name).alias("column_name"),

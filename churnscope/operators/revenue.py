@@ -265,7 +265,8 @@ def portfolio_roi(feat: DataFrame, outreach_max_score: float = 40) -> DataFrame:
         F.struct(
             F.lit(PROGRAM_TOTAL).alias("program"),
             F.lit(None).cast("string").alias("target"),
-            F.lit(None).cast("bigint").alias("target_accounts"),
+            # Sum over programs; one account can be in several targets.
+            (F.col("t0") + F.col("t1") + F.col("t2") + F.col("t3")).alias("target_accounts"),
             F.lit(cost).alias("cost_usd"),
             F.lit(low).alias("arr_low_usd"),
             F.lit(high).alias("arr_high_usd"),

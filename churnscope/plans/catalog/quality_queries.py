@@ -24,7 +24,7 @@ def _profile_sql() -> str:
         blank = (
             count_if_sql(f"trim({f.name}, {_WS_SQL}) = ''")
             if is_str
-            else "CAST(NULL AS BIGINT)"
+            else "CAST(0 AS BIGINT)"
         )
         parts.append(
             f"SELECT '{f.name}' AS column_name, CAST({i + 1} AS INTEGER) AS position, "

@@ -183,8 +183,8 @@ def _summary_sql() -> str:
     for c in SUMMARY_FEATURES:
         if c in SUMMARY_CATEGORICAL:
             parts.append(
-                f"SELECT '{c}' AS feature, CAST(SUM(cnt) AS BIGINT) AS count, CAST(COUNT(*) AS BIGINT) AS \"unique\", "
-                "FIRST(value ORDER BY cnt DESC, value ASC) AS top, CAST(MAX(cnt) AS BIGINT) AS freq, "
+                f"SELECT '{c}' AS feature, CAST(SUM(cnt) AS BIGINT) AS count, CAST(COUNT(*) AS DOUBLE) AS \"unique\", "
+                "FIRST(value ORDER BY cnt DESC, value ASC) AS top, CAST(MAX(cnt) AS DOUBLE) AS freq, "
                 "CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std, CAST(NULL AS DOUBLE) AS min, "
                 "CAST(NULL AS DOUBLE) AS p25, CAST(NULL AS DOUBLE) AS p50, CAST(NULL AS DOUBLE) AS p75, "
                 "CAST(NULL AS DOUBLE) AS max FROM ("
@@ -193,8 +193,8 @@ def _summary_sql() -> str:
         else:
             x = f"CAST({c} AS DOUBLE)"
             parts.append(
-                f"SELECT '{c}', CAST(COUNT({x}) AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), "
-                f"CAST(NULL AS BIGINT), {round_to_sql(mean_sql(x), 6)}, {round_to_sql(f'STDDEV_SAMP({x})', 6)}, "
+                f"SELECT '{c}', CAST(COUNT({x}) AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR), "
+                f"CAST(NULL AS DOUBLE), {round_to_sql(mean_sql(x), 6)}, {round_to_sql(f'STDDEV_SAMP({x})', 6)}, "
                 f"MIN({x}), {round_to_sql(f'QUANTILE_CONT({x}, 0.25)', 6)}, {round_to_sql(f'QUANTILE_CONT({x}, 0.5)', 6)}, "
                 f"{round_to_sql(f'QUANTILE_CONT({x}, 0.75)', 6)}, MAX({x}) FROM feat"
             )
