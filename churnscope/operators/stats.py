@@ -135,12 +135,17 @@ def pearson_long(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     pairwise-complete (a row counts for a pair only when both values are
     present).  r = cov / sqrt(var_a * var_b); NULL for a constant column
     instead of a division by zero."""
-    entries = []
+    # One (pair, x, y) row per pair and input row, from a generator (no
+    # per-row array); x and y only for pairwise-complete rows.
+    terms = []
     for k, (a, b) in enumerate(pairs):
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        both = x.isNotNull() & y.isNotNull()
-        entries.append(F.struct(F.lit(k).alias("p"), F.when(both, x).alias("x"), F.when(both, y).alias("y")))
-    long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+        both = f"`{a}` IS NOT NULL AND `{b}` IS NOT NULL"
+        terms += [
+            str(k),
+            f"CASE WHEN {both} THEN CAST(`{a}` AS DOUBLE) END",
+            f"CASE WHEN {both} THEN CAST(`{b}` AS DOUBLE) END",
+        ]
+    long = df.select(F.expr(f"stack({len(pairs)}, {', '.join(terms)}) AS (p, x, y)"))
     agg = long.groupBy("p").agg(
         F.covar_samp("x", "y").alias("cov"),
         F.var_samp("x").alias("vx"),
