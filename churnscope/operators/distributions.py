@@ -7,10 +7,14 @@ summary (FE24).
   then emits one term per grid point (a fixed fan-out, ``explode`` of a
   grid sequence, no join), and the terms are summed per (group, point).
 * Box statistics: exact quartiles per group, whiskers at the most extreme
-  values within 1.5 IQR, from a second aggregation that reads the
-  per-group quartiles (one row per group) through a join.
+  values within 1.5 IQR, found on the per-group value histogram joined
+  with the per-group quartiles (one row per group).
 * Histogram: 20 equal bins per group over the group's own range, last bin
-  closed on the right; all bins are listed, empty ones with 0.
+  closed on the right; all bins are listed, empty ones with 0.  Binning
+  also runs on the value histogram.
+* Rows are reduced to (group, value, count) with partial aggregation
+  before any join, so no step shuffles the rows by a group key that may
+  hold most of them (churn status).
 """
 
 from __future__ import annotations
@@ -42,11 +46,7 @@ def kde_on_grid(
 ) -> DataFrame:
     """Gaussian KDE (Scott's rule) of ``value`` per ``group`` at the grid
     points start, start+step, ..., stop.  One row per (group, point)."""
-    hist = (
-        df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
-        .groupBy(group, F.col(value).cast("double").alias("v"))
-        .agg(F.count(F.lit(1)).cast("double").alias("cnt"))
-    )
+    hist = value_counts_by_group(df, group, value).withColumn("cnt", F.col("cnt").cast("double"))
     stats = group_stats(df.where(F.col(group).isNotNull()), group, value).withColumn(
         "bw", F.col("sd") * F.pow(F.col("n").cast("double"), -0.2)
     )
@@ -65,9 +65,20 @@ def kde_on_grid(
     )
 
 
+def value_counts_by_group(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, v, cnt): rows reduced to distinct values per group with
+    partial aggregation, so later joins never move the rows themselves."""
+    return (
+        df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
+        .groupBy(group, F.col(value).cast("double").alias("v"))
+        .agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
+    )
+
+
 def box_stats(df: DataFrame, group: str, value: str, approx: bool = False) -> DataFrame:
     """Per group: n, min, quartiles, max, IQR and 1.5-IQR whiskers
-    (``approx=True``: approximate quartiles, bounded memory)."""
+    (``approx=True``: approximate quartiles, bounded memory).  Whiskers are
+    found on the per-group value histogram, not by re-joining the rows."""
     v = F.col(value).cast("double")
     base = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
     q = base.groupBy(group).agg(
@@ -87,12 +98,13 @@ def box_stats(df: DataFrame, group: str, value: str, approx: bool = False) -> Da
     ).withColumn("iqr", round_to(F.col("q3") - F.col("q1"), 6))
     lo = F.col("q1") - 1.5 * F.col("iqr")
     hi = F.col("q3") + 1.5 * F.col("iqr")
+    hist = value_counts_by_group(df, group, value)
     whiskers = (
-        base.join(q.select(group, "q1", "q3", "iqr"), group, "inner")
+        hist.join(q.select(group, "q1", "q3", "iqr"), group, "inner")
         .groupBy(group)
         .agg(
-            F.min(F.when(v >= lo, v)).alias("lower_whisker"),
-            F.max(F.when(v <= hi, v)).alias("upper_whisker"),
+            F.min(F.when(F.col("v") >= lo, F.col("v"))).alias("lower_whisker"),
+            F.max(F.when(F.col("v") <= hi, F.col("v"))).alias("upper_whisker"),
         )
     )
     return q.join(whiskers, group, "inner")
@@ -100,17 +112,18 @@ def box_stats(df: DataFrame, group: str, value: str, approx: bool = False) -> Da
 
 def equal_width_histogram(df: DataFrame, group: str, value: str, bins: int = 20) -> DataFrame:
     """Per group, ``bins`` equal bins over [min, max] of that group; the last
-    bin includes the maximum.  Empty bins are listed with count 0."""
-    v = F.col(value).cast("double")
-    base = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    rng = base.groupBy(group).agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
+    bin includes the maximum.  Empty bins are listed with count 0.  Binning
+    runs on the per-group value histogram (distinct values), so the rows are
+    never shuffled by the group key."""
+    hist = value_counts_by_group(df, group, value)
+    rng = hist.groupBy(group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     span = F.col("hi") - F.col("lo")
-    raw_bin = F.floor(ratio((v - F.col("lo")) * bins, span))
+    raw_bin = F.floor(ratio((F.col("v") - F.col("lo")) * bins, span))
     idx = F.when(span == 0, F.lit(0)).otherwise(F.least(raw_bin, F.lit(bins - 1))).cast("int")
     counts = (
-        base.join(rng, group, "inner")
+        hist.join(rng, group, "inner")
         .groupBy(group, idx.alias("bin"))
-        .agg(F.count(F.lit(1)).cast("bigint").alias("count"))
+        .agg(F.sum("cnt").cast("bigint").alias("count"))
     )
     all_bins = rng.select(group, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     edges = all_bins.select(
