@@ -35,6 +35,17 @@ def _order_key_columns(order: list[Column | str]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
+def _range_partition(df: DataFrame, keys: list[Column], num_partitions: int | None) -> DataFrame:
+    """Range partitions by ``keys``.  Without an explicit count Spark starts
+    from ``spark.sql.shuffle.partitions`` and AQE may merge adjacent small
+    ranges (order is kept: merged partitions are contiguous ranges), so small
+    inputs do not pay for hundreds of tiny tasks and large ones keep their
+    parallelism."""
+    if num_partitions:
+        return df.repartitionByRange(num_partitions, *keys)
+    return df.repartitionByRange(*keys)
+
+
 def global_rank(
     df: DataFrame,
     order: list[Column | str],
@@ -49,9 +60,8 @@ def global_rank(
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     keys = _order_key_columns(order)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tagged = (
-        df.repartitionByRange(n, *keys)
+        _range_partition(df, keys, num_partitions)
         .sortWithinPartitions(*keys)
         .withColumn("_gr_tag", F.monotonically_increasing_id())
     )
@@ -135,9 +145,8 @@ def prefix_sums(
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     parted = (
-        df.repartitionByRange(n, F.col(order_col))
+        _range_partition(df, [F.col(order_col)], num_partitions)
         .withColumn("_ps_pid", F.spark_partition_id())
         .checkpoint(eager=True)
     )

@@ -22,7 +22,7 @@ def _skewed_frame(spark, n=3000, seed=7):
     return spark.createDataFrame(rows, "id string, v int, w double")
 
 
-@pytest.mark.parametrize("parts", [1, 4, 9])
+@pytest.mark.parametrize("parts", [None, 1, 4, 9])
 def test_global_rank_equals_row_number(spark, parts):
     df = _skewed_frame(spark)
     order = [F.col("v").desc(), "id"]
