@@ -51,21 +51,19 @@ def add_health_score_sql(acct: DataFrame) -> DataFrame:
     >= 70 Healthy, >= 40 Needs Attention, else At Risk.  Unknown points
     (tenure outside 0..72, unknown contract) give NULL score and tier."""
     points = sql_points(acct)
+    # NULL points stay NULL through the arithmetic and the rounding.
     scaled = round_to(points.cast("double") * 100.0 / MAX_RAW_POINTS, 0)
-    with_pts = acct.withColumn("_points", points).withColumn(
-        "_scaled", F.when(F.col("_points").isNotNull(), scaled)
-    )
+    with_pts = acct.withColumn("_scaled", scaled)
     s = F.col("_scaled")
     return with_pts.withColumns(
         {
-            # least() skips NULL, so guard: unknown points stay NULL, not 100.
-            "health_score": F.when(s.isNotNull(), F.least(s, F.lit(100.0))).cast("int"),
-            "health_tier": F.when(s.isNull(), F.lit(None).cast("string"))
-            .when(s >= 70, TIER_HEALTHY)
+            # A CASE cap keeps NULL (least() would skip it and give 100).
+            "health_score": F.when(s > 100.0, F.lit(100.0)).otherwise(s).cast("int"),
+            "health_tier": F.when(s >= 70, TIER_HEALTHY)
             .when(s >= 40, TIER_NEEDS)
-            .otherwise(TIER_AT_RISK),
+            .when(s.isNotNull(), TIER_AT_RISK),
         }
-    ).drop("_points", "_scaled")
+    ).drop("_scaled")
 
 
 def score_accounts(acct: DataFrame) -> DataFrame:
