@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +22,31 @@ def op5_shard_minimax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), shards=16)
 
 
+def _tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnscope.llm.piece_codec import Encoded, map_encoded, read_model
+
+    def digests(e: Encoded) -> tuple:
+        return (
+            len(e.ids),
+            hashlib.sha256(e.ids_text.encode()).hexdigest(),
+            hashlib.sha256(e.decoded.encode()).hexdigest(),
+            zlib.crc32(e.ends.astype("<u4").tobytes()),
+        )
+
+    return map_encoded(
+        _table(spark, sf_dir, "documents"), read_model(_tokenizer_file("piece_bpe_32k.model")), digests,
+        "n_tokens long, ids_sha256 string, decoded_sha256 string, span_ends_crc32 long",
+    )
+
+
 def llm_queries() -> dict[str, Query]:
-    return {"op5_shard_minimax": op5_shard_minimax}
+    return {"op5_shard_minimax": op5_shard_minimax, "op9_piece_codec": op9_piece_codec}
 
 
 def llm_oracles() -> dict[str, str]:
