@@ -28,6 +28,20 @@ def _tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnscope.llm.storage import scratch_path
+    from churnscope.llm.token_store import read_spec, write_store
+
+    def row(doc_id, start, ids) -> tuple:
+        return doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())
+
+    store = write_store(
+        _table(spark, sf_dir, "documents"), scratch_path(spark, "token-store"),
+        read_spec(_tokenizer_file("byte_bpe_50k.json")), end_id=2,
+    )
+    return store.fetch(store.documents(), row, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnscope.llm.piece_codec import Encoded, map_encoded, read_model
 
@@ -46,7 +60,7 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {"op5_shard_minimax": op5_shard_minimax, "op9_piece_codec": op9_piece_codec}
+    return {"op5_shard_minimax": op5_shard_minimax, "op7_token_store": op7_token_store, "op9_piece_codec": op9_piece_codec}
 
 
 def llm_oracles() -> dict[str, str]:
