@@ -16,6 +16,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnscope.llm.toxicity import fit, score_documents
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    model = fit(docs, labels.where(~held_out))
+    scored = score_documents(docs, model)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        F.slice("neighbours", 1, 5).alias("evidence"),
+    )
+
+
 def op5_shard_minimax(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnscope.llm.shard_minimax import shard_documents
 
@@ -60,7 +73,9 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {"op5_shard_minimax": op5_shard_minimax, "op7_token_store": op7_token_store, "op9_piece_codec": op9_piece_codec}
+    return {
+        "op4_toxicity": op4_toxicity, "op5_shard_minimax": op5_shard_minimax, "op7_token_store": op7_token_store, "op9_piece_codec": op9_piece_codec,
+    }
 
 
 def llm_oracles() -> dict[str, str]:

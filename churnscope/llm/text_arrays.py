@@ -123,9 +123,12 @@ def _pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word in order, n+1 offsets of the documents' words)."""
+def words(data: np.ndarray, offsets: np.ndarray, head: int = 0):
+    """(hash of every word in order, n+1 offsets of the documents' words).
+    With ``head``, also (hash of the first ``head`` bytes of every longer word,
+    its document)."""
     hashes, counts = [], np.zeros(len(offsets) - 1, np.int64)
+    heads, head_docs = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
     firsts = offsets[:-1]
     for lo, hi in _pieces(data):
         part = data[lo:hi]
@@ -145,9 +148,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         hashes.append(mix(span_hash(prefix, start, end) + (end - start).astype(_U)))
         doc = np.searchsorted(offsets, start + lo, side="right") - 1
         counts += np.bincount(doc, minlength=len(counts))
+        if head:
+            longer = start[end - start > head]
+            heads.append(mix(span_hash(prefix, longer, longer + head) + _U(0x5DEECE66D)))
+            head_docs.append(doc[end - start > head])
     out = np.zeros(len(offsets), np.int64)
     np.cumsum(counts, out=out[1:])
-    return (np.concatenate(hashes) if hashes else np.zeros(0, _U)), out
+    whole = np.concatenate(hashes) if hashes else np.zeros(0, _U)
+    return (whole, out, np.concatenate(heads), np.concatenate(head_docs)) if head else (whole, out)
 
 
 def planes(x: np.ndarray) -> bytes:
