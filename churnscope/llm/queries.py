@@ -72,9 +72,18 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_cotrain_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnscope.llm.cotrain_quality import KEEP, fit, score_documents
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_documents(docs, fit(docs, _table(spark, sf_dir, "labels")), carry=["doc_id"])
+    return scored.select("row.doc_id", "quality", "text_view", "meta_view", (F.col("quality") >= KEEP).alias("keep"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op4_toxicity": op4_toxicity, "op5_shard_minimax": op5_shard_minimax, "op7_token_store": op7_token_store, "op9_piece_codec": op9_piece_codec,
+        "op10_cotrain_quality": op10_cotrain_quality,
     }
 
 
