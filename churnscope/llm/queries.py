@@ -16,6 +16,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnscope.llm.decontaminate import find_items
+
+    found = find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return found.select("row.doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "distances", "starts", "ends")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnscope.llm.toxicity import fit, score_documents
 
@@ -82,7 +89,7 @@ def op10_cotrain_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     return {
-        "op4_toxicity": op4_toxicity, "op5_shard_minimax": op5_shard_minimax, "op7_token_store": op7_token_store, "op9_piece_codec": op9_piece_codec,
+        "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op5_shard_minimax": op5_shard_minimax, "op7_token_store": op7_token_store, "op9_piece_codec": op9_piece_codec,
         "op10_cotrain_quality": op10_cotrain_quality,
     }
 
