@@ -48,6 +48,13 @@ def _tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnscope.llm.multi_index import nearest_neighbours
+
+    found = nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnscope.llm.storage import scratch_path
     from churnscope.llm.token_store import read_spec, write_store
@@ -89,7 +96,8 @@ def op10_cotrain_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     return {
-        "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op5_shard_minimax": op5_shard_minimax, "op7_token_store": op7_token_store, "op9_piece_codec": op9_piece_codec,
+        "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op5_shard_minimax": op5_shard_minimax,
+        "op6_multi_index": op6_multi_index, "op7_token_store": op7_token_store, "op9_piece_codec": op9_piece_codec,
         "op10_cotrain_quality": op10_cotrain_quality,
     }
 
