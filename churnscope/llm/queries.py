@@ -16,6 +16,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnscope.llm.suffix_tree_lm import score_documents
+
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return score_documents(_table(spark, sf_dir, "documents"), held_out)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnscope.llm.decontaminate import find_items
 
@@ -96,7 +103,7 @@ def op10_cotrain_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     return {
-        "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op5_shard_minimax": op5_shard_minimax,
+        "op1_suffix_tree_lm": op1_suffix_tree_lm, "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op5_shard_minimax": op5_shard_minimax,
         "op6_multi_index": op6_multi_index, "op7_token_store": op7_token_store, "op9_piece_codec": op9_piece_codec,
         "op10_cotrain_quality": op10_cotrain_quality,
     }

@@ -29,6 +29,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """The inverse of ``mix``."""
+    x = x ^ (x >> _U(31)) ^ (x >> _U(62))
+    x = x * _U(pow(0x94D049BB133111EB, -1, 1 << 64))
+    x ^= (x >> _U(27)) ^ (x >> _U(54))
+    x *= _U(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    x ^= (x >> _U(30)) ^ (x >> _U(60))
+    return x
+
+
 def _byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=_U) * _U(0xD1342543DE82EF95))
 
