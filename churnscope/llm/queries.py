@@ -76,6 +76,18 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.fetch(store.documents(), row, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnscope.llm.suffix_dedup import kept_text, map_kept
+
+    def digests(raw: bytes, runs: list[tuple[int, int]]) -> tuple:
+        return len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept_text(raw, runs)).hexdigest()
+
+    found = map_kept(
+        _table(spark, sf_dir, "documents"), digests, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", carry=["doc_id"]
+    )
+    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnscope.llm.piece_codec import Encoded, map_encoded, read_model
 
@@ -104,7 +116,7 @@ def op10_cotrain_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_suffix_tree_lm": op1_suffix_tree_lm, "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op5_shard_minimax": op5_shard_minimax,
-        "op6_multi_index": op6_multi_index, "op7_token_store": op7_token_store, "op9_piece_codec": op9_piece_codec,
+        "op6_multi_index": op6_multi_index, "op7_token_store": op7_token_store, "op8_suffix_dedup": op8_suffix_dedup, "op9_piece_codec": op9_piece_codec,
         "op10_cotrain_quality": op10_cotrain_quality,
     }
 
