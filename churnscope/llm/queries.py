@@ -23,6 +23,13 @@ def op1_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), held_out)
 
 
+def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnscope.llm.chosen_path import near_duplicates
+
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "copies", "n_links")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnscope.llm.decontaminate import find_items
 
@@ -115,7 +122,7 @@ def op10_cotrain_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     return {
-        "op1_suffix_tree_lm": op1_suffix_tree_lm, "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op5_shard_minimax": op5_shard_minimax,
+        "op1_suffix_tree_lm": op1_suffix_tree_lm, "op2_chosen_path": op2_chosen_path, "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op5_shard_minimax": op5_shard_minimax,
         "op6_multi_index": op6_multi_index, "op7_token_store": op7_token_store, "op8_suffix_dedup": op8_suffix_dedup, "op9_piece_codec": op9_piece_codec,
         "op10_cotrain_quality": op10_cotrain_quality,
     }
