@@ -10,6 +10,8 @@ can remove them with ``release``.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +34,27 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove every folder that ``stored`` and ``scratch_path`` made."""
+@contextmanager
+def recorded(folders: list[str]) -> Iterator[None]:
+    """Puts the folders made inside the block into ``folders``."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        folders += _made[before:]
+
+
+def release(spark: SparkSession, folders: list[str] | None = None) -> None:
+    """Removes folders that ``stored`` and ``scratch_path`` made, all by
+    default; nothing may read them any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+    for name in list(_made if folders is None else folders):
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+        if name in _made:
+            _made.remove(name)
+    if folders:
+        folders.clear()
 
 
 def text_bytes(docs: DataFrame, text_col: str) -> int:
