@@ -6,8 +6,9 @@ The rules fix how numbers are produced so that two engines agree:
   ratio is cast to ``decimal(18,6)`` and rounded half away from zero (the
   SQL ``ROUND`` on NUMERIC), then returned as a double.
 * ``ratio``: division that yields NULL on a zero or NULL denominator.
-* ``money_sum``: sums of money are exact decimal sums, never float sums, so
-  the order in which partitions are merged cannot change the last bit.
+* ``money_sum`` and ``round_money``: sums of money are exact decimals up to
+  the final rounding, never float sums, so neither the order in which
+  partitions are merged nor the size of the total can change a digit.
 * ``mean``: ``sum / count`` on doubles (never ``avg`` of a decimal, whose
   result type differs between engines).
 
@@ -45,6 +46,16 @@ def round_fine_sql(expr: str, digits: int) -> str:
     return f"CAST(ROUND(CAST(({expr}) AS DECIMAL(24,14)), {digits}) AS DOUBLE)"
 
 
+def round_money(c: Column, digits: int = 0) -> Column:
+    """Round an exact decimal amount of any size half away from zero (38 digits:
+    sums of whole tables included); result is a double."""
+    return F.round(c.cast("decimal(38,6)"), digits).cast("double")
+
+
+def round_money_sql(expr: str, digits: int = 0) -> str:
+    return f"CAST(ROUND(CAST(({expr}) AS DECIMAL(38,6)), {digits}) AS DOUBLE)"
+
+
 def ratio(num: Column | str, den: Column | str) -> Column:
     """``num / den`` as double; NULL when ``den`` is 0 or NULL."""
     return F.try_divide(_col(num).cast("double"), _col(den).cast("double"))
@@ -69,12 +80,12 @@ def money(c: Column | str) -> Column:
 
 
 def money_sum(c: Column | str) -> Column:
-    """Exact sum of a money column (decimal), returned as a double."""
-    return F.sum(money(c)).cast("double")
+    """Exact sum of a money column, a decimal; round it with ``round_money``."""
+    return F.sum(money(c))
 
 
 def money_sum_sql(expr: str) -> str:
-    return f"CAST(SUM(CAST(({expr}) AS DECIMAL(12,2))) AS DOUBLE)"
+    return f"SUM(CAST(({expr}) AS DECIMAL(12,2)))"
 
 
 def mean(c: Column | str) -> Column:

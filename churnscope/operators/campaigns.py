@@ -12,7 +12,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnscope.functions.numeric import count_if, mean, money_mean, money_sum, pct, ratio, round_to
+from churnscope.functions.numeric import count_if, mean, money_mean, money_sum, pct, ratio, round_money, round_to
 from churnscope.functions.schemas import (
     ACTION_ANNUAL,
     ACTION_AUTOPAY,
@@ -63,7 +63,7 @@ def tier_validation_active_mrr(feat: DataFrame) -> DataFrame:
         F.count(F.lit(1)).cast("bigint").alias("customers"),
         F.sum("churn_flag").cast("bigint").alias("churned"),
         pct(F.sum("churn_flag"), F.count(F.lit(1)), 1).alias("churn_rate_pct"),
-        round_to(money_sum(F.when(_active(), F.col("monthly_charges"))), 0).alias("active_mrr"),
+        round_money(money_sum(F.when(_active(), F.col("monthly_charges"))), 0).alias("active_mrr"),
     )
 
 
@@ -74,7 +74,7 @@ def tier_summary(scored: DataFrame) -> DataFrame:
         .agg(
             count_if(_active()).alias("active_customers"),
             count_if(F.col("churn_flag") == 1).alias("churned_customers"),
-            round_to(money_sum(F.when(_active(), F.col("monthly_charges"))), 0).alias("active_mrr"),
+            round_money(money_sum(F.when(_active(), F.col("monthly_charges"))), 0).alias("active_mrr"),
             pct(F.sum("churn_flag"), F.count(F.lit(1)), 1).alias("churn_rate_pct"),
             round_to(mean("health_score"), 0).alias("avg_health_score"),
         )

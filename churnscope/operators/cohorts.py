@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnscope.functions.numeric import mean, money_mean, money_sum, pct, quantile, round_to
+from churnscope.functions.numeric import mean, money_mean, money_sum, pct, quantile, round_money, round_to
 from churnscope.functions.schemas import CONTRACT_M2M, INTERNET_FIBER, PAY_ECHECK
 from churnscope.operators.ranking import top_n_per_group
 
@@ -36,7 +36,7 @@ def high_value_churners(acct: DataFrame, approx: bool = False) -> DataFrame:
     return hv.agg(
         F.count(F.lit(1)).cast("bigint").alias("high_value_churners"),
         round_to(money_mean("monthly_charges"), 2).alias("avg_monthly_charges"),
-        round_to(money_sum("monthly_charges"), 0).alias("total_monthly_revenue_lost"),
+        round_money(money_sum("monthly_charges"), 0).alias("total_monthly_revenue_lost"),
         round_to(mean("tenure"), 1).alias("avg_tenure_months"),
         F.mode("contract", deterministic=True).alias("most_common_contract"),
         F.mode("payment_method", deterministic=True).alias("most_common_payment"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from churnscope.functions.numeric import count_if, mean, money_mean, pct, round_to
+from churnscope.functions.numeric import count_if, mean, money_mean, pct, round_money, round_to
 from churnscope.operators.cleaning import strip_ws
 
 
@@ -138,8 +138,8 @@ def summary(acct: DataFrame) -> DataFrame:
         churned.cast("bigint").alias("churned_customers"),
         (F.count(F.lit(1)) - churned).cast("bigint").alias("retained_customers"),
         pct(churned, F.count(F.lit(1)), 2).alias("overall_churn_pct"),
-        round_to(total_mrr.cast("double"), 0).alias("total_mrr"),
-        round_to(lost.cast("double"), 0).alias("mrr_lost_to_churn"),
+        round_money(total_mrr).alias("total_mrr"),
+        round_money(lost).alias("mrr_lost_to_churn"),
         pct(lost, total_mrr, 2).alias("revenue_churn_pct"),
     )
 

@@ -21,6 +21,7 @@ from churnscope.functions.numeric import (
     money_mean,
     pct,
     ratio,
+    round_money,
     round_to,
 )
 from churnscope.functions.schemas import (
@@ -52,8 +53,7 @@ def exact_sum(c: Column | str, where: Column | None = None) -> Column:
 
 def money_round(dec_sum: Column, digits: int = 0, factor: Decimal | int | None = None) -> Column:
     """Round an exact decimal money expression (times an exact factor)."""
-    expr = dec_sum if factor is None else dec_sum * F.lit(factor)
-    return round_to(expr.cast("double"), digits)
+    return round_money(dec_sum if factor is None else dec_sum * F.lit(factor), digits)
 
 
 def revenue_overview(acct: DataFrame) -> DataFrame:

@@ -8,12 +8,14 @@ from churnscope.functions.numeric import (
     money_mean_sql,
     money_sum_sql,
     pct_sql,
+    round_money_sql,
     round_to_sql,
 )
 from churnscope.functions.schemas import RAW_SCHEMA, TYPED_BOOLEANS, SERVICE_COLS
 from churnscope.operators import quality
 from churnscope.plans.oracle_base import _WS_SQL
 from churnscope.plans.registry import query
+from churnscope.sources.accounts import orphan_orders
 
 
 def _profile_sql() -> str:
@@ -117,8 +119,8 @@ def dq_business_rules(fr):
     "SELECT CAST(COUNT(*) AS BIGINT) AS total_customers, CAST(SUM(churn_flag) AS BIGINT) AS churned_customers, "
     "CAST(COUNT(*) - SUM(churn_flag) AS BIGINT) AS retained_customers, "
     f"{pct_sql('SUM(churn_flag)', 'COUNT(*)', 2)} AS overall_churn_pct, "
-    f"{round_to_sql(money_sum_sql('monthly_charges'), 0)} AS total_mrr, "
-    f"{round_to_sql(money_sum_sql('CASE WHEN churn_flag = 1 THEN monthly_charges END'), 0)} AS mrr_lost_to_churn, "
+    f"{round_money_sql(money_sum_sql('monthly_charges'), 0)} AS total_mrr, "
+    f"{round_money_sql(money_sum_sql('CASE WHEN churn_flag = 1 THEN monthly_charges END'), 0)} AS mrr_lost_to_churn, "
     f"{pct_sql('SUM(CASE WHEN churn_flag = 1 THEN CAST(monthly_charges AS DECIMAL(12,2)) END)', 'SUM(CAST(monthly_charges AS DECIMAL(12,2)))', 2)} "
     "AS revenue_churn_pct FROM customers",
     ("Q09",),
@@ -171,3 +173,16 @@ def _assertions_sql() -> str:
 @query("dq_assertions", _assertions_sql(), ("Q11", "Q12", "Q13", "Q14", "Q15", "Q16", "Q17"))
 def dq_assertions(fr):
     return quality.assertions(fr.clean)
+
+
+@query(
+    "dq_orphan_orders",
+    "SELECT CAST(COUNT(*) AS BIGINT) AS orders, "
+    f"{count_if_sql('o_custkey IS NULL')} AS without_customer_key, "
+    f"{count_if_sql('o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey)')} "
+    "AS customer_row_missing FROM orders o",
+    ("IO03",),
+)
+def dq_orphan_orders(fr):
+    """Orders that became accounts without customer data."""
+    return orphan_orders(fr.spark, fr.sf_dir)

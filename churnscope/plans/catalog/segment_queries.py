@@ -10,6 +10,8 @@ from churnscope.functions.numeric import (
     money_mean_sql,
     money_sum,
     money_sum_sql,
+    round_money,
+    round_money_sql,
     mean_sql,
     pct,
     pct_sql,
@@ -279,7 +281,7 @@ _PROFILE_SQL = (
     "CAST(COALESCE(SUM(churn_flag), 0) AS BIGINT) AS churned, "
     f"{pct_sql('SUM(churn_flag)', 'COUNT(*)', 1)} AS churn_rate_pct, "
     "CAST(COALESCE(SUM(CASE WHEN churn_flag = 0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS active_customers, "
-    f"{round_to_sql(money_sum_sql('CASE WHEN churn_flag = 0 THEN monthly_charges END'), 0)} AS active_mrr "
+    f"{round_money_sql(money_sum_sql('CASE WHEN churn_flag = 0 THEN monthly_charges END'), 0)} AS active_mrr "
     f"FROM customers WHERE {_PROFILE_SQL}",
     ("SG14",),
 )
@@ -297,7 +299,7 @@ def risk_profile_stats(fr):
         F.coalesce(F.sum("churn_flag"), F.lit(0)).cast("bigint").alias("churned"),
         pct(F.sum("churn_flag"), F.count(F.lit(1)), 1).alias("churn_rate_pct"),
         count_if(active).alias("active_customers"),
-        round_to(money_sum(F.when(active, F.col("monthly_charges"))), 0).alias("active_mrr"),
+        round_money(money_sum(F.when(active, F.col("monthly_charges"))), 0).alias("active_mrr"),
     )
 
 

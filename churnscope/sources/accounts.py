@@ -15,8 +15,9 @@ Plan shape (what Catalyst is asked to do):
    broadcast for ``part`` only when its measured size is under the
    broadcast threshold, otherwise a sort-merge join whose skewed partitions
    it splits.
-2. ``orders`` joins ``customer`` on the customer key (inner) and the
-   per-order aggregate on the order key (left).  The aggregate is already
+2. ``orders`` joins ``customer`` on the customer key and the per-order
+   aggregate on the order key, both left: an order without a customer row
+   stays an account (``orphan_orders`` counts them).  The aggregate is already
    hash-partitioned by order key, so that join reuses its partitioning.
 3. All remaining work is one projection of column expressions.
 """
@@ -50,9 +51,11 @@ from churnscope.functions.schemas import (
 # online security, online backup, device protection, tech support,
 # streaming TV, streaming movies.
 PART_FAMILIES = ["STANDARD", "SMALL", "MEDIUM", "LARGE", "ECONOMY", "PROMO"]
-# Month index of July 2001 (12 * year + month); tenure counts back from it.
-TENURE_ORIGIN_MONTH = 24019
-TENURE_CAP = 72
+# Month index of August 2001 (12 * year + month); tenure counts back from it,
+# unbounded: months past the last band have no band, later ones are negative.
+TENURE_ORIGIN_MONTH = 24020
+# Digits of the largest order key (bigint), so that ids sort like their keys.
+ID_DIGITS = 19
 FIBER_SEGMENTS = ["BUILDING", "AUTOMOBILE"]
 NO_INTERNET_SEGMENT = "FURNITURE"
 STATUS_TO_CONTRACT = {"P": CONTRACT_M2M, "F": CONTRACT_ONE, "O": CONTRACT_TWO}
@@ -127,22 +130,35 @@ def raw_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     profile = order_line_profile(
         read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "part")
     )
-    base = orders.join(customer, orders.o_custkey == customer.c_custkey, "inner").join(
+    base = orders.join(customer, orders.o_custkey == customer.c_custkey, "left").join(
         profile, orders.o_orderkey == profile.l_orderkey, "left"
     )
     return accounts_from_orders(base)
 
 
+def orphan_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: orders, those without a customer key, and those whose customer
+    key has no customer row."""
+    orders = read_table(spark, sf_dir, "orders").select("o_custkey")
+    known = read_table(spark, sf_dir, "customer").select(F.col("c_custkey")).where("c_custkey is not null").distinct()
+    per_key = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    joined = per_key.join(known, per_key.o_custkey == known.c_custkey, "left")
+    no_key, no_row = F.col("o_custkey").isNull(), F.col("o_custkey").isNotNull() & F.col("c_custkey").isNull()
+    return joined.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("orders"),
+        F.coalesce(F.sum(F.when(no_key, F.col("n"))), F.lit(0)).cast("bigint").alias("without_customer_key"),
+        F.coalesce(F.sum(F.when(no_row, F.col("n"))), F.lit(0)).cast("bigint").alias("customer_row_missing"),
+    )
+
+
 def accounts_from_orders(base: DataFrame) -> DataFrame:
     okey = F.col("o_orderkey")
-    ckey = F.col("c_custkey")
+    ckey = F.col("o_custkey")
     n_lines = F.coalesce(F.col("n_lines"), F.lit(0))
     n_ret = F.coalesce(F.col("n_ret"), F.lit(0))
 
     month_index = F.year("o_orderdate") * 12 + F.month("o_orderdate")
-    tenure = F.least(
-        F.greatest(F.lit(TENURE_ORIGIN_MONTH) - month_index, F.lit(0)), F.lit(TENURE_CAP)
-    ).cast("int")
+    tenure = (F.lit(TENURE_ORIGIN_MONTH) - month_index).cast("int")
 
     seg = F.col("c_mktsegment")
     internet = (
@@ -166,7 +182,7 @@ def accounts_from_orders(base: DataFrame) -> DataFrame:
         F.lit("."),
         F.lpad(((t_units % 10000 - t_units % 100) / 100).cast("bigint").cast("string"), 2, "0"),
     )
-    total = F.when(tenure == 0, F.lit(" ")).otherwise(total_text)
+    total = F.when(tenure <= 0, F.lit(" ")).otherwise(total_text)
 
     status = F.col("o_orderstatus")
     churn = (
@@ -188,7 +204,7 @@ def accounts_from_orders(base: DataFrame) -> DataFrame:
         )
 
     cols = [
-        F.concat(F.lit("A"), F.lpad(okey.cast("string"), 10, "0")).alias("customerID"),
+        F.concat(F.lit("A"), F.lpad(okey.cast("string"), ID_DIGITS, "0")).alias("customerID"),
         F.when(ckey % 2 == 0, "Male").otherwise("Female").alias("gender"),
         F.when(F.col("c_acctbal") < 0, 1).otherwise(0).cast("int").alias("SeniorCitizen"),
         _yes_no(F.col("c_nationkey") % 2 == 0).alias("Partner"),
@@ -247,16 +263,16 @@ acct_lines AS (
 ),
 acct_base AS (
     SELECT o.o_orderkey, o.o_orderstatus, o.o_orderpriority,
-        c.c_custkey, c.c_nationkey, c.c_acctbal,
+        o.o_custkey, c.c_nationkey, c.c_acctbal,
         CASE WHEN c.c_mktsegment IN ('BUILDING', 'AUTOMOBILE') THEN 'Fiber optic'
              WHEN c.c_mktsegment = 'FURNITURE' THEN 'No' ELSE 'DSL' END AS internet,
-        CAST(LEAST(GREATEST({TENURE_ORIGIN_MONTH} - (12 * year(o.o_orderdate) + month(o.o_orderdate)), 0), {TENURE_CAP}) AS INTEGER) AS ten,
+        CAST({TENURE_ORIGIN_MONTH} - (12 * year(o.o_orderdate) + month(o.o_orderdate)) AS INTEGER) AS ten,
         {BASE_CHARGE_CENTS} + (CAST(ROUND(o.o_totalprice * 100) AS BIGINT)
             - CAST(ROUND(o.o_totalprice * 100) AS BIGINT) % {CHARGE_STEP_CENTS}) // {CHARGE_STEP_CENTS} AS mcc,
         COALESCE(a.n_lines, 0) AS n_lines, COALESCE(a.n_ret, 0) AS n_ret,
         a.s1, a.s2, a.s3, a.s4, a.s5, a.s6
     FROM orders o
-    JOIN customer c ON o.o_custkey = c.c_custkey
+    LEFT JOIN customer c ON o.o_custkey = c.c_custkey
     LEFT JOIN acct_lines a ON o.o_orderkey = a.l_orderkey
 ),
 acct_units AS (
@@ -267,14 +283,14 @@ acct_units AS (
 ),
 raw_accounts AS (
     SELECT
-        'A' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS customerID,
-        CASE WHEN c_custkey % 2 = 0 THEN 'Male' ELSE 'Female' END AS gender,
+        'A' || lpad(CAST(o_orderkey AS VARCHAR), {ID_DIGITS}, '0') AS customerID,
+        CASE WHEN o_custkey % 2 = 0 THEN 'Male' ELSE 'Female' END AS gender,
         CAST(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS INTEGER) AS SeniorCitizen,
         CASE WHEN c_nationkey % 2 = 0 THEN 'Yes' ELSE 'No' END AS Partner,
-        CASE WHEN c_custkey % 3 = 0 THEN 'Yes' ELSE 'No' END AS Dependents,
+        CASE WHEN o_custkey % 3 = 0 THEN 'Yes' ELSE 'No' END AS Dependents,
         ten AS tenure,
-        CASE WHEN c_custkey % 10 = 0 THEN 'No' ELSE 'Yes' END AS PhoneService,
-        CASE WHEN c_custkey % 10 = 0 THEN 'No phone service'
+        CASE WHEN o_custkey % 10 = 0 THEN 'No' ELSE 'Yes' END AS PhoneService,
+        CASE WHEN o_custkey % 10 = 0 THEN 'No phone service'
              WHEN o_orderkey % 2 = 0 THEN 'Yes' ELSE 'No' END AS MultipleLines,
         internet AS InternetService,
         {service_cols},
@@ -286,7 +302,7 @@ raw_accounts AS (
              WHEN '3-MEDIUM' THEN 'Bank transfer (automatic)'
              WHEN '5-LOW' THEN 'Credit card (automatic)' END AS PaymentMethod,
         CAST(CAST(mcc AS DECIMAL(10,0)) * 0.01 AS DECIMAL(8,2)) AS MonthlyCharges,
-        CASE WHEN ten = 0 THEN ' '
+        CASE WHEN ten <= 0 THEN ' '
              ELSE CAST((t_units - t_units % 10000) // 10000 AS VARCHAR) || '.'
                   || lpad(CAST((t_units % 10000 - t_units % 100) // 100 AS VARCHAR), 2, '0')
         END AS TotalCharges,
