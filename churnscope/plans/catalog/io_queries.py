@@ -7,6 +7,8 @@ reads it back; the oracle is the same data computed in SQL.
 
 from __future__ import annotations
 
+import uuid
+
 from churnscope.functions.schemas import RAW_COLUMNS
 from churnscope.plans.catalog.table_queries import decimals_as_double
 from churnscope.plans.registry import query
@@ -15,7 +17,7 @@ from churnscope.sources import io
 _RAW_SQL = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" if c == "MonthlyCharges" else c for c in RAW_COLUMNS)
 
 
-@query("src_csv_roundtrip", f"SELECT {_RAW_SQL} FROM raw_accounts", ("IO01", "IO02"))
+@query("src_csv_roundtrip", f"SELECT {_RAW_SQL} FROM raw_accounts", ("IO01",))
 def src_csv_roundtrip(fr):
     """Raw accounts written as a CSV export and read back with the declared
     schema; padded values and the one-space blank totals survive."""
@@ -23,6 +25,14 @@ def src_csv_roundtrip(fr):
     return decimals_as_double(io.read_raw_csv(fr.spark, path))
 
 
+@query("src_bulk_load", f"SELECT {_RAW_SQL} FROM raw_accounts", ("IO02",))
+def src_bulk_load(fr):
+    """A CSV export bulk-loaded into a table of the catalog, and that table (a
+    new one each time: a warehouse folder may outlive its catalog)."""
+    path = io.write_raw_csv(fr.raw, io.scratch_dir(fr.spark, "bulk") + "/raw_accounts")
+    return decimals_as_double(io.load_raw_table(fr.spark, path, f"churnscope_raw_{uuid.uuid4().hex}"))
+
+
 # SQL text valid for Spark and DuckDB; {table} is the typed accounts table.
 USER_QUERY = (
     "SELECT contract, internet_service, CAST(COUNT(*) AS BIGINT) AS customers, "
@@ -50,5 +60,5 @@ def sink_parquet_roundtrip(fr):
     """Typed accounts saved as Parquet clustered by churn flag, contract and
     tenure (the filter columns), then loaded back."""
     base = io.scratch_dir(fr.spark, "parquet")
-    io.save_table(fr.acct, base, "customers", sort_by=["churn_flag", "contract", "tenure"])
+    io.save_table(fr.acct, base, "customers", sort_by=["churn_flag", "contract", "tenure", "customer_id"])
     return decimals_as_double(io.load_table(fr.spark, base, "customers"))

@@ -1,8 +1,10 @@
 """Sources and sinks (IO01-IO10).
 
-* CSV exports are read with the declared raw schema (no inference), header,
-  fail-fast parsing, only the empty field as NULL, and whitespace kept (a
-  blank total held as one space must survive the read).
+* CSV exports are read by column name (any order, further columns ignored, a
+  missing one is an error), with quotes doubled inside quoted fields, the
+  declared raw types (no inference; a bad value fails the job), only the empty
+  field as NULL unless further words are given, and whitespace kept (a blank
+  total held as one space must survive the read).
 * SQL text runs on Spark's own engine over registered views, or is pushed
   to a JDBC source (the executors read the database directly).
 * Tables are written as Parquet.  An optional layout clusters rows by the
@@ -14,36 +16,65 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from churnscope.functions.schemas import RAW_SCHEMA
 from churnscope.session import ensure_checkpoint_dir
 
 CSV_READ_OPTIONS = {
     "header": "true",
+    "enforceSchema": "false",
     "mode": "FAILFAST",
+    "quote": '"',
+    "escape": '"',
     "nullValue": "",
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
 }
 CSV_WRITE_OPTIONS = {
     "header": "true",
+    "quote": '"',
+    "escape": '"',
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
 }
 
 
-def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    """IO01: the raw account export; a missing path raises FileNotFoundError."""
+# FIXED VALUES: words that the analysed project's CSV reader takes as missing.
+NULL_WORDS = (
+    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
+
+def read_raw_csv(
+    spark: SparkSession, path: str, null_words: tuple[str, ...] = (), multi_line: bool = False
+) -> DataFrame:
+    """IO01: the raw account export; a missing path raises FileNotFoundError, a
+    missing column ValueError.  ``null_words`` (e.g. ``NULL_WORDS``) are read as
+    NULL too; ``multi_line`` allows line ends inside quoted fields, at the price
+    of not splitting files."""
+    options = CSV_READ_OPTIONS | {"multiLine": str(multi_line).lower()}
     try:
-        return spark.read.schema(RAW_SCHEMA).options(**CSV_READ_OPTIONS).csv(path)
+        text = spark.read.options(**options).csv(path)
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
             raise FileNotFoundError(f"raw account export not found at {path}") from exc
         raise
+    missing = [f.name for f in RAW_SCHEMA.fields if f.name not in text.columns]
+    if missing:
+        raise ValueError(f"raw account export at {path} lacks the columns {', '.join(missing)}")
+
+    def value(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        return F.when(~c.isin(*null_words), c) if null_words else c
+
+    return text.select(*[value(f.name).cast(f.dataType).alias(f.name) for f in RAW_SCHEMA.fields])
 
 
 def write_raw_csv(df: DataFrame, path: str) -> str:
@@ -67,18 +98,49 @@ def reset_namespace(spark: SparkSession, namespace: str, drop_existing: bool = F
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{namespace}`")
 
 
+def postgres_options(
+    host: str | None = None, port: int | None = None, database: str | None = None,
+    user: str | None = None, password: str | None = None,
+) -> dict[str, str]:
+    """JDBC options of a PostgreSQL source; what is not given comes from
+    PG_HOST, PG_PORT, PG_DB, PG_USER and PG_PASSWORD, else from defaults."""
+    env = os.environ.get
+    host, port = host or env("PG_HOST", "localhost"), port or env("PG_PORT", "5432")
+    return {
+        "url": f"jdbc:postgresql://{host}:{port}/{database or env('PG_DB', 'saas_churn')}",
+        "driver": "org.postgresql.Driver",
+        "user": user or env("PG_USER", "postgres"),
+        "password": password or env("PG_PASSWORD", ""),
+    }
+
+
+PARTITION_OPTIONS = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
+
+
+def jdbc_options_for(query: str, jdbc_options: dict[str, str]) -> dict[str, str]:
+    """The options of a JDBC read.  A partitioned read must name a table, so the
+    query becomes a derived one; Spark then reads its ranges in parallel."""
+    if any(o in jdbc_options for o in PARTITION_OPTIONS[:3]):
+        lacking = [o for o in PARTITION_OPTIONS if o not in jdbc_options]
+        if lacking:
+            raise ValueError(f"a partitioned read also needs {', '.join(lacking)}")
+        return jdbc_options | {"dbtable": f"({query.strip().rstrip(';')}) q"}
+    return jdbc_options | {"query": query}
+
+
 def read_query(
     spark: SparkSession,
     query: str,
     jdbc_options: dict[str, str] | None = None,
 ) -> DataFrame:
     """IO05: run SQL text.  Without ``jdbc_options`` it runs on Spark over the
-    session's tables and views; with them (url, user, password, driver, and
-    optionally partitionColumn/lowerBound/upperBound/numPartitions) the query
-    is pushed to the database and read by the executors."""
+    session's tables and views; with them (url, user, password, driver, see
+    ``postgres_options``; with partitionColumn, lowerBound, upperBound and
+    numPartitions one task per range) the query is pushed to the database and
+    read by the executors."""
     if not jdbc_options:
         return spark.sql(query)
-    return spark.read.format("jdbc").options(**jdbc_options).option("query", query).load()
+    return spark.read.format("jdbc").options(**jdbc_options_for(query, jdbc_options)).load()
 
 
 def save_table(
@@ -91,12 +153,18 @@ def save_table(
 ) -> str:
     """IO06 + IO10: write ``df`` as Parquet under ``base/name`` and return the
     path.  ``sort_by`` clusters rows for min/max skipping; ``partition_by``
-    splits folders by (low-cardinality) columns."""
+    splits folders by (low-cardinality) columns.  ``sort_by`` should end with a
+    unique column: range bounds can then cut a hot value into several tasks.
+    With ``partition_by`` rows are dealt by range of those columns and the sort
+    columns (or a row hash), so a task writes few folders and a hot folder has
+    several writers."""
     path = f"{base.rstrip('/')}/{name}"
     out = df
-    if sort_by:
-        n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        out = out.repartitionByRange(n, *sort_by).sortWithinPartitions(*sort_by)
+    if sort_by or partition_by:
+        tie = [] if sort_by else [F.xxhash64(*df.columns)]
+        keys = [*(partition_by or []), *(sort_by or []), *tie]
+        out = out.repartitionByRange(num_partitions, *keys) if num_partitions else out.repartitionByRange(*keys)
+        out = out.sortWithinPartitions(*(partition_by or []), *(sort_by or []))
     writer = out.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -4,8 +4,8 @@ The analysed project loads one export at a time.  When exports keep
 arriving, the same reading rules (declared raw schema, header, fail-fast,
 whitespace kept) and the same row-level cleaning and typing apply unchanged
 to a streaming DataFrame, because those operators are pure projections.
-Outputs are appended to Parquet with a checkpoint in the shared checkpoint
-folder, so a restarted query resumes exactly where it stopped.
+Outputs are appended to Parquet with a checkpoint folder that the caller
+names, so a restarted query resumes exactly where it stopped.
 
 Churn counts per segment are the one stateful piece: the state is one row
 per segment (bounded by the label domain), kept by Spark's state store.
@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from churnscope.functions.schemas import RAW_SCHEMA
 from churnscope.operators.cleaning import build_accounts, clean
-from churnscope.sources.io import CSV_READ_OPTIONS, scratch_dir
+from churnscope.sources.io import CSV_READ_OPTIONS
 
 
 def stream_raw_exports(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -48,11 +48,10 @@ def segment_counts_stream(typed: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def append_to_parquet(df: DataFrame, path: str, checkpoint: str | None = None, once: bool = True) -> StreamingQuery:
+def append_to_parquet(df: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Append a cleaned stream to a Parquet table; ``once`` processes every
-    export present now and stops (availableNow), else it keeps running."""
-    spark = df.sparkSession
-    ckpt = checkpoint or scratch_dir(spark, "stream-ckpt")
-    writer = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", ckpt)
+    export present now and stops (availableNow), else it keeps running.  A query
+    restarted with the same ``checkpoint`` folder takes only new exports."""
+    writer = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")
     return writer.outputMode("append").start()
