@@ -113,23 +113,3 @@ def count_if(cond: Column) -> Column:
 
 def count_if_sql(cond: str) -> str:
     return f"CAST(COALESCE(SUM(CASE WHEN {cond} THEN 1 ELSE 0 END), 0) AS BIGINT)"
-
-
-# Accuracy of the approximate quantile option (relative rank error 1/accuracy).
-APPROX_ACCURACY = 100_000
-
-
-def quantile(c: Column | str, p, approx: bool = False) -> Column:
-    """Quantile(s) ``p`` of a column as double(s).
-
-    Exact by default (linear interpolation; memory grows with the number of
-    distinct values per group, fine for money in cents or 1-dp scores).
-    ``approx=True`` uses ``percentile_approx`` (bounded memory, for columns
-    with an unbounded number of distinct values); it returns an observed
-    value rather than an interpolated one."""
-    x = _col(c).cast("double")
-    if approx:
-        return F.percentile_approx(x, p, APPROX_ACCURACY).cast(
-            "array<double>" if isinstance(p, (list, tuple)) else "double"
-        )
-    return F.percentile(x, p)

@@ -16,22 +16,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnscope.functions.numeric import mean, money_mean, money_sum, pct, quantile, round_money, round_to
+from churnscope.functions.numeric import mean, money_mean, money_sum, pct, round_money, round_to
 from churnscope.functions.schemas import CONTRACT_M2M, INTERNET_FIBER, PAY_ECHECK
 from churnscope.operators.ranking import top_n_per_group
+from churnscope.operators.selection import quantiles
 
 
-def median_of(df: DataFrame, c: str, approx: bool = False) -> Column:
-    """Median (exact, linear interpolation; or approximate) as a scalar
-    subquery, 6 places."""
-    return df.select(round_to(quantile(c, 0.5, approx), 6)).scalar()
+def median_of(df: DataFrame, c: str) -> Column:
+    """Median (exact, linear interpolation) as a scalar subquery, 6 places."""
+    return quantiles(df, [c], [0.5]).select(round_to("value", 6)).scalar()
 
 
-def high_value_churners(acct: DataFrame, approx: bool = False) -> DataFrame:
+def high_value_churners(acct: DataFrame) -> DataFrame:
     """CO01: churned accounts above the overall median charge: size, average
     charge, lost revenue, average tenure, and the most common contract and
     payment method (ties: the first in sort order)."""
-    median = median_of(acct, "monthly_charges", approx)
+    median = median_of(acct, "monthly_charges")
     hv = acct.where((F.col("churn_flag") == 1) & (F.col("monthly_charges") > median))
     return hv.agg(
         F.count(F.lit(1)).cast("bigint").alias("high_value_churners"),
@@ -145,9 +145,11 @@ def risk_rank(acct: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def group_medians(df: DataFrame, key: str, cols: list[str], approx: bool = False) -> DataFrame:
-    """CO06: medians per group (exact linear interpolation by default), 6 places."""
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(
-        F.count(F.lit(1)).cast("bigint").alias("customers"),
-        *[round_to(quantile(c, 0.5, approx), 6).alias(f"median_{c}") for c in cols],
+def group_medians(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """CO06: medians per group (exact linear interpolation), 6 places."""
+    known = df.where(F.col(key).isNotNull())
+    sizes = known.groupBy(key).agg(F.count(F.lit(1)).cast("bigint").alias("customers"))
+    medians = quantiles(known, cols, [0.5], key).groupBy(key).agg(
+        *[round_to(F.max(F.when(F.col("name") == c, F.col("value"))), 6).alias(f"median_{c}") for c in cols]
     )
+    return sizes.join(medians, key, "left")

@@ -24,7 +24,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnscope.functions.numeric import mean, quantile, ratio, round_fine, round_to
+from churnscope.functions.numeric import mean, ratio, round_fine, round_to
+from churnscope.operators.selection import quantiles
 
 
 def group_stats(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -75,30 +76,26 @@ def value_counts_by_group(df: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
-def box_stats(df: DataFrame, group: str, value: str, approx: bool = False) -> DataFrame:
-    """Per group: n, min, quartiles, max, IQR and 1.5-IQR whiskers
-    (``approx=True``: approximate quartiles, bounded memory).  Whiskers are
-    found on the per-group value histogram, not by re-joining the rows."""
-    v = F.col(value).cast("double")
-    base = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    q = base.groupBy(group).agg(
-        F.count(F.lit(1)).cast("bigint").alias("n"),
-        F.min(v).alias("min"),
-        quantile(v, [0.25, 0.5, 0.75], approx).alias("_q"),
-        F.max(v).alias("max"),
+def quartiles(df: DataFrame, cols: list[str], group: str | None, names: list[str]) -> DataFrame:
+    """(group, name, and the three exact quartiles under ``names``), 6 places."""
+    long = quantiles(df, cols, [0.25, 0.5, 0.75], group)
+    keys = [*([group] if group else []), "name"]
+    return long.groupBy(*keys).agg(
+        *[round_to(F.max(F.when(F.col("p") == p, F.col("value"))), 6).alias(n) for p, n in zip((0.25, 0.5, 0.75), names)]
+    )
+
+
+def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Per group: n, min, quartiles, max, IQR and 1.5-IQR whiskers, all from
+    the per-group value histogram."""
+    hist = value_counts_by_group(df, group, value)
+    size = hist.groupBy(group).agg(F.sum("cnt").cast("bigint").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"))
+    quarter = quartiles(df.where(F.col(group).isNotNull()), [value], group, ["q1", "median", "q3"])
+    q = size.join(quarter, group).select(group, "n", "min", "q1", "median", "q3", "max").withColumn(
+        "iqr", round_to(F.col("q3") - F.col("q1"), 6)
     )
-    q = q.select(
-        group,
-        "n",
-        "min",
-        round_to(F.col("_q")[0], 6).alias("q1"),
-        round_to(F.col("_q")[1], 6).alias("median"),
-        round_to(F.col("_q")[2], 6).alias("q3"),
-        "max",
-    ).withColumn("iqr", round_to(F.col("q3") - F.col("q1"), 6))
     lo = F.col("q1") - 1.5 * F.col("iqr")
     hi = F.col("q3") + 1.5 * F.col("iqr")
-    hist = value_counts_by_group(df, group, value)
     whiskers = (
         hist.join(q.select(group, "q1", "q3", "iqr"), group, "inner")
         .groupBy(group)
@@ -137,12 +134,10 @@ def equal_width_histogram(df: DataFrame, group: str, value: str, bins: int = 20)
     )
 
 
-def feature_summary(
-    feat: DataFrame, cols: list[str], categorical: set[str], approx: bool = False
-) -> DataFrame:
+def feature_summary(feat: DataFrame, cols: list[str], categorical: set[str]) -> DataFrame:
     """FE24: one row per feature with count, unique, top, freq (categorical)
     and mean, std, min, quartiles, max (numeric); the other fields NULL.
-    Numeric statistics come from one aggregation; categorical counts from
+    Numeric moments come from one aggregation, quartiles from value histograms; categorical counts from
     one exploded (feature, value) aggregation; top ties break to the lowest
     value."""
     present = [c for c in cols if c in feat.columns]
@@ -158,7 +153,6 @@ def feature_summary(
                 round_to(mean(x), 6).alias(f"mean{i}"),
                 round_to(F.stddev_samp(x), 6).alias(f"std{i}"),
                 F.min(x).alias(f"min{i}"),
-                quantile(x, [0.25, 0.5, 0.75], approx).alias(f"q{i}"),
                 F.max(x).alias(f"max{i}"),
             ]
         wide = feat.agg(*aggs)
@@ -172,14 +166,14 @@ def feature_summary(
                 F.col(f"mean{i}").alias("mean"),
                 F.col(f"std{i}").alias("std"),
                 F.col(f"min{i}").alias("min"),
-                round_to(F.col(f"q{i}")[0], 6).alias("p25"),
-                round_to(F.col(f"q{i}")[1], 6).alias("p50"),
-                round_to(F.col(f"q{i}")[2], 6).alias("p75"),
                 F.col(f"max{i}").alias("max"),
             )
             for i, c in enumerate(numeric)
         ]
-        parts.append(wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*"))
+        quarter = quartiles(feat, numeric, None, ["p25", "p50", "p75"])
+        one = wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+        joined = one.join(quarter, one["feature"] == quarter["name"], "left")
+        parts.append(joined.select(*one.columns[:-1], "p25", "p50", "p75", "max"))
     if cats:
         pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in cats])
         vc = (

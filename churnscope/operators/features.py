@@ -38,6 +38,7 @@ from churnscope.functions.schemas import (
     TIER_HEALTHY,
     TIER_NEEDS,
 )
+from churnscope.operators.selection import quantiles
 
 
 def _is_yes(c: str) -> Column:
@@ -74,13 +75,12 @@ def contract_points(c: Column) -> Column:
 
 
 def global_scalars(df: DataFrame) -> DataFrame:
-    """The two global scalars of the feature pipeline, in ONE aggregate:
-    maximum tenure and the exact 75th percentile of monthly charges (6 dp).
-    Subqueries over this same plan are merged and run once."""
-    return df.agg(
-        F.max("tenure").alias("max_tenure"),
-        round_to(F.percentile(F.col("monthly_charges").cast("double"), 0.75), 6).alias("p75"),
-    )
+    """The two global scalars of the feature pipeline as one row: maximum
+    tenure and the exact 75th percentile of monthly charges (6 dp), both from
+    the value histogram of ``quantiles``."""
+    q = quantiles(df, ["tenure", "monthly_charges"], [0.75, 1.0])
+    at = lambda name, p: F.max(F.when((F.col("name") == name) & (F.col("p") == p), F.col("value")))
+    return q.agg(at("tenure", 1.0).cast("int").alias("max_tenure"), round_to(at("monthly_charges", 0.75), 6).alias("p75"))
 
 
 def add_tenure_features(df: DataFrame, scalars: DataFrame | None = None) -> DataFrame:

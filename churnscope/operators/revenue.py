@@ -34,7 +34,7 @@ from churnscope.functions.schemas import (
     RISK_TIER_LOW,
     RISK_TIERS,
 )
-from churnscope.operators.ranking import global_ntile
+from churnscope.operators.selection import ntile_columns
 
 
 def active() -> Column:
@@ -173,17 +173,13 @@ def ltv_by_contract(acct: DataFrame) -> DataFrame:
     )
 
 
-def revenue_pareto(acct: DataFrame, num_partitions: int | None = None) -> DataFrame:
+def revenue_pareto(acct: DataFrame) -> DataFrame:
     """RV06: quintiles of active accounts by charge (1 = highest), their MRR
     and share; shares use the MRR already rounded to whole units."""
     actives = acct.where(active()).select("customer_id", "monthly_charges")
-    q = global_ntile(
-        actives,
-        [F.col("monthly_charges").desc_nulls_last(), "customer_id"],
-        5,
-        "revenue_quintile",
-        num_partitions,
-    )
+    # highest first, NULL charges last
+    falling = F.coalesce(-F.col("monthly_charges").cast("double"), F.lit(float("inf")))
+    q = actives.withColumns(ntile_columns(actives, {"revenue_quintile": falling}, "customer_id", 5))
     summary = q.groupBy("revenue_quintile").agg(
         F.count(F.lit(1)).cast("bigint").alias("customers"),
         money_round(exact_sum("monthly_charges")).alias("mrr"),

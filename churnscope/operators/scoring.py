@@ -1,8 +1,7 @@
 """The scored accounts table (HS01, IO09): quintiles, 0-dp health score, tier.
 
-Quintiles are global NTILEs over three different orders; each uses the
-distributed ``global_ntile`` (range partitioning, no single-partition
-window).  The points are computed once as a column and reused by the score
+Quintiles are global NTILEs over three different orders, found by value cells
+(``selection.ntile_columns``): no sort of the rows.  The points are computed once as a column and reused by the score
 and the tier.
 """
 
@@ -22,7 +21,7 @@ from churnscope.functions.schemas import (
     TIER_NEEDS,
 )
 from churnscope.operators.features import contract_points, tenure_points
-from churnscope.operators.ranking import global_ntile
+from churnscope.operators.selection import ntile_columns
 
 SCORE_COLUMNS = [
     "customer_id",
@@ -74,26 +73,15 @@ def score_accounts(acct: DataFrame) -> DataFrame:
     return add_health_score_sql(acct.select(*SCORE_COLUMNS))
 
 
-def build_scores(acct: DataFrame, num_partitions: int | None = None) -> DataFrame:
+def build_scores(acct: DataFrame) -> DataFrame:
     """IO09: the scored table (13 columns) from typed accounts."""
     base = acct.select(*SCORE_COLUMNS)
-    ranked = global_ntile(
-        base, [F.col("tenure").asc_nulls_first(), "customer_id"], 5, "tenure_score_raw", num_partitions
-    )
-    ranked = global_ntile(
-        ranked,
-        [F.col("monthly_charges").asc_nulls_first(), "customer_id"],
-        5,
-        "charge_score_raw",
-        num_partitions,
-    )
-    ranked = global_ntile(
-        ranked,
-        [F.col("num_services").asc_nulls_first(), "customer_id"],
-        5,
-        "service_score_raw",
-        num_partitions,
-    )
+    orders = {
+        "tenure_score_raw": F.col("tenure"),
+        "charge_score_raw": F.col("monthly_charges"),
+        "service_score_raw": F.col("num_services"),
+    }
+    ranked = base.withColumns(ntile_columns(base, orders, "customer_id", 5))
     scored = add_health_score_sql(ranked)
     return scored.select(
         *SCORE_COLUMNS,

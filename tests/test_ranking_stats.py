@@ -162,3 +162,35 @@ def test_approx_quantiles_close_to_exact(spark):
     for g in (0, 1):
         assert abs(exact[g].median - approx[g].median) <= 2.0
         assert abs(exact[g].q3 - approx[g].q3) <= 2.0
+
+
+def test_ntile_by_value_cells_equals_ntile(spark):
+    from pyspark.sql import Window
+
+    from churnscope.operators.selection import ntile_columns
+
+    for n in (0, 3, 7, 200):
+        rows = [(f"A{(i * 7919) % 1000:019d}", None if i % 17 == 3 else i % 4, float(i % 9)) for i in range(n)]
+        df = spark.createDataFrame(rows, "id string, a int, b double")
+        got = df.withColumns(ntile_columns(df, {"qa": F.col("a"), "qb": -F.col("b")}, "id", 5))
+        want = {
+            (r.id, r.qa, r.qb)
+            for r in df.select(
+                "id",
+                F.ntile(5).over(Window.orderBy(F.col("a").asc_nulls_first(), "id")).alias("qa"),
+                F.ntile(5).over(Window.orderBy(F.col("b").desc(), "id")).alias("qb"),
+            ).collect()
+        }
+        assert {(r.id, r.qa, r.qb) for r in got.collect()} == want
+
+
+def test_histogram_quantiles_equal_percentile(spark):
+    from churnscope.operators.selection import quantiles
+
+    rows = [(i % 3 or None, float(i * 37 % 101) / 4 - 5, None if i % 5 else i) for i in range(150)]
+    df = spark.createDataFrame(rows, "g int, x double, y int")
+    got = {(r.g, r.name, r.p): r.value for r in quantiles(df, ["x", "y"], [0.25, 0.5, 1.0], "g").collect()}
+    for r in df.groupBy("g").agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(1.0))).alias(c) for c in "xy"]).collect():
+        for c in "xy":
+            for p, v in zip((0.25, 0.5, 1.0), r[c]):
+                assert abs(got[(r.g, c, p)] - v) < 1e-9
