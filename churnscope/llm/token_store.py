@@ -36,8 +36,10 @@ table gives an empty store.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -52,12 +54,21 @@ from churnscope.llm.text_arrays import mix, slices
 SLICE_BYTES = 1 << 20
 CHUNK_IDS = 1 << 18
 INDEX_KEYS = 1 << 17
-TABLE_ENTRIES = 300_000
+TABLE_ENTRIES = 700_000
 GAMMA = 2  # bits per key in a level
 _U = np.uint64
 
 # -- encoding ----------------------------------------------------------
 
+# fixed value: the published pattern of byte-level pre-tokens
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The same for texts of ASCII and Latin letters up to U+024F, where letters,
+# digits and white space are these ranges.
+_LETTERS, _BLANKS = "A-Za-zÀ-ÖØ-öø-ɏ", "\t-\r "
+_SIMPLE = re.compile(
+    f"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[^{_BLANKS}{_LETTERS}0-9]+|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+"
+).findall
+_OTHER = re.compile(f"[^\x00-\x7f{_LETTERS}]").search
 
 class Encoder:
     """Ids of texts as the tokenizers library gives them, without special
@@ -72,35 +83,36 @@ class Encoder:
         self.item = np.uint16 if size <= 1 << 16 else np.uint32
         pre, model = parts.get("pre_tokenizer") or {}, parts["model"]
         self.special = [t["content"] for t in parts.get("added_tokens") or []]
-        self.split = None
+        self.general = None
         if (
             parts.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
             and model["type"] == "BPE" and not model.get("dropout")
         ):
             import regex
 
-            # fixed value: the published pattern of byte-level pre-tokens
-            self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+            self.general = regex.compile(PRE_TOKENS).findall
         self.table: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.item).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens of a text."""
+        return self.general(text) if not text.isascii() and _OTHER(text) else _SIMPLE(text)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as raw little-endian items."""
-        if self.split is None or any(s in t for t in texts for s in self.special):
+        if self.general is None or any(s in t for t in texts for s in self.special):
             return self._library(texts)
         cut = [self.split(t) for t in texts]
         known = self.table
-        missing = list({w for c in cut for w in c if w not in known})
-        found = dict(zip(missing, self._library(missing))) if missing else {}
-        room = TABLE_ENTRIES - len(known)
-        if len(found) <= room:
-            known.update(found)
-            return [b"".join([known[w] for w in c]) for c in cut]
-        for w in missing[: max(0, room)]:
-            known[w] = found[w]
-        return [b"".join([known.get(w) or found.get(w, b"") for w in c]) for c in cut]
+        missing = list(set(chain.from_iterable(cut)).difference(known))
+        if missing:
+            known.update(zip(missing, self._library(missing)))
+        out = [b"".join(map(known.__getitem__, c)) for c in cut]
+        for w in missing[: max(0, len(known) - TABLE_ENTRIES)]:  # what the table has no room for
+            del known[w]
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -20,7 +20,7 @@ def library(text):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(alphabet=" \t\n'abcsd1é日🙂!.<|", max_size=40))
+@given(st.text(alphabet=" \t\n'abcsd1éÉ日🙂!.<|²ªµ×\xa0\x85\x1c\u2028ǀ٣\u0301", max_size=40))
 def test_encoder_equals_the_library(text):
     assert np.frombuffer(Encoder(SPEC).encode([text])[0], np.uint16).tolist() == library(text)
 
