@@ -28,36 +28,35 @@ from churnscope.functions.numeric import mean, ratio, round_fine, round_to
 from churnscope.operators.selection import quantiles
 
 
-def group_stats(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Per group: n and sample standard deviation of ``value``."""
-    return df.where(F.col(value).isNotNull()).groupBy(group).agg(
-        F.count(F.lit(1)).cast("bigint").alias("n"),
-        F.stddev_samp(F.col(value).cast("double")).alias("sd"),
-    )
-
-
 def kde_on_grid(
     df: DataFrame,
     group: str,
     value: str,
-    start: int,
-    stop: int,
+    start: int | None = None,
+    stop: int | None = None,
     step: int = 1,
     digits: int = 10,
 ) -> DataFrame:
     """Gaussian KDE (Scott's rule) of ``value`` per ``group`` at the grid
-    points start, start+step, ..., stop.  One row per (group, point)."""
+    points start, start+step, ..., stop; by default from three bandwidths below
+    the group's smallest value to three above its largest.  One row per
+    (group, point)."""
     hist = value_counts_by_group(df, group, value).withColumn("cnt", F.col("cnt").cast("double"))
-    stats = group_stats(df.where(F.col(group).isNotNull()), group, value).withColumn(
-        "bw", F.col("sd") * F.pow(F.col("n").cast("double"), -0.2)
-    )
-    # One row per group on the small side: the group count bounds it.
+    n, total = F.sum("cnt"), F.sum(F.col("cnt") * F.col("v"))
+    spread = F.sum(F.col("cnt") * F.col("v") * F.col("v")) - total * total / n
+    # One row per group: the group count bounds it.  All from the histogram.
+    stats = hist.groupBy(group).agg(
+        n.alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+        F.sqrt(F.greatest(F.coalesce(ratio(spread, n - 1), F.lit(0.0)), F.lit(0.0))).alias("sd"),
+    ).withColumn("bw", F.col("sd") * F.pow(F.col("n"), -0.2))
+    low = F.lit(start) if start is not None else F.floor(F.col("lo") - 3 * F.col("bw")).cast("int")
+    high = F.lit(stop) if stop is not None else F.ceil(F.col("hi") + 3 * F.col("bw")).cast("int")
     with_bw = hist.join(stats, group, "inner")
-    grid = F.explode(F.sequence(F.lit(start), F.lit(stop), F.lit(step))).alias("x")
+    grid = F.explode(F.sequence(low, high, F.lit(step))).alias("x")
     terms = with_bw.select(group, "cnt", "v", "bw", "n", grid)
     zscore = ratio(F.col("x") - F.col("v"), F.col("bw"))
     contrib = F.col("cnt") * F.exp(-0.5 * zscore * zscore)
-    norm = F.col("n").cast("double") * F.col("bw") * math.sqrt(2.0 * math.pi)
+    norm = F.col("n") * F.col("bw") * math.sqrt(2.0 * math.pi)
     # n and bw are fixed per group, so grouping by them adds no split.
     dens = terms.groupBy(group, "x", "n", "bw").agg(F.sum(contrib).alias("_s"))
     dens = dens.withColumn("_d", ratio(F.col("_s"), norm))

@@ -63,6 +63,23 @@ def erfc(x: Column) -> Column:
     return t * F.exp(-x * x + F.lit(ERFC_BIAS) + t * poly)
 
 
+def log10_erfc(x: Column) -> Column:
+    """log10 of ``erfc`` for x >= 0, also where erfc itself is below any double."""
+    t = 1.0 / (1.0 + 0.5 * x)
+    poly = F.lit(ERFC_COEFFS[-1])
+    for c in reversed(ERFC_COEFFS[:-1]):
+        poly = F.lit(c) + t * poly
+    return (F.ln(t) - x * x + F.lit(ERFC_BIAS) + t * poly) / math.log(10.0)
+
+
+def log10_erfc_sql(x: str) -> str:
+    t = f"(1.0 / (1.0 + 0.5 * ({x})))"
+    poly = f"{ERFC_COEFFS[-1]}"
+    for c in reversed(ERFC_COEFFS[:-1]):
+        poly = f"({c} + {t} * {poly})"
+    return f"((ln({t}) - ({x}) * ({x}) + ({ERFC_BIAS}) + {t} * {poly}) / {math.log(10.0)!r})"
+
+
 def erfc_sql(x: str) -> str:
     t = f"(1.0 / (1.0 + 0.5 * ({x})))"
     poly = f"{ERFC_COEFFS[-1]}"
@@ -86,8 +103,8 @@ def value_histogram(df: DataFrame, value: str, group: Column) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, value: str, group: Column) -> DataFrame:
-    """One row: n1, n2, U (of the first group), z, two-sided p, significance
-    at 0.05, and U / (n1 n2) (the AUC of ``value`` for the first group).
+    """One row: n1, n2, U (of the first group), z, two-sided p and its log10
+    (which keeps tiny p apart that round to 0), significance at 0.05, and U / (n1 n2) (the AUC of ``value`` for the first group).
     Empty groups or all-equal values give NULL z and p."""
     hist = prefix_sums(value_histogram(df, value, group), "v", ["c"])
     ranked = hist.withColumn(
@@ -109,12 +126,14 @@ def mann_whitney(df: DataFrame, value: str, group: Column) -> DataFrame:
     z = ratio(F.greatest(u1, u2) - mu - 0.5, sigma)
     # Two-sided p = 2 * (1 - Phi(z)) = erfc(z / sqrt(2)).
     p = F.when(z.isNotNull(), F.least(erfc(z / math.sqrt(2.0)), F.lit(1.0)))
+    log_p = F.when(z.isNotNull(), F.least(log10_erfc(F.greatest(z, F.lit(0.0)) / math.sqrt(2.0)), F.lit(0.0)))
     out = s.select(
         n1.cast("bigint").alias("n1"),
         n2.cast("bigint").alias("n2"),
         F.when((n1 > 0) & (n2 > 0), u1).alias("u_statistic"),
         F.when((n1 > 0) & (n2 > 0), round_to(z, 6)).alias("z_score"),
         F.when((n1 > 0) & (n2 > 0), round_to(p, 6)).alias("p_value"),
+        F.when((n1 > 0) & (n2 > 0), round_to(log_p, 6)).alias("log10_p_value"),
     )
     return out.withColumns(
         {

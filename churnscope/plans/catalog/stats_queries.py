@@ -43,14 +43,16 @@ def _mw_sql(value: str, group_cond: str, frame: str) -> str:
         f"FROM ({u}) u"
     )
     p_expr = f"CASE WHEN z IS NOT NULL THEN LEAST({stats.erfc_sql(f'z / {SQRT2}')}, 1.0) END"
+    log_p = f"CASE WHEN z IS NOT NULL THEN LEAST({stats.log10_erfc_sql(f'GREATEST(z, 0.0) / {SQRT2}')}, 0.0) END"
     ok = "n1 > 0 AND n2 > 0"
     return (
-        "SELECT n1, n2, u_statistic, z_score, p_value, p_value < 0.05 AS significant, "
+        "SELECT n1, n2, u_statistic, z_score, p_value, log10_p_value, p_value < 0.05 AS significant, "
         f"{round_to_sql('u_statistic / NULLIF(CAST(n1 * n2 AS DOUBLE), 0)', 6)} AS auc FROM ("
         "SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, "
         f"CASE WHEN {ok} THEN u1 END AS u_statistic, "
         f"CASE WHEN {ok} THEN {round_to_sql('z', 6)} END AS z_score, "
-        f"CASE WHEN {ok} THEN {round_to_sql(p_expr, 6)} END AS p_value "
+        f"CASE WHEN {ok} THEN {round_to_sql(p_expr, 6)} END AS p_value, "
+        f"CASE WHEN {ok} THEN {round_to_sql(log_p, 6)} END AS log10_p_value "
         f"FROM ({z}) z) t"
     )
 
@@ -108,16 +110,20 @@ def corr_matrix(fr):
     return stats.corr_matrix(fr.feat, MATRIX_COLS)
 
 
-def _kde_sql(value: str, start: int, stop: int) -> str:
+def _kde_sql(value: str, start: int | None, stop: int | None) -> str:
     base = f"SELECT churn_flag, CAST({value} AS DOUBLE) AS v FROM feat WHERE {value} IS NOT NULL AND churn_flag IS NOT NULL"
+    low = "CAST(FLOOR(lo - 3 * bw) AS BIGINT)" if start is None else str(start)
+    high = "CAST(CEIL(hi + 3 * bw) AS BIGINT)" if stop is None else str(stop)
     return (
         "SELECT churn_flag, CAST(x AS INTEGER) AS x, "
         f"{round_fine_sql(f'SUM(cnt * exp(-0.5 * z * z)) / NULLIF(CAST(n AS DOUBLE) * bw * {SQRT_2PI}, 0)', 10)} AS density "
-        "FROM (SELECT h.churn_flag, h.cnt, st.n, st.bw, g.x, (g.x - h.v) / NULLIF(st.bw, 0) AS z FROM "
+        "FROM (SELECT h.churn_flag, h.cnt, st.n, st.bw, st.x, (st.x - h.v) / NULLIF(st.bw, 0) AS z FROM "
         f"(SELECT churn_flag, v, CAST(COUNT(*) AS DOUBLE) AS cnt FROM ({base}) b GROUP BY churn_flag, v) h "
-        "JOIN (SELECT churn_flag, CAST(COUNT(*) AS BIGINT) AS n, STDDEV_SAMP(v) * POW(CAST(COUNT(*) AS DOUBLE), -0.2) AS bw "
-        f"FROM ({base}) b2 GROUP BY churn_flag) st ON h.churn_flag = st.churn_flag "
-        f"CROSS JOIN range({start}, {stop + 1}) g(x)) t GROUP BY churn_flag, x, n, bw"
+        f"JOIN (SELECT churn_flag, n, bw, UNNEST(range({low}, {high} + 1)) AS x FROM ("
+        "SELECT churn_flag, CAST(COUNT(*) AS BIGINT) AS n, MIN(v) AS lo, MAX(v) AS hi, "
+        "COALESCE(STDDEV_SAMP(v), 0) * POW(CAST(COUNT(*) AS DOUBLE), -0.2) AS bw "
+        f"FROM ({base}) b2 GROUP BY churn_flag) s0) st ON h.churn_flag = st.churn_flag"
+        ") t GROUP BY churn_flag, x, n, bw"
     )
 
 
@@ -127,10 +133,11 @@ def chart_tenure_density(fr):
     return distributions.kde_on_grid(fr.feat, "churn_flag", "tenure", 0, 75)
 
 
-@query("chart_charges_density", _kde_sql("monthly_charges", 0, 130), ("CH04",))
+@query("chart_charges_density", _kde_sql("monthly_charges", None, None), ("CH04",))
 def chart_charges_density(fr):
-    """Gaussian KDE of monthly charges per churn status on the grid 0..130."""
-    return distributions.kde_on_grid(fr.feat, "churn_flag", "monthly_charges", 0, 130)
+    """Gaussian KDE of monthly charges per churn status, over all charges and
+    three bandwidths beyond them."""
+    return distributions.kde_on_grid(fr.feat, "churn_flag", "monthly_charges")
 
 
 def _box_sql() -> str:

@@ -1,8 +1,8 @@
 """All chart data in one call (CH10).
 
-The eight charts of the analysed project all read the same feature frame.
-``chart_data`` persists that frame once (memory, spilling to disk) and
-returns the lazy DataFrames behind each chart; ``release()`` unpersists it.
+The charts of the analysed project all read the same feature frame.
+``chart_data`` persists the columns they need once (memory, spilling to disk)
+and returns the lazy DataFrames behind each chart; ``release()`` unpersists it.
 Drawing is left to the caller: these are the numbers a plot needs.
 """
 
@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.functions.numeric import pct
-from churnscope.functions.schemas import INTERNET_VALUES
-from churnscope.operators import distributions
+from churnscope.functions.schemas import CORR_FEATURES, INTERNET_VALUES
+from churnscope.operators import distributions, stats
 from churnscope.operators.segments import pivot_mean, segment_churn
 
 
@@ -30,7 +30,8 @@ class ChartData(dict):
 
 
 def chart_data(feat: DataFrame) -> ChartData:
-    base = feat.persist(StorageLevel.MEMORY_AND_DISK)
+    needed = ["churn_flag", "contract", "internet_service", "payment_method", *CORR_FEATURES]
+    base = feat.select(*needed).persist(StorageLevel.MEMORY_AND_DISK)
     churned = F.sum("churn_flag")
     total = F.count(F.lit(1))
     frames = {
@@ -41,6 +42,8 @@ def chart_data(feat: DataFrame) -> ChartData:
         ),
         "contract": segment_churn(base, ["contract"], drop_null_keys=True),
         "tenure_density": distributions.kde_on_grid(base, "churn_flag", "tenure", 0, 75),
+        "charges_density": distributions.kde_on_grid(base, "churn_flag", "monthly_charges"),
+        "correlation": stats.corr_matrix(base, [*CORR_FEATURES, "churn_flag"]),
         "charges_box": distributions.box_stats(base, "churn_flag", "monthly_charges"),
         "heatmap": pivot_mean(
             base.where(F.col("contract").isNotNull()),

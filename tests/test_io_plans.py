@@ -183,8 +183,9 @@ def test_chart_bundle(spark):
     data = chart_data(Frames(spark, SF_SMALL).feat)
     try:
         assert set(data) >= {"overview", "contract", "tenure_density", "charges_box", "heatmap",
-                             "health_hist", "payment", "services"}
+                             "health_hist", "payment", "services", "charges_density", "correlation"}
         assert data["heatmap"].count() == 3 and data["health_hist"].count() == 40
+        assert data["correlation"].count() == 136
     finally:
         data.release()
 

@@ -113,6 +113,13 @@ def test_mann_whitney_one_sided_and_constant(spark):
     assert r.z_score is None and r.p_value is None
 
 
+def test_tiny_p_values_stay_apart(spark):
+    df = spark.createDataFrame([(v, 1) for v in range(100, 300)] + [(v, 0) for v in range(90)], "t int, g int")
+    r = stats.mann_whitney(df, "t", F.col("g") == 1).first()
+    _, _, p = _brute_mann_whitney(list(range(100, 300)), list(range(90)))
+    assert p < 1e-12 and r.p_value == 0 and abs(r.log10_p_value - math.log10(p)) < 1e-5
+
+
 def test_erfc_fit_accuracy(spark):
     xs = [0.0, 0.1, 0.5, 1.0, 2.0, 3.5, 6.0]
     df = spark.createDataFrame([(x,) for x in xs], "x double")
