@@ -46,7 +46,7 @@ def main(argv: list[str] | None = None) -> int:
     import os
 
     master = args.master or (None if os.environ.get("SPARK_ENV_LOADED") else "local[*]")
-    spark = build_session(master=master, shuffle_partitions=int(os.environ.get("SHUFFLE_PARTITIONS", "200")))
+    spark = build_session(master=master)
     key = args.data or f"csv:{args.raw_csv}"
     if args.raw_csv:
         register_accounts_table(spark, key, args.raw_csv)

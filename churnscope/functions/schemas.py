@@ -119,6 +119,16 @@ SERVICE_DEPTH = [(0, 0, "None"), (1, 2, "Low (1-2)"), (3, 4, "Medium (3-4)"), (5
 RISK_TIERS = [(5, "Critical (5-7)"), (3, "High (3-4)"), (2, "Medium (2)")]
 RISK_TIER_LOW = "Low (0-1)"
 
+# Points of the add-on risk score: a condition (SQL text, both engines), points.
+RISK_POINTS = [
+    (f"contract = '{CONTRACT_M2M}'", 2),
+    (f"internet_service = '{INTERNET_FIBER}'", 1),
+    (f"payment_method = '{PAY_ECHECK}'", 1),
+    ("NOT has_tech_support", 1),
+    ("tenure < 12", 1),
+    ("num_services <= 1", 1),
+]
+
 # Pareto quintile labels, quintile 1 = highest charges.
 PARETO_LABELS = ["Top 20%", "20-40%", "40-60%", "60-80%", "Bottom 20%"]
 
@@ -133,6 +143,15 @@ UPSELL_SUPPORT = "Tech Support"
 UPSELL_AUTOPAY = "Auto-pay setup"
 UPSELL_PREMIUM = "Premium plan upgrade"
 
+# First matching condition (SQL text, both engines) gives the label.
+ACTION_RULES = [
+    (f"contract = '{CONTRACT_M2M}' AND monthly_charges > 70", ACTION_ANNUAL),
+    ("NOT is_autopay", ACTION_AUTOPAY),
+    ("NOT has_tech_support AND monthly_charges > 60", ACTION_SUPPORT),
+    ("TRUE", ACTION_CSM),
+]
+UPSELL_RULES = [("NOT has_tech_support", UPSELL_SUPPORT), ("NOT is_autopay", UPSELL_AUTOPAY), ("TRUE", UPSELL_PREMIUM)]
+
 # Industry churn benchmark (percent) used by the gap query and the chart line.
 BENCHMARK_CHURN_PCT = 7.0
 

@@ -13,11 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.functions.numeric import count_if, mean, money_mean, money_sum, pct, ratio, round_money, round_to
+from churnscope.functions.rules import first_match
 from churnscope.functions.schemas import (
-    ACTION_ANNUAL,
-    ACTION_AUTOPAY,
-    ACTION_CSM,
-    ACTION_SUPPORT,
+    ACTION_RULES,
     CONTRACT_M2M,
     MIGRATION_DISCOUNTS,
     MIGRATION_MIN_TENURE,
@@ -29,9 +27,7 @@ from churnscope.functions.schemas import (
     PAY_ECHECK,
     TIER_AT_RISK,
     TIER_HEALTHY,
-    UPSELL_AUTOPAY,
-    UPSELL_PREMIUM,
-    UPSELL_SUPPORT,
+    UPSELL_RULES,
 )
 from churnscope.operators.ranking import global_rank
 
@@ -83,13 +79,7 @@ def tier_summary(scored: DataFrame) -> DataFrame:
 
 
 def recommended_action():
-    """First matching rule wins."""
-    return (
-        F.when((F.col("contract") == CONTRACT_M2M) & (F.col("monthly_charges") > 70), ACTION_ANNUAL)
-        .when(~F.col("is_autopay"), ACTION_AUTOPAY)
-        .when(~F.col("has_tech_support") & (F.col("monthly_charges") > 60), ACTION_SUPPORT)
-        .otherwise(ACTION_CSM)
-    )
+    return first_match(ACTION_RULES)
 
 
 def priority_list(scored: DataFrame, n: int = 100) -> DataFrame:
@@ -115,11 +105,7 @@ def priority_list(scored: DataFrame, n: int = 100) -> DataFrame:
 
 
 def upsell_label():
-    return (
-        F.when(~F.col("has_tech_support"), UPSELL_SUPPORT)
-        .when(~F.col("is_autopay"), UPSELL_AUTOPAY)
-        .otherwise(UPSELL_PREMIUM)
-    )
+    return first_match(UPSELL_RULES)
 
 
 def expansion_list(scored: DataFrame, n: int = 50) -> DataFrame:

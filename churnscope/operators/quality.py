@@ -50,30 +50,20 @@ def profile(df: DataFrame) -> DataFrame:
     return _rows(wide, structs)
 
 
+# Columns of the completeness table, after the row count.
+COMPLETENESS_COLUMNS = ["customer_id", "monthly_charges", "tenure", "churn_flag"]
+
+
 def completeness(acct: DataFrame) -> DataFrame:
     """Q02: check table (check_name, result as text, note) in one pass."""
     wide = acct.agg(
-        F.count(F.lit(1)).alias("total"),
-        count_if(F.col("customer_id").isNull()).alias("n_id"),
-        count_if(F.col("monthly_charges").isNull()).alias("n_monthly"),
-        count_if(F.col("tenure").isNull()).alias("n_tenure"),
-        count_if(F.col("churn_flag").isNull()).alias("n_churn"),
+        F.count(F.lit(1)).alias("total"), *[count_if(F.col(c).isNull()).alias(c) for c in COMPLETENESS_COLUMNS]
     )
-    checks = [
-        ("Total rows", "total", "Expected > 0"),
-        ("Null customer_id", "n_id", "Expected 0"),
-        ("Null monthly_charges", "n_monthly", "Expected 0"),
-        ("Null tenure", "n_tenure", "Expected 0"),
-        ("Null churn_flag", "n_churn", "Expected 0"),
-    ]
+    checks = [("Total rows", "total", "Expected > 0"), *[(f"Null {c}", c, "Expected 0") for c in COMPLETENESS_COLUMNS]]
     return _rows(
         wide,
         [
-            F.struct(
-                F.lit(name).alias("check_name"),
-                F.col(c).cast("string").alias("result"),
-                F.lit(note).alias("note"),
-            )
+            F.struct(F.lit(name).alias("check_name"), F.col(c).cast("string").alias("result"), F.lit(note).alias("note"))
             for name, c, note in checks
         ],
     )

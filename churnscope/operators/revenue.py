@@ -24,6 +24,7 @@ from churnscope.functions.numeric import (
     round_money,
     round_to,
 )
+from churnscope.functions.rules import points
 from churnscope.functions.schemas import (
     CONTRACT_M2M,
     INTERNET_FIBER,
@@ -31,6 +32,7 @@ from churnscope.functions.schemas import (
     PAY_ECHECK,
     PROGRAM_TOTAL,
     PROGRAMS,
+    RISK_POINTS,
     RISK_TIER_LOW,
     RISK_TIERS,
 )
@@ -93,16 +95,9 @@ def mrr_breakdown(acct: DataFrame) -> DataFrame:
     ).orderBy("contract", "churn_flag")
 
 
-def addon_risk_score(df: DataFrame) -> Column:
+def addon_risk_score() -> Column:
     """0-7 risk points of an account (typed accounts table)."""
-    return (
-        F.when(F.col("contract") == CONTRACT_M2M, 2).otherwise(0)
-        + F.when(F.col("internet_service") == INTERNET_FIBER, 1).otherwise(0)
-        + F.when(F.col("payment_method") == PAY_ECHECK, 1).otherwise(0)
-        + F.when(F.col("has_tech_support") == F.lit(False), 1).otherwise(0)
-        + F.when(F.col("tenure") < 12, 1).otherwise(0)
-        + F.when(F.col("num_services") <= 1, 1).otherwise(0)
-    )
+    return points(RISK_POINTS)
 
 
 def risk_tier_label(score: Column) -> Column:
@@ -118,7 +113,7 @@ def risk_tier_label(score: Column) -> Column:
 
 def risk_tiers(acct: DataFrame) -> DataFrame:
     """RV03: active accounts by add-on risk tier with MRR/ARR at risk."""
-    scored = acct.where(active()).withColumn("risk_tier", risk_tier_label(addon_risk_score(acct)))
+    scored = acct.where(active()).withColumn("risk_tier", risk_tier_label(addon_risk_score()))
     mrr_sum = exact_sum("monthly_charges")
     return (
         scored.groupBy("risk_tier")

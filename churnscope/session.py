@@ -8,6 +8,7 @@ only a local-mode session without that setting gets a scratch folder.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -27,7 +28,7 @@ BASE_CONF: dict[str, str] = {
 
 def build_session(
     master: str | None = "local[*]",
-    shuffle_partitions: int = 8,
+    shuffle_partitions: int | None = None,
     app_name: str = "churnscope",
     extra_conf: dict[str, str] | None = None,
 ) -> SparkSession:
@@ -35,8 +36,8 @@ def build_session(
     if master:  # None: keep the master given by spark-submit / the cluster
         builder = builder.master(master)
     conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", "8g")
+    if shuffle_partitions:  # else Spark's or the cluster's setting
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra_conf or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -75,7 +76,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; point it at a shared folder "
             "(HDFS/S3/ABFS) before running operators that cut lineage"
