@@ -2,9 +2,9 @@
 
 Every feature is a column expression over one row, except two global
 scalars (maximum tenure and the 75th percentile of monthly charges).  Those
-are uncorrelated scalar subqueries over one aggregate: Spark runs the
-aggregate once (partial + final, a one-row result), merges the two
-subqueries into one, and never joins or broadcasts a table for them.
+are scalar subqueries over one row, which ``selection.quantiles`` finds from
+value histograms: counts per value cell, then the values of the cells that
+hold a wanted rank.
 """
 
 from __future__ import annotations

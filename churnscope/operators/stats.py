@@ -107,11 +107,10 @@ def mann_whitney(df: DataFrame, value: str, group: Column) -> DataFrame:
     (which keeps tiny p apart that round to 0), significance at 0.05, and U / (n1 n2) (the AUC of ``value`` for the first group).
     Empty groups or all-equal values give NULL z and p."""
     hist = prefix_sums(value_histogram(df, value, group), "v", ["c"])
-    ranked = hist.withColumn(
-        "avg_rank", F.col("c_before").cast("double") + (F.col("c").cast("double") + 1.0) / 2.0
-    )
-    s = ranked.agg(
-        F.sum(F.col("n1").cast("double") * F.col("avg_rank")).alias("r1"),
+    # Twice the rank sum of a value's rows, a whole number: exact in any order.
+    twice = F.col("n1").cast("decimal(18,0)") * (F.col("c_before") * 2 + F.col("c") + 1).cast("decimal(19,0)")
+    s = hist.agg(
+        (F.sum(twice).cast("double") / 2.0).alias("r1"),
         F.sum("n1").cast("double").alias("n1"),
         F.sum("n2").cast("double").alias("n2"),
         F.sum(F.pow(F.col("c").cast("double"), 3) - F.col("c").cast("double")).alias("tie"),
