@@ -2,14 +2,14 @@ from __future__ import annotations
 
 import public_tokenizers
 import sentencepiece
-from test_chosen_path import brute as classes_of
-from test_decontaminate import plain
-from test_suffix_dedup import brute as repeats_of
-
 import corpus_pipeline
 from churnscope.llm import cotrain_quality
 from churnscope.llm.suffix_dedup import kept_text
 
+from .test_chosen_path import brute as classes_of
+from .test_decontaminate import plain
+from .test_suffix_dedup import brute as repeats_of
+
 
 def expected(docs, labels, benchmark, kept_ids):
     """doc_id -> ids by brute force; ``kept_ids`` pass the classifier."""
