@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 
 from churnscope.llm.text_arrays import column_bytes, slices, words
 
-PER_CLASS = 3000
-CALIBRATION = 6000
+PER_CLASS = 2500
+CALIBRATION = 3000
 NEIGHBOURS = 100
 POWER = 1.0
 HEAD = 5
@@ -179,11 +179,8 @@ def _texts(docs: DataFrame, ids: list[int]) -> pa.RecordBatch:
     """Texts of a bounded sample, one per id, in id order."""
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(i,) for i in ids], "doc_id long")
-    rows = docs.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([r["text"] for r in rows], pa.string())], ["doc_id", "text"]
-    )
+    table = docs.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).toArrow()
+    return table.sort_by("doc_id").combine_chunks().to_batches()[0] if table.num_rows else pa.RecordBatch.from_pydict({"doc_id": [], "text": []})
 
 
 def _document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
@@ -213,6 +210,19 @@ def _document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.n
     return counts, sum(r["n"] for r in rows)
 
 
+def _example_features(batch: pa.RecordBatch, wanted: np.ndarray) -> Iterator[np.ndarray]:
+    """The distinct features of each wanted row, slice by slice."""
+    at = 0
+    for part in slices(batch, "text", SLICE_BYTES):
+        doc, feature = tokens(*column_bytes(part.column("text")))
+        use = wanted[at + doc]
+        doc, feature = doc[use], feature[use]
+        order = np.lexsort((feature, doc))
+        doc, feature = doc[order], feature[order]
+        yield feature[np.concatenate(([True], (doc[1:] != doc[:-1]) | (feature[1:] != feature[:-1])))[: len(doc)]]
+        at += part.num_rows
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Learns from ``labels`` (id, label 0/1); their texts are in ``docs``."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -232,17 +242,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return empty
     ids = np.array(batch.column("doc_id").to_pylist())
     in_index = np.isin(ids, list(label_of))
-    raw = column_bytes(batch.column("text"))
-    doc, feature = tokens(*raw)
-    pairs = np.unique(np.stack((feature[in_index[doc]], doc[in_index[doc]].astype(_U))), axis=1)[0] if in_index.any() else feature[:0]
-    vocabulary, examples = np.unique(pairs, return_counts=True)
-    vocabulary = vocabulary[examples >= max(1, in_index.sum() // MIN_SHARE)]
+    examples, count = np.unique(np.concatenate([np.zeros(0, _U), *_example_features(batch, in_index)]), return_counts=True)
+    vocabulary = examples[count >= max(1, in_index.sum() // MIN_SHARE)]
     if not len(vocabulary):
         return empty
     df, total = _document_frequencies(docs, vocabulary)
     usual = (df <= MAX_DF * total) | (total < 100)
     vocabulary, idf = vocabulary[usual], np.log((1 + total) / (1 + df[usual]))
-    doc, term, count = term_counts(vocabulary, *raw)
+    some, at = [], 0
+    for part in slices(batch, "text", SLICE_BYTES):
+        d, t, c = term_counts(vocabulary, *column_bytes(part.column("text")))
+        some.append((d + at, t, c))
+        at += part.num_rows
+    doc, term, count = (np.concatenate(c) for c in zip(*some))
     use, number = in_index[doc], np.cumsum(in_index) - 1
     mine = ids[in_index]
     # like labels and sizes share blocks, which tightens the bounds
