@@ -47,8 +47,9 @@ BRANCH = 1.5
 RECALL = 0.99999
 LEVELS = 3
 LIMIT = 8192
-BLOCK_SETS = 1024
-BLOCK_TOKENS = 1 << 18
+BLOCK_SETS = 3072
+BLOCK_TOKENS = 1 << 20
+TOKEN_BYTES = 5  # of a token in the sets that are compared
 SLICE_BYTES = 1 << 20
 _U = np.uint64
 
@@ -78,6 +79,19 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return token[keep], out
 
 
+def pack_set(token: np.ndarray) -> bytes:
+    """A set as sorted differences of 40-bit tokens, byte plane by byte plane.
+    Two of n tokens fall together with probability n^2 / 2^41."""
+    short = np.sort(token >> _U(64 - 8 * TOKEN_BYTES))
+    return np.diff(short, prepend=_U(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].T.tobytes()
+
+
+def unpack_set(raw: bytes) -> np.ndarray:
+    parts = np.zeros((len(raw) // TOKEN_BYTES, 8), np.uint8)
+    parts[:, :TOKEN_BYTES] = np.frombuffer(raw, np.uint8).reshape(TOKEN_BYTES, -1).T
+    return np.cumsum(parts.view("<u8").ravel(), dtype=_U)
+
+
 def chosen(token: np.ndarray, offsets: np.ndarray, n_runs: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
     """[run][level] -> (document, token) pairs that are chosen there."""
     size = np.diff(offsets)
@@ -95,12 +109,24 @@ def chosen(token: np.ndarray, offsets: np.ndarray, n_runs: int) -> list[list[tup
     return out
 
 
-_SETS = "doc_id long, row_key long, k1 long, k2 long, n long, paths array<array<bigint>>"
+_SETS = "doc_id long, row_key long, k1 long, k2 long, n long, chosen array<array<bigint>>, deeper array<array<bigint>>"
+
+
+def _lists(chosen_: list[tuple[np.ndarray, np.ndarray]], n: int) -> pa.Array:
+    """Per document, its tokens of each of some choices."""
+    m = len(chosen_)
+    cuts = [np.searchsorted(doc, np.arange(n + 1)) for doc, _ in chosen_]
+    sizes = np.stack([np.diff(c) for c in cuts], axis=1).ravel()  # by document, then choice
+    at = np.concatenate([np.repeat(np.arange(n) * m + k, np.diff(c)) for k, c in enumerate(cuts)])
+    values = np.concatenate([token for _, token in chosen_]).view(np.int64)[np.argsort(at, kind="stable")]
+    inner = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values))
+    return pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * m).astype(np.int32)), inner)
 
 
 def _describe(n_runs: int):
     """Identity of each set (two sums over its tokens, size) and the chosen
-    tokens: paths[run * LEVELS + level]."""
+    tokens: chosen[run] on the first level, deeper[run * (LEVELS - 1) + level]
+    on the next ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,29 +137,23 @@ def _describe(n_runs: int):
                 for values in (token, mix(token ^ _U(0x2545F4914F6CDD1D))):
                     total = np.concatenate((np.zeros(1, _U), np.cumsum(values, dtype=_U)))
                     sums.append((total[offsets[1:]] - total[offsets[:-1]]).view(np.int64))
-                lists = []
-                for levels in chosen(token, offsets, n_runs):
-                    for doc, some in levels:
-                        cut = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
-                        lists.append((cut, some.view(np.int64)))
-                m = len(lists)
-                sizes = np.stack([np.diff(cut) for cut, _ in lists], axis=1).ravel()  # by document, then path
-                at = np.concatenate([np.repeat(np.arange(n) * m + k, np.diff(cut)) for k, (cut, _) in enumerate(lists)])
-                values = np.concatenate([v for _, v in lists])[np.argsort(at, kind="stable")]
-                inner = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values))
-                paths = pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * m).astype(np.int32)), inner)
+                picked = chosen(token, offsets, n_runs)
+                first, deeper = [levels[0] for levels in picked], [some for levels in picked for some in levels[1:]]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("row_key"), pa.array(sums[0]), pa.array(sums[1]), pa.array(np.diff(offsets)), paths],
-                    ["doc_id", "row_key", "k1", "k2", "n", "paths"],
-                )
+                    [
+                        part.column("doc_id"), part.column("row_key"), pa.array(sums[0]), pa.array(sums[1]), pa.array(np.diff(offsets)),
+                        _lists(first, n), _lists(deeper, n),
+                    ],
+                    ["doc_id", "row_key", "k1", "k2", "n", "chosen", "deeper"],
+                )
 
     return run
 
 
-def _buckets(sets: DataFrame, n_runs: int) -> DataFrame:
-    """(bucket, rep, blocks): members of the buckets to compare; ``blocks`` is
-    into how many blocks the bucket is cut."""
-    level = sets.select("rep", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n_runs - 1)), lambda r: F.col("paths")[r * LEVELS])).alias("run", "tokens"))
+def _buckets(sets: DataFrame) -> DataFrame:
+    """(bucket, rep, members, tokens): the buckets that are compared, with their
+    members, and how many sets and tokens they have."""
+    level = sets.select("rep", "n", F.posexplode("chosen").alias("run", "tokens"))
     level = level.select("rep", "n", "run", F.explode("tokens").alias("token")).select(
         "rep", "n", "run", F.xxhash64("run", "token").alias("bucket")
     )
@@ -142,14 +162,14 @@ def _buckets(sets: DataFrame, n_runs: int) -> DataFrame:
         level = stored(level, "path-level")
         size = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens")).where("members > 1")
         final = level.join(size.where(F.col("members") <= LIMIT) if depth < LEVELS else size, "bucket")
-        ready.append(final.select("bucket", "rep", "members", "tokens"))
+        ready.append(final.select("bucket", "rep", "n", "members", "tokens"))
         big = size.where(F.col("members") > LIMIT)
         if depth == LEVELS or not big.limit(1).count():
             break
         parents = level.join(big, "bucket")
         child = (
-            parents.join(sets.select("rep", "paths"), "rep")
-            .select("rep", "n", "run", F.col("bucket").alias("parent"), "members", "tokens", F.explode(F.expr(f"paths[run * {LEVELS} + {depth}]")).alias("token"))
+            parents.join(sets.select("rep", "deeper"), "rep")
+            .select("rep", "n", "run", F.col("bucket").alias("parent"), "members", "tokens", F.explode(F.expr(f"deeper[run * {LEVELS - 1} + {depth - 1}]")).alias("token"))
             .withColumn("bucket", F.xxhash64("parent", "token"))
         )
         child = stored(child, "path-children")
@@ -158,7 +178,7 @@ def _buckets(sets: DataFrame, n_runs: int) -> DataFrame:
             F.coalesce(F.col("k"), F.lit(0)) * 2 > F.col("members")
         ).select("bucket")
         dense = stored(dense, "dense-buckets")
-        ready.append(parents.join(dense, "bucket", "left_semi").select("bucket", "rep", "members", "tokens"))
+        ready.append(parents.join(dense, "bucket", "left_semi").select("bucket", "rep", "n", "members", "tokens"))
         level = child.join(dense.withColumnRenamed("bucket", "parent"), "parent", "left_anti").select("rep", "n", "run", "bucket")
     members = ready[0]
     for more in ready[1:]:
@@ -169,15 +189,61 @@ def _buckets(sets: DataFrame, n_runs: int) -> DataFrame:
         F.bit_xor(F.xxhash64("rep")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), F.col("rep"))).alias("b")
     )
     one = alike.groupBy("members", "tokens", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket")
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS), F.lit(1)).cast("int")
-    return members.join(one, "bucket").select("bucket", "rep", blocks.alias("blocks"))
+    return members.join(one, "bucket")
+
+
+def _shares(members: DataFrame) -> DataFrame:
+    """(bucket, rep, rest, rest_blocks, first_blocks): how each bucket is
+    compared.
+
+    Buckets are ordered, larger ones first, by a new number of theirs.  Members
+    whose first bucket is the same earlier one were compared there; the largest
+    such part of a bucket is only compared with the ``rest``.  A bucket without
+    a rest adds no pair and goes.  (Two buckets of one size with equal 40-bit
+    hashes would become one, which only adds comparisons.)"""
+    most = (1 << 23) - 1
+    number = F.shiftleft(F.lit(most) - F.least(F.col("members"), F.lit(most)), 40).bitwiseOR(
+        F.col("bucket").bitwiseAND(F.lit((1 << 40) - 1))
+    )
+    rows = stored(members.select(number.alias("bucket"), "rep", "n"), "ordered-buckets")
+    first = rows.groupBy("rep").agg(F.min("bucket").alias("first"))
+    rows = rows.join(first, "rep")
+    parts = rows.groupBy("bucket", "first").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("t"))
+    largest = parts.where("first <> bucket").groupBy("bucket").agg(F.max(F.struct("k", "t", "first")).alias("largest"))
+    whole = parts.groupBy("bucket").agg(F.sum("k").alias("k"), F.sum("t").alias("t"))
+    blocks = lambda k, t: F.greatest(F.ceil(k / BLOCK_SETS), F.ceil(t / BLOCK_TOKENS)).cast("int")
+    had = lambda c: F.coalesce(F.col(f"largest.{c}"), F.lit(0))
+    plan = whole.join(largest, "bucket", "left").where(F.col("k") > had("k")).select(
+        "bucket", F.col("largest.first").alias("known"), blocks(F.col("k"), F.col("t")).alias("all_blocks"),
+        blocks(F.col("k") - had("k"), F.col("t") - had("t")).alias("rest_blocks"), blocks(had("k"), had("t")).alias("first_blocks"),
+    )
+    small = F.col("all_blocks") <= 1  # then all members meet in one task
+    return rows.join(plan, "bucket").select(
+        "bucket", "rep", (small | ~F.col("first").eqNullSafe(F.col("known"))).alias("rest"),
+        F.when(small, 1).otherwise(F.col("rest_blocks")).alias("rest_blocks"), F.when(small, 0).otherwise(F.col("first_blocks")).alias("first_blocks"),
+    )
 
 
 _MEMBER = "bucket long, i int, j int, block int, rep long, weight long, tokens binary, others binary"
 
 
+def _block_pairs(b: dict, mine: int) -> Iterator[tuple[int, int, int]]:
+    """(i, j, own block) of the comparisons that a member takes part in.  Blocks
+    0.. are the rest's, those after them the largest known part's, which are not
+    compared with each other."""
+    rest, known = b["rest_blocks"], b["first_blocks"]
+    if b["rest"]:
+        block = mine % rest
+        for other in range(rest + known):
+            yield min(block, other), max(block, other), block
+    else:
+        block = rest + mine % known
+        for other in range(rest):
+            yield other, block, block
+
+
 def _send_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's set to the block pairs of its buckets."""
+    """Each text's set to the comparisons of its buckets."""
     names = [f.split(" ")[0] for f in _MEMBER.split(", ")]
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     for batch in batches:
@@ -186,17 +252,16 @@ def _send_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = zip(part.column("rep").to_pylist(), part.column("weight").to_pylist(), part.column("buckets").to_pylist())
             out, held = [], 0
             for at, (rep, weight, buckets) in enumerate(columns):
-                raw = token[offsets[at] : offsets[at + 1]].tobytes()
+                raw = pack_set(token[offsets[at] : offsets[at + 1]])
                 others = np.sort(np.array([b["bucket"] for b in buckets], np.int64)).tobytes()
                 mine = int(mix(np.array([rep], np.int64).view(_U))[0])
                 for b in buckets:
-                    block = mine % b["blocks"]
-                    for other in range(b["blocks"]):
-                        out.append((b["bucket"], min(block, other), max(block, other), block, rep, weight, raw, others))
+                    for i, j, block in _block_pairs(b, mine):
+                        out.append((b["bucket"], i, j, block, rep, weight, raw, others))
                         held += len(raw)
-                        if held > 8 * SLICE_BYTES:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
-                            out, held = [], 0
+                    if held > 8 * SLICE_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                        out, held = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
@@ -233,7 +298,7 @@ def _compare(group: pd.DataFrame) -> pd.DataFrame:
     nothing = pd.DataFrame({"rep": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "to": np.zeros(0, np.int64)})
     if len(group) < 2 or (not same and left in (0, len(group))):
         return nothing
-    sets = [np.frombuffer(t, _U) for t in group["tokens"]]
+    sets = [unpack_set(t) for t in group["tokens"]]
     others = [np.frombuffer(o, np.int64) for o in group["others"]]
     size = np.array([len(s) for s in sets])
     rep, weight = group["rep"].to_numpy(), group["weight"].to_numpy()
@@ -274,9 +339,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         described.groupBy(*key).agg(F.min("row_key").alias("rep"), F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least")),
         "set-representatives",
     )
-    paths = described.select(F.col("row_key").alias("rep"), "paths").join(reps.where("n > 0").select("rep", "n"), "rep").dropDuplicates(["rep"])
-    buckets = stored(_buckets(paths, n_runs), "buckets")
-    lists = buckets.groupBy("rep").agg(F.collect_list(F.struct("bucket", "blocks")).alias("buckets")).join(reps.select("rep", "weight"), "rep")
+    rows = described.select(F.col("row_key").alias("rep"), "chosen", "deeper").join(reps.where("n > 0").select("rep", "n"), "rep")
+    if described.groupBy("row_key").count().where("count > 1").limit(1).count():
+        rows = rows.dropDuplicates(["rep"])  # rows that repeat id and text
+    shares = stored(_shares(_buckets(rows)), "bucket-shares")
+    lists = shares.groupBy("rep").agg(
+        F.collect_list(F.struct("bucket", "rest", "rest_blocks", "first_blocks")).alias("buckets")
+    ).join(reps.select("rep", "weight"), "rep")
     wanted = own.select(F.col("row_key").alias("rep"), "text").join(lists, "rep")
     compared = stored(
         wanted.mapInArrow(_send_sets, _MEMBER).groupBy("bucket", "i", "j").applyInPandas(_compare, "rep long, links long, to long"), "links"
