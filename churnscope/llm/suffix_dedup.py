@@ -96,38 +96,40 @@ def _slice_segments(data, doc_end, length, low, offsets) -> tuple[np.ndarray, ..
     return doc, first + low, last - first, lead, grams[anchor[first]], content
 
 
-def multikey_sort(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, length: int) -> np.ndarray:
+def multikey_sort(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorts the suffixes ``starts`` of ``data`` to a depth of ``length`` bytes
-    within each group; returns an array that numbers the classes of suffixes
-    equal to that depth, -1 for a suffix equal to no other.
+    within each group.  Returns the classes of suffixes equal to that depth
+    (numbers; -1 for a suffix equal to no other), and for each suffix a bound
+    on its longest common prefix with another one of its group (at most seven
+    bytes too long).
 
     Multikey quicksort, all groups of a depth in one pass: the suffixes still
     tied are ordered by their next eight bytes, which splits each group, and
     groups of one are done."""
-    found = np.full(len(starts), -1, np.int64)
-    # big-endian words order as bytes do
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    active = np.arange(len(starts))
-    group = groups.astype(np.int64)
+    found, common = np.full(len(starts), -1, np.int64), np.zeros(len(starts), np.int64)
+    padded = np.concatenate((data, np.zeros(length + 8, np.uint8)))
+    order = np.argsort(groups, kind="stable")
+    active, group = order, np.cumsum(np.diff(groups[order], prepend=groups[order][:1]) != 0)
     depths = [*range(0, length - 7, 8)] + ([length - 8] if length % 8 and length > 8 else [0] if length < 8 else [])
+    width = min(8, length)
     for depth in depths:
-        order = np.argsort(group, kind="stable")
-        size = np.diff(np.append(np.flatnonzero(np.diff(group[order], prepend=-1)), len(order)))
-        keep = order[np.repeat(size > 1, size)]
-        active, group = active[keep], group[keep]
+        size = np.bincount(group)
+        tied = size[group] > 1
+        active, group = active[tied], group[tied]
         if not len(active):
-            return found
+            return found, common
+        common[active] = depth + 7
         at = starts[active] + depth
         word = np.zeros(len(at), _U)
-        for b in range(min(8, length)):
+        for b in range(width):  # big-endian words order as bytes do
             word = (word << _U(8)) | padded[at + b].astype(_U)
         order = np.lexsort((word, group))
         active, group, word = active[order], group[order], word[order]
-        group = np.cumsum(np.concatenate(([0], (np.diff(group) != 0) | (np.diff(word) != 0))))
-    size = np.bincount(group)
-    tied = size[group] > 1
+        group = np.cumsum(np.concatenate(([0], (np.diff(group) != 0) | (word[1:] != word[:-1]))))
+    tied = np.bincount(group)[group] > 1
     found[active[tied]] = group[tied]
-    return found
+    common[active[tied]] = length
+    return found, common
 
 
 def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,17 +137,27 @@ def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _repeated_windows(leads, widths, raws, length) -> list[np.ndarray]:
-    """For each segment of one anchor gram, a flag per window: does another
-    segment hold it?"""
+def _repeated_windows(grams, leads, widths, raws, length) -> list[np.ndarray]:
+    """For each segment, a flag per window: does another segment of its gram
+    hold it?  ``grams`` numbers the anchor grams of the segments."""
     data = np.frombuffer(b"".join(raws), np.uint8)
+    lead, count, gram = np.asarray(leads), np.asarray(widths) + 1, np.asarray(grams)
     base = np.cumsum([0, *[len(r) for r in raws[:-1]]])
-    counts = np.asarray(widths) + 1
-    owner = np.repeat(np.arange(len(raws)), counts)
-    within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    # The suffixes at the anchors, read forwards and backwards: how far does
+    # any other segment agree?  A window fits only if both sides reach it.
+    right = np.minimum(multikey_sort(data, base + lead, gram, length)[1], length)
+    left = np.minimum(multikey_sort(data[::-1], len(data) - (base + lead), gram, length)[1], lead)
+    low = np.maximum(lead - left, 0)
+    high = np.minimum(lead - (length - right), count - 1)
+    fits = np.maximum(high - low + 1, 0)
+    owner = np.repeat(np.arange(len(raws)), fits)
+    window = low[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(fits) - fits, fits)
     # equal windows have the anchor at the same distance
-    same = multikey_sort(data, base[owner] + within, np.asarray(leads)[owner] - within, length) >= 0
-    return np.split(same, np.cumsum(counts)[:-1])
+    same = multikey_sort(data, base[owner] + window, gram[owner] * (length + 1) + lead[owner] - window, length)[0] >= 0
+    out = np.zeros(int(count.sum()), bool)
+    first = np.cumsum(count) - count
+    out[first[owner[same]] + window[same]] = True
+    return np.split(out, first[1:])
 
 
 _SEGMENT = "row_key long, first long, width int, lead int, gram long, content long"
@@ -189,37 +201,35 @@ def _cut_out(length: int):
 
 
 def _sort_bucket(length: int):
-    """Reads a bucket in the order of the leading bytes; one gram at a time."""
+    """Reads a bucket in the order of the leading bytes, some grams at a time."""
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
-    def compare(group: list[dict]) -> Iterator[tuple]:
-        distinct = {g["content"]: g for g in group}  # a repeated row's copies came twice
+    def compare(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        """``rows`` hold whole grams."""
+        distinct = {(r["leading"], r["gram"], r["content"]): r for r in rows}  # a repeated row's copies came twice
+        number: dict[tuple, int] = {}
         rows = list(distinct.values())
-        if len(rows) < 2:
-            return
-        flags = _repeated_windows([r["lead"] for r in rows], [r["width"] for r in rows], [r["raw"] for r in rows], length)
-        for r, flag in zip(rows, flags):
+        grams = [number.setdefault(k[:2], len(number)) for k in distinct]
+        out = []
+        for r, flag in zip(rows, _repeated_windows(grams, *[[r[c] for r in rows] for c in ("lead", "width", "raw")], length)):
             if flag.any():
                 a, b = _ranges(flag)
-                yield r["gram"], r["content"], a.tolist(), b.tolist()
+                out.append((r["gram"], r["content"], a.tolist(), b.tolist()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["gram", "content", "starts", "ends"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[dict] = []
-        types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["gram", "content", "starts", "ends"])
-
+        held: list[dict] = []
+        size = 0
         for batch in batches:
-            out: list[tuple] = []
             for r in batch.to_pylist():
-                if group and (r["leading"], r["gram"]) != (group[0]["leading"], group[0]["gram"]):
-                    out += compare(group)
-                    group = []
-                group.append(r)
-            if out:
-                yield batch_of(out)
-        if rows := list(compare(group)):
-            yield batch_of(rows)
+                if size > SLICE_BYTES and (r["leading"], r["gram"]) != (held[-1]["leading"], held[-1]["gram"]):
+                    yield from compare(held)
+                    held, size = [], 0
+                held.append(r)
+                size += len(r["raw"])
+        if held:
+            yield from compare(held)
 
     return run
 

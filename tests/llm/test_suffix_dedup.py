@@ -30,7 +30,7 @@ def test_multikey_sort_finds_equal_suffixes():
     data = rng.integers(97, 99, 3000).astype(np.uint8)
     for length in (3, 8, 11, 24):
         starts = np.arange(len(data) - length)
-        classes = multikey_sort(data, starts, np.zeros(len(starts), np.int64), length)
+        classes, common = multikey_sort(data, starts, np.zeros(len(starts), np.int64), length)
         texts = [data[s : s + length].tobytes() for s in starts]
         seen = Counter(texts)
         assert [c >= 0 for c in classes] == [seen[t] > 1 for t in texts]
@@ -39,6 +39,10 @@ def test_multikey_sort_finds_equal_suffixes():
             if c >= 0:
                 assert by.setdefault(c, t) == t
         assert len(by) == sum(v > 1 for v in seen.values())
+    for s in range(0, 2900, 97):  # never below the longest common prefix
+        one = data[s : s + 24].tobytes()
+        longest = max(next((k for k in range(24) if data[t + k] != one[k]), 24) for t in starts if t != s)
+        assert longest <= common[s] <= longest + 7
 
 
 @pytest.mark.parametrize("length", [5, 40])
