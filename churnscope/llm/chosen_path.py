@@ -47,8 +47,8 @@ BRANCH = 1.5
 RECALL = 0.99999
 LEVELS = 3
 LIMIT = 8192
-BLOCK_SETS = 3072
-BLOCK_TOKENS = 1 << 20
+BLOCK_SETS = 5120
+BLOCK_TOKENS = 1 << 21
 TOKEN_BYTES = 5  # of a token in the sets that are compared
 SLICE_BYTES = 1 << 20
 _U = np.uint64
@@ -279,7 +279,7 @@ def _common(lists: list[np.ndarray], split: int) -> np.ndarray:
     owner, column = owner[order], column[order]
     a, b = (len(lists), slice(None)) if not split else (split, slice(split, None))
     total = np.zeros((a, len(lists) - split if split else len(lists)), np.float32)
-    step = 4096
+    step = 1024
     cuts = np.searchsorted(column, np.arange(0, width + step, step))
     for k, (low, high) in enumerate(zip(cuts[:-1], cuts[1:])):
         dense = np.zeros((len(lists), min(step, width - k * step)), np.float32)
@@ -303,8 +303,9 @@ def _compare(group: pd.DataFrame) -> pd.DataFrame:
     size = np.array([len(s) for s in sets])
     rep, weight = group["rep"].to_numpy(), group["weight"].to_numpy()
     rows, cols = (slice(None), slice(None)) if same else (slice(0, left), slice(left, None))
-    both = _common(sets, left)
-    link = 9 * both >= 4 * (size[rows, None] + size[None, cols])  # |a & b| / |a | b| >= 0.8
+    link = _common(sets, left)
+    # |a & b| / |a | b| >= 0.8, row by row: the matrix stays small
+    link = np.stack([9 * shared.astype(np.int64) >= 4 * (a + size[cols]) for a, shared in zip(size[rows], link)])
     link &= _common([o[o < bucket] for o in others], left) == 0  # counted in the first common bucket
     if same:
         np.fill_diagonal(link, False)
