@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnscope.llm.components import components
@@ -47,8 +47,8 @@ BRANCH = 1.5
 RECALL = 0.99999
 LEVELS = 3
 LIMIT = 8192
-BLOCK_SETS = 5120
-BLOCK_TOKENS = 1 << 21
+BLOCK_SETS = 3072
+BLOCK_TOKENS = 1 << 20
 TOKEN_BYTES = 5  # of a token in the sets that are compared
 SLICE_BYTES = 1 << 20
 _U = np.uint64
@@ -160,9 +160,14 @@ def _buckets(sets: DataFrame) -> DataFrame:
     ready, parents = [], None
     for depth in range(1, LEVELS + 1):
         level = stored(level, "path-level")
-        size = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens")).where("members > 1")
-        final = level.join(size.where(F.col("members") <= LIMIT) if depth < LEVELS else size, "bucket")
-        ready.append(final.select("bucket", "rep", "n", "members", "tokens"))
+        size = level.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"),
+            F.bit_xor(F.xxhash64("rep")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), F.col("rep"))).alias("b"),
+        ).where("members > 1")
+        # buckets with the same members: one is enough
+        small = size.where(F.col("members") <= LIMIT) if depth < LEVELS else size
+        one = small.groupBy("members", "tokens", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket", "members", "tokens")
+        ready.append(level.join(one, "bucket").select("bucket", "rep", "n", "members", "tokens"))
         big = size.where(F.col("members") > LIMIT)
         if depth == LEVELS or not big.limit(1).count():
             break
@@ -183,13 +188,7 @@ def _buckets(sets: DataFrame) -> DataFrame:
     members = ready[0]
     for more in ready[1:]:
         members = members.unionByName(more)
-    members = stored(members.distinct(), "bucket-members")
-    # buckets with the same members: one is enough
-    alike = members.groupBy("bucket", "members", "tokens").agg(
-        F.bit_xor(F.xxhash64("rep")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), F.col("rep"))).alias("b")
-    )
-    one = alike.groupBy("members", "tokens", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket")
-    return members.join(one, "bucket")
+    return members
 
 
 def _shares(members: DataFrame) -> DataFrame:
@@ -205,9 +204,8 @@ def _shares(members: DataFrame) -> DataFrame:
     number = F.shiftleft(F.lit(most) - F.least(F.col("members"), F.lit(most)), 40).bitwiseOR(
         F.col("bucket").bitwiseAND(F.lit((1 << 40) - 1))
     )
-    rows = stored(members.select(number.alias("bucket"), "rep", "n"), "ordered-buckets")
-    first = rows.groupBy("rep").agg(F.min("bucket").alias("first"))
-    rows = rows.join(first, "rep")
+    first = F.min("bucket").over(Window.partitionBy("rep"))  # of the few buckets of a set
+    rows = stored(members.select(number.alias("bucket"), "rep", "n").withColumn("first", first), "ordered-buckets")
     parts = rows.groupBy("bucket", "first").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("t"))
     largest = parts.where("first <> bucket").groupBy("bucket").agg(F.max(F.struct("k", "t", "first")).alias("largest"))
     whole = parts.groupBy("bucket").agg(F.sum("k").alias("k"), F.sum("t").alias("t"))
