@@ -3,11 +3,9 @@
 Symbols are the words of a text (lower-case A-Z; see ``text_arrays``) and one
 end token.  A state of the tree is a context of one to ``DEPTH`` words.
 
-* Candidates are the contexts and successors that are frequent: every n-gram
-  (context plus successor) whose share of the training tokens is at least
-  ``NGRAM_SUPPORT``, found level by level (an n-gram can only be frequent if
-  both (n-1)-grams in it are).  At most ``1 / NGRAM_SUPPORT`` n-grams per
-  level can be, so the tree has a proven bound and is sent to every task.
+* Candidates are all contexts and successors whose n-gram (context plus
+  successor) occurs at least ``SUPPORT`` times in the training rows, whatever
+  their number: the tree grows with the corpus.
 * A context is retained if its next-word distribution diverges from that of
   its suffix: 2 N(s) KL(P(.|s) || P(.|suffix)) over its stored successors and
   "any other" exceeds ln N(s) per successor.
@@ -17,14 +15,20 @@ end token.  A state of the tree is a context of one to ``DEPTH`` words.
   word.  Every state's distribution over known words plus "unknown" sums to 1.
 * A text's score is the sum of log10 P(word | longest retained suffix).
 
-Scale.  Word counts grow with the corpus, so they never meet in one place:
-tasks count distinct words of a slice and send (key range, sorted keys,
-counts) blobs; each of the ``2**b`` hash ranges, whose number grows with the
-input, is merged on its own and stored.  Scoring needs the counts of rare
-words too: log P is additive in log P(root), so a task scores everything but
-the rare words' root terms, sends those words to their hash range, and the
-sums come back by document.  Frequent words (share ``WORD_SUPPORT``, at most
-``1 / WORD_SUPPORT``) travel with the tree.  Hot words are one entry per slice.
+Scale.  Neither words nor n-grams ever meet in one place.  Texts are cut once
+into slices of about ``FLUSH`` tokens, kept as places in the slice's own word
+list.  A slice sends its distinct keys (64-bit hashes of words, n-grams or
+contexts) to their ``2**b`` hash ranges, whose number grows with the input, and
+each range answers every slice that asked:
+
+1. words and bigrams get their counts in all training rows;
+2. one-word contexts get lambda if they are retained, and the next longer
+   n-grams (of contexts with ``SUPPORT`` occurrences) their counts; and so on
+   with one more round per word of depth.
+
+The divergence is a sum over successors, so one slice per stored n-gram, which
+the n-gram's range names, adds its term, and the context's range adds these up.
+Hot words, n-grams and contexts are one entry per slice.
 
 Defined cases: NULL text is empty and still has the end token; no training
 rows: V = N = 0, every token is unknown; repeated rows get equal scores;
@@ -33,65 +37,33 @@ tokens are never truncated.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.llm.storage import buckets_for, keyed, stored, text_bytes
 from churnscope.llm.text_arrays import (
-    END, column_bytes, from_planes, mix, pack_sorted, planes, slices, unmix, unpack_sorted, words,
+    END, column_bytes, from_planes, mix, pack_sorted, planes, slices, unpack_sorted, words,
 )
 
 DEPTH = 2
-WORD_SUPPORT = 2.5e-7
-NGRAM_SUPPORT = 1e-6
+SUPPORT = 2  # occurrences of a stored n-gram
 DISCOUNT = 0.75
 RANGE_BYTES = 1 << 24  # text bytes per hash range
-SLICE_BYTES = 1 << 20
-FLUSH = 1 << 20  # tokens counted before a task sends them
+FLUSH = 1 << 19  # tokens of a slice, about
+_TOKEN_BYTES = 6
 _U = np.uint64
 _LN10 = np.log(10.0)
 
-
-@dataclass
-class SuffixTree:
-    """``grams[k]``: sorted keys of the frequent (k+1)-grams; order 1 are word
-    hashes, order k+1 is (place in order k of all but the last word) << 32 |
-    place of the last word.  ``counts`` beside.  ``state[k]`` flags retained
-    contexts of k+1 words, ``rest[k]`` their ln lambda, ``log_p[k]`` ln P of the
-    (k+2)-gram's last word given the words before it."""
-
-    n_tokens: int
-    n_types: int
-    grams: list[np.ndarray]
-    counts: list[np.ndarray]
-    state: list[np.ndarray] = field(default_factory=list)
-    rest: list[np.ndarray] = field(default_factory=list)
-    log_p: list[np.ndarray] = field(default_factory=list)
-
-    def root(self, count: np.ndarray) -> np.ndarray:
-        """ln P of words with these training counts without context."""
-        total = self.n_tokens + self.n_types
-        if not total:
-            return np.zeros(len(count))
-        return np.log(np.where(count > 0, count, max(self.n_types, 1)) / total)
-
-    def base(self, count: np.ndarray) -> np.ndarray:
-        """log10 of the add-one unigram probability."""
-        return np.log10((count + 1.0) / (self.n_tokens + self.n_types + 1.0))
-
-
-def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of the keys, -1 where absent."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
+_SLICE = "slice long, words binary, places binary, offsets binary, ids binary, flags binary"
+_MESSAGE = "range int, slice long, kind int, keys binary, adds binary, ints binary, floats binary"
+_REPLY = "slice long, range int, kind int, body binary"
+_RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def _text_tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -103,280 +75,275 @@ def _text_tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, ends + np.arange(n + 1)
 
 
-def _gram_places(tree: SuffixTree, tokens: np.ndarray, offsets: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each order up to ``order``, the place of the n-gram that ends at
-    each token, -1 if it is not frequent or would cross a document."""
-    first = np.zeros(len(tokens), bool)
-    first[offsets[:-1]] = True
-    places = [_find(tree.grams[0], tokens)]
-    for k in range(1, order):
-        last = places[-1]
-        out = np.full(len(tokens), -1, np.int64)
-        ok = np.flatnonzero((last[1:] >= 0) & (last[:-1] >= 0) & ~first[1:]) + 1
-        out[ok] = _find(tree.grams[k], _key(last[ok - 1], places[0][ok]))
-        places.append(out)
-    return places
-
-
-def _key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return (context.astype(_U) << _U(32)) | word.astype(_U)
-
-
-def _blobs(keys: np.ndarray, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(range, sorted distinct keys, their counts) of the keys' hash ranges."""
-    unique, count = np.unique(keys, return_counts=True)
-    cuts = np.searchsorted(unique, np.arange(1 << bits, dtype=_U) << _U(64 - bits)).tolist() + [len(unique)]
-    for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-        if b > a:
-            yield r, pack_sorted(unique[a:b]), planes(count[a:b].astype(np.uint32))
-
-
-def _counted(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> DataFrame:
-    """(range, keys, counts): blobs of what ``keys_of`` makes of each slice."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            rows = list(zip(*_blobs(np.concatenate(held), bits))) or [[], [], []]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["range", "keys", "counts"]
-            )
-
-        for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
-                held.append(keys_of(part))
-                size += len(held[-1])
-                if size >= FLUSH:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
-
-    return docs.mapInArrow(run, "range int, keys binary, counts binary")
-
-
-def _merge(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([unpack_sorted(k) for k in group["keys"]])
-    counts = np.concatenate([from_planes(c, np.uint32) for c in group["counts"]]).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(counts, first)
-
-
-def _vocabulary(train: DataFrame, bits: int) -> DataFrame:
-    """(range, n_types, n_tokens, keys, counts): all words of the corpus."""
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = _merge(group)
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the texts: sorted distinct words, and each token's place."""
+    number = TaskContext.get().partitionId() << 32
+    names = [f.split(" ")[0] for f in _SLICE.split(", ")]
+    for batch in batches:
+        for part in slices(batch, "text", _TOKEN_BYTES * FLUSH):
+            tokens, offsets = _text_tokens(part)
+            distinct, place = np.unique(tokens, return_inverse=True)
+            ids, held = part.column("doc_id"), part.column("held_out")
+            flags = 2 * np.asarray(ids.is_null()).astype(np.uint8) + np.asarray(held.fill_null(False)).astype(np.uint8)
+            row = (
+                number, pack_sorted(distinct), planes(place.astype(np.uint32)), offsets.astype("<i8").tobytes(),
+                ids.fill_null(0).to_numpy().astype("<i8").tobytes(), flags.tobytes(),
+            )
+            yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *[pa.array([v], pa.binary()) for v in row[1:]]], names)
+            number += 1
+
+
+class _Keys:
+    """The distinct keys of a slice that are looked up in the hash ranges."""
+
+    def __init__(self, hashes: np.ndarray, bits: int):
+        self.order = np.argsort(hashes, kind="stable")
+        self.sorted = hashes[self.order]
+        self.cuts = np.searchsorted(self.sorted, np.arange(1 << bits, dtype=_U) << _U(64 - bits)).tolist() + [len(hashes)]
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray, bytes]]:
+        """(range, places of its keys, the keys packed)."""
+        for r, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:])):
+            if b > a:
+                yield r, self.order[a:b], pack_sorted(self.sorted[a:b])
+
+    def answered(self, bodies: dict[int, bytes], dtype) -> np.ndarray:
+        """The ranges' answers, in the order of the keys."""
+        out = np.zeros(len(self.order), dtype)
+        if len(out):
+            out[self.order] = np.concatenate([from_planes(bodies[r], dtype) for r in sorted(bodies)])
+        return out
+
+
+class _Slice:
+    """A slice's n-grams of each order, as far as the replies reach.
+
+    Of order k (list index k): ``keys`` (of the n-grams ``asked`` for, whose
+    two shorter n-grams have ``SUPPORT``), ``count`` (0 below ``SUPPORT``; words:
+    all), ``lead`` (this slice adds the term), ``context`` and ``below`` (places
+    in order k-1 of all but the last and all but the first word), ``log_p`` (of
+    the last word after the others), ``rest`` (lambda of the n-gram as a context,
+    0 if it is not retained) and ``at`` (each token's n-gram that ends there, or -1)."""
+
+    def __init__(self, row: pd.Series, bits: int, replies: pd.DataFrame | None, total: tuple[int, int]):
+        self.number, self.bits, self.total = int(row["slice"]), bits, total
+        self.offsets = np.frombuffer(row["offsets"], "<i8")
+        self.flags, self.ids = np.frombuffer(row["flags"], np.uint8), np.frombuffer(row["ids"], "<i8")
+        self.replies: dict[int, dict[int, bytes]] = {}
+        if replies is not None:
+            for kind, r, body in zip(replies["kind"], replies["range"], replies["body"]):
+                self.replies.setdefault(int(kind), {})[int(r)] = body
+        self.hash = [np.zeros(0, _U), unpack_sorted(row["words"])]
+        self.at = [np.zeros(0, np.int64), from_planes(row["places"], np.uint32).astype(np.int64)]
+        self.train = np.repeat(self.flags & 1 == 0, np.diff(self.offsets))
+        self.first = np.zeros(len(self.at[1]), bool)
+        self.first[self.offsets[:-1]] = True
+        none = np.zeros(0, np.int64)
+        self.context, self.below, self.count, self.lead = [none, none], [none, none], [none], [none]
+        self.rest, self.log_p, self.keys = [none], [none], [None, _Keys(self.hash[1], bits)]
+        self.asked, self.states = [none, np.arange(len(self.hash[1]))], [none, none]
+        self._counts(1)
+        if self.count[1:]:
+            n, v = total
+            self.log_p.append(np.log(np.where(self.count[1] > 0, self.count[1], max(v, 1)) / (n + v)) if n + v else np.zeros(len(self.count[1])))
+
+    def _counts(self, order: int) -> None:
+        if order in self.replies or (self.replies and not len(self.asked[order])):
+            value = np.zeros(len(self.hash[order]), np.int64)
+            value[self.asked[order]] = self.keys[order].answered(self.replies.get(order, {}), np.int64)
+            self.count.append(value >> 1)
+            self.lead.append((value & 1).astype(bool))
+
+    def grams(self, order: int) -> None:
+        """Adds the n-grams of the next order; contexts below ``SUPPORT``
+        cannot be states and are left out once their counts are known."""
+        before = np.full(len(self.first), -1, np.int64)
+        before[1:] = np.where(self.first[1:], -1, self.at[order - 1][:-1])
+        use = before >= 0
+        if order > 2:
+            use[use] = self.count[order - 1][before[use]] >= SUPPORT
+        token = np.flatnonzero(use)
+        key, some, place = np.unique((before[token] << 32) | self.at[1][token], return_index=True, return_inverse=True)
+        at = np.full(len(self.first), -1, np.int64)
+        at[token] = place
+        context = key >> 32
+        self.at.append(at)
+        self.context.append(context)
+        self.below.append(self.at[order - 1][token[some]])
+        self.hash.append(mix(self.hash[order - 1][context] * _U(0x9E3779B97F4A7C15) + self.hash[1][key & 0xFFFFFFFF]))
+        ask = self.count[order - 1][self.below[order]] >= SUPPORT if order > 2 else np.ones(len(key), bool)
+        self.asked.append(np.flatnonzero(ask))
+        self.keys.append(_Keys(self.hash[order][ask], self.bits))
+        self.states.append(np.unique(context))  # of the shorter n-grams, those that are contexts here
+        self._counts(order)
+
+    def learn(self, order: int) -> None:
+        """Retained contexts of ``order - 1`` words and P of the n-grams."""
+        found = _Keys(self.hash[order - 1][self.states[order]], self.bits).answered(self.replies.get(1 - order, {}), np.float64)
+        self.rest.append(np.zeros(len(self.hash[order - 1])))
+        self.rest[-1][self.states[order]] = found
+        context, c = self.context[order], self.count[order]
+        lower, rest = self.log_p[order - 1][self.below[order]], self.rest[order - 1][context]
+        state = rest > 0
+        own = np.maximum(c - DISCOUNT, 0) / np.maximum(self.count[order - 1][context], 1) + np.where(state, rest, 1) * np.exp(lower)
+        left = np.log(np.where(state, rest, 1)) + lower
+        self.log_p.append(np.where(state & (c > 0), np.log(own), np.where(state, left, lower)))
+
+    def ask_counts(self, order: int) -> list[tuple]:
+        """The distinct n-grams and how often the training rows have them."""
+        use = self.train & (self.at[order] >= 0)
+        count = np.bincount(self.at[order][use], minlength=len(self.hash[order])).astype(np.uint32)[self.asked[order]]
+        return [(r, self.number, order, packed, b"", planes(count[at]), b"") for r, at, packed in self.keys[order].parts()]
+
+    def ask_states(self, order: int) -> list[tuple]:
+        """The contexts of ``order - 1`` words, with the terms of the n-grams
+        that this slice leads: successors, their count, N, divergence, mass of
+        the successors after the suffix."""
+        lead = self.lead[order] & (self.count[order] > 0)
+        context, c = self.context[order][lead], self.count[order][lead]
+        n, size = self.count[order - 1], len(self.hash[order - 1])
+        q = np.exp(self.log_p[order - 1][self.below[order][lead]])
+        p = c / n[context]
+        add = lambda x: np.bincount(context, x, size)
+        ints = np.stack((add(np.ones(len(c))), add(c), n)).astype(np.int64)
+        floats = np.stack((add(p * np.log(p / q)), add(q)))
+        out = []
+        states = self.states[order]
+        for r, at, packed in _Keys(self.hash[order - 1][states], self.bits).parts():
+            at = states[at]
+            has = ints[0][at] > 0
+            some = at[has]
+            out.append((r, self.number, 1 - order, packed, np.packbits(has).tobytes(), planes(ints[:, some].ravel()), floats[:, some].tobytes()))
+        return out
+
+    def scored(self) -> pd.DataFrame:
+        (n, v), score = self.total, self.log_p[1][self.at[1]]
+        for order in range(2, len(self.log_p)):  # a longer retained context overrides
+            found = self.at[order] >= 0
+            score[found] = self.log_p[order][self.at[order][found]]
+        count = self.count[1][self.at[1]]
+        doc = np.repeat(np.arange(len(self.ids)), np.diff(self.offsets))
+        add = lambda x: np.bincount(doc, x, len(self.ids))
         return pd.DataFrame(
-            {"range": [group["range"].iloc[0]], "n_types": [len(keys)], "n_tokens": [int(counts.sum())], "keys": [pack_sorted(keys)], "counts": [planes(counts)]}
-        )
-
-    blobs = _counted(train, lambda part: _text_tokens(part)[0], bits)
-    return blobs.groupBy("range").applyInPandas(merge, "range int, n_types long, n_tokens long, keys binary, counts binary")
-
-
-def _collect(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts from blobs; the caller knows a bound."""
-    rows = found.collect()
-    keys = np.concatenate([np.zeros(0, _U), *[unpack_sorted(r["keys"]) for r in rows if r["keys"]]])
-    counts = np.concatenate([np.zeros(0, np.int64), *[from_planes(r["counts"], np.int64) for r in rows if r["keys"]]])
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
-def _frequent(least: int, unmixed: bool):
-    """Of merged blobs, the keys with at least so many occurrences."""
-
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = _merge(group)
-        keys, counts = keys[counts >= least], counts[counts >= least]
-        if unmixed:
-            keys = unmix(keys)
-            order = np.argsort(keys)
-            keys, counts = keys[order], counts[order]
-        return pd.DataFrame({"keys": [pack_sorted(keys)], "counts": [planes(counts)]})
-
-    return keep
-
+            {
+                "doc_id": pd.Series(self.ids.astype(np.int64)).astype("Int64").mask(self.flags & 2 > 0),
+                "held_out": (self.flags & 1).astype(bool), "n_tokens": np.diff(self.offsets), "n_known": add(count > 0).astype(np.int64),
+                "train_tokens": n, "base_score": add(np.log10((count + 1.0) / (n + v + 1.0))), "score": add(score) / _LN10,
+            }
+        )
 
-def fit(docs: DataFrame, bits: int) -> tuple[SuffixTree, DataFrame]:
-    """The tree of the documents (column ``text``), and the stored table of all
-    their words' counts by hash range."""
-    spark = docs.sparkSession
-    vocabulary = stored(_vocabulary(docs, bits), "lm-words")
-    size = vocabulary.agg(F.sum("n_tokens").alias("n"), F.sum("n_types").alias("v")).first()
-    n, v = int(size["n"] or 0), int(size["v"] or 0)
-    least = max(2, int(np.ceil(WORD_SUPPORT * n)))  # at most 1 / WORD_SUPPORT words
 
-    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                keys, counts = unpack_sorted(r["keys"]), from_planes(r["counts"], np.int64)
-                use = counts >= least
-                yield pa.RecordBatch.from_arrays([pa.array([pack_sorted(keys[use])]), pa.array([planes(counts[use])])], ["keys", "counts"])
-
-    grams, counts = _collect(vocabulary.select("keys", "counts").mapInArrow(common, "keys binary, counts binary"))
-    tree = SuffixTree(n, v, [grams], [counts])
-    least = max(2, int(np.ceil(NGRAM_SUPPORT * n)))  # at most 1 / NGRAM_SUPPORT n-grams
-    for order in range(1, DEPTH + 1):
-        sent = spark.sparkContext.broadcast(tree)
-
-        def keys_of(part: pa.RecordBatch, sent=sent, order=order) -> np.ndarray:
-            tokens, offsets = _text_tokens(part)
-            places = _gram_places(sent.value, tokens, offsets, order)
-            last, first = places[-1], np.zeros(len(tokens), bool)
-            first[offsets[:-1]] = True
-            ok = np.flatnonzero((last[1:] >= 0) & (last[:-1] >= 0) & ~first[1:]) + 1
-            return mix(_key(last[ok - 1], places[0][ok]))  # spreads the keys over the ranges
-
-        blobs = _counted(docs, keys_of, bits).groupBy("range").applyInPandas(_frequent(least, True), "keys binary, counts binary")
-        keys, found = _collect(blobs)
-        tree.grams.append(keys)
-        tree.counts.append(found)
-        if not len(keys):
-            break
-    _retain(tree)
-    return tree, vocabulary
-
-
-def _retain(tree: SuffixTree) -> None:
-    """Divergence tests and smoothed distributions, shortest contexts first."""
-    suffix_p = tree.root(tree.counts[0])  # ln P(last word | suffix state) of each n-gram one order below
-    suffix_of = None
-    for k in range(1, len(tree.grams)):
-        context, word = (tree.grams[k] >> _U(32)).astype(np.int64), (tree.grams[k] & _U(0xFFFFFFFF)).astype(np.int64)
-        c, n = tree.counts[k].astype(float), tree.counts[k - 1].astype(float)
-        # P(word | suffix of the context): the n-gram without its first word
-        below = word if k == 1 else _find(tree.grams[k - 1], _key(suffix_of[context], word))
-        q = np.exp(suffix_p[below])
-        size = len(n)
-        p = c / n[context]
-        p_rest = np.maximum(1 - np.bincount(context, p, size), 0)
-        q_rest = np.maximum(1 - np.bincount(context, q, size), 1e-12)
-        divergence = np.bincount(context, p * np.log(p / q), size) + np.where(p_rest > 0, p_rest * np.log(np.maximum(p_rest, 1e-300) / q_rest), 0)
-        successors = np.bincount(context, minlength=size)
-        state = (successors > 0) & (2 * n * divergence > successors * np.log(np.maximum(n, 2)))
-        taken = np.bincount(context, np.maximum(c - DISCOUNT, 0) / n[context], size)
-        rest = np.where(state, np.log(np.clip(1 - taken, 1e-12, 1)), 0.0)
-        own = np.maximum(c - DISCOUNT, 0) / n[context] + np.exp(rest[context]) * q
-        tree.state.append(state)
-        tree.rest.append(rest)
-        tree.log_p.append(np.where(state[context], np.log(own), suffix_p[below]))
-        suffix_p = tree.log_p[-1]
-        # the context of order k+1 without its first word, as a place in order k
-        suffix_of = word if k == 1 else _find(tree.grams[k - 1], _key(suffix_of[context], word))
-
-
-def _local_scores(tree: SuffixTree, tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ln P of each token but for a rare word's root term, its count or 0, is
-    it frequent)."""
-    places = _gram_places(tree, tokens, offsets, len(tree.grams))
-    known = places[0] >= 0
-    count = np.zeros(len(tokens), np.int64)
-    count[known] = tree.counts[0][places[0][known]]
-    score = np.zeros(len(tokens))
-    score[known] = tree.root(count[known])
-    first = np.zeros(len(tokens), bool)
-    first[offsets[:-1]] = True
-    for k in range(len(tree.state)):  # contexts of k+1 words; a longer retained one overrides
-        before = np.full(len(tokens), -1, np.int64)
-        before[1:] = np.where(first[1:], -1, places[k][:-1])
-        at = np.flatnonzero(before >= 0)
-        at = at[tree.state[k][before[at]]]
-        gram = places[k + 1][at]
-        score[at] = np.where(gram >= 0, tree.log_p[k][np.maximum(gram, 0)], tree.rest[k][before[at]] + score[at])
-    return score, count, known
-
-
-_MESSAGE = "range int, kind int, keys binary, rows binary, ids binary, flags binary, tokens binary, known binary, base binary, score binary"
-_RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+def _merged(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(message sizes, order by key, place of each entry's key, distinct keys)."""
+    keys = [unpack_sorted(k) for k in group["keys"]]
+    size, keys = np.array([len(k) for k in keys]), np.concatenate(keys)
+    order = np.argsort(keys, kind="stable")
+    new = np.concatenate(([True], np.diff(keys[order]) != 0))
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return size, order, place, int(new.sum())
+
+
+def _total_counts(kind: int, group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
+    """(message sizes, 2 * count + does this slice lead, (keys, occurrences))."""
+    size, order, place, n = _merged(group)
+    count = np.concatenate([from_planes(c, np.uint32) for c in group["ints"]]).astype(np.int64)
+    total = np.bincount(place, count, n).astype(np.int64)
+    seen = order[count[order] > 0]
+    lead = np.zeros(len(count), np.int64)
+    lead[seen[np.concatenate(([True], np.diff(place[seen]) != 0))[: len(seen)]]] = 1
+    kept = np.where(total >= SUPPORT, total, 0) if kind > 1 else total
+    return size, 2 * kept[place] + lead, (int((total > 0).sum()), int(total.sum()))
+
+
+def _states(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(message sizes, lambda of the retained contexts, 0 of the others)."""
+    size, _, place, k = _merged(group)
+    has = np.concatenate([np.unpackbits(np.frombuffer(a, np.uint8), count=s) for a, s in zip(group["adds"], size)]).astype(bool)
+    at = place[has]
+    ints = np.concatenate([from_planes(i, np.int64).reshape(3, -1) for i in group["ints"]], axis=1)
+    floats = np.concatenate([np.frombuffer(f, float).reshape(2, -1) for f in group["floats"]], axis=1)
+    add = lambda x: np.bincount(at, x, k)
+    successors, stored_, divergence, q = add(ints[0]), add(ints[1]), add(floats[0]), add(floats[1])
+    n = np.ones(k)
+    n[at] = ints[2]
+    p_rest, q_rest = np.maximum(1 - stored_ / n, 0), np.maximum(1 - q, 1e-12)
+    divergence = divergence + np.where(p_rest > 0, p_rest * np.log(np.maximum(p_rest, 1e-300) / q_rest), 0)
+    state = (successors > 0) & (2 * n * divergence > successors * np.log(np.maximum(n, 2)))
+    rest = np.clip(1 - (stored_ - DISCOUNT * successors) / n, 1e-12, 1)
+    return size, np.where(state, rest, 0.0)[place]
+
+
+def _answer(group: pd.DataFrame) -> pd.DataFrame:
+    """Each slice's answers from one hash range; of the words also a row
+    without slice with the numbers of distinct words and tokens (kind 0)."""
+    out, r = [], int(group["range"].iloc[0])
+    for kind, some in group.groupby("kind"):
+        if kind > 0:
+            size, value, total = _total_counts(int(kind), some)
+            if kind == 1:
+                out.append((None, r, 0, np.array(total, np.int64).tobytes()))
+        else:
+            size, value = _states(some)
+        ends = np.cumsum(size)
+        out += [(s, r, int(kind), planes(value[e - k : e])) for s, e, k in zip(some["slice"], ends, size)]
+    frame = pd.DataFrame(out, columns=["slice", "range", "kind", "body"])
+    return frame.astype({"slice": "Int64"})
 
 
 def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learns from the rows for which ``held_out`` (over ``doc_id``) is false
     and scores all.  Returns doc_id, held_out, n_tokens (words and end), n_known,
     train_tokens, base_score (add-one unigram) and score, in log10."""
-    spark = docs.sparkSession
-    rows = keyed(docs, id_col, text_col).withColumn("held_out", held_out)
     bits = buckets_for(text_bytes(docs, text_col), RANGE_BYTES).bit_length() - 1
-    tree, vocabulary = fit(rows.where(~F.col("held_out")).select("text"), bits)
-    sent = spark.sparkContext.broadcast(tree)
+    rows = keyed(docs, id_col, text_col).withColumn("held_out", held_out).select("doc_id", "held_out", "text")
+    cut = stored(rows.mapInArrow(_cut, _SLICE), "lm-slices")
     names = [f.split(" ")[0] for f in _MESSAGE.split(", ")]
-    types = [pa.int32(), pa.int32(), *[pa.binary()] * 8]
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per slice: partial scores by document range (kind 0) and the rare
-        words by word range (kind 1)."""
-        tree = sent.value
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
         for batch in batches:
-            for part in slices(batch, "text", 4 * SLICE_BYTES):
-                tokens, offsets = _text_tokens(part)
-                score, count, known = _local_scores(tree, tokens, offsets)
-                doc = np.repeat(np.arange(part.num_rows), np.diff(offsets))
-                key = part.column("row_key").to_numpy().view(_U)
-                add = lambda x: np.bincount(doc, x, part.num_rows)
-                column = {
-                    "ids": part.column("doc_id").fill_null(0).to_numpy(), "rows": key,
-                    "flags": np.array([2 * (i is None) + h for i, h in zip(part.column("doc_id").to_pylist(), part.column("held_out").to_pylist())], np.uint8),
-                    "tokens": np.diff(offsets), "known": add(known).astype(np.int64), "base": add(np.where(known, tree.base(count), 0)),
-                    "score": add(score) / _LN10,
-                }
-                out: list[tuple] = []
-                target = (mix(key) >> _U(64 - bits)).astype(np.int64)
-                for r in np.unique(target).tolist():
-                    pick = target == r
-                    out.append((r, 0, b"", *[column[c][pick].tobytes() for c in names[3:]]))
-                rare, owner = tokens[~known], key[doc[~known]]
-                order = np.argsort(rare, kind="stable")
-                rare, owner = rare[order], owner[order]
-                cuts = np.searchsorted(rare, np.arange(1 << bits, dtype=_U) << _U(64 - bits)).tolist() + [len(rare)]
-                for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-                    if b > a:
-                        out.append((r, 1, pack_sorted(rare[a:b]), owner[a:b].tobytes(), *[b""] * 6))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
-
-    def answer(_: tuple, asked: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
-        """Rare words' root terms, summed by document; partial scores pass."""
-        tree, out = sent.value, [asked[asked["kind"] == 0]]
-        rare = asked[asked["kind"] == 1]
-        if len(rare):
-            words_ = np.concatenate([unpack_sorted(k) for k in rare["keys"]])
-            owner = np.frombuffer(b"".join(rare["rows"]), _U)
-            count = np.zeros(len(words_), np.int64)
-            if len(counted):
-                at = _find(unpack_sorted(counted["keys"].iloc[0]), words_)
-                count[at >= 0] = from_planes(counted["counts"].iloc[0], np.int64)[at[at >= 0]]
-            key, place = np.unique(owner, return_inverse=True)
-            add = lambda x: np.bincount(place, x, len(key))
-            sums = (add(count > 0).astype(np.int64), add(tree.base(count)), add(tree.root(count)) / _LN10)
-            target = (mix(key) >> _U(64 - bits)).astype(np.int64)
-            order = np.argsort(target, kind="stable")
-            for at in np.split(order, np.flatnonzero(np.diff(target[order])) + 1):
-                row = (int(target[at[0]]), 2, b"", key[at].tobytes(), b"", b"", b"", *[s[at].tobytes() for s in sums])
-                out.append(pd.DataFrame([row], columns=names))
-        return pd.concat(out)[names]
-
-    def finish(group: pd.DataFrame) -> pd.DataFrame:
-        own, more = group[group["kind"] == 0], group[group["kind"] == 2]
-        get = lambda frame, name, kind: np.frombuffer(b"".join(frame[name]), kind)
-        key = get(own, "rows", _U)
-        unique, place, copies = np.unique(key, return_inverse=True, return_counts=True)
-        at = np.searchsorted(unique, get(more, "rows", _U))
-        rest = [np.bincount(at, get(more, c, t), len(unique)) / copies for c, t in (("known", np.int64), ("base", float), ("score", float))]
-        flags, ids = get(own, "flags", np.uint8), get(own, "ids", np.int64)
-        return pd.DataFrame(
-            {
-                "doc_id": pd.array(ids, "Int64").copy() if not (flags & 2).any() else pd.Series(ids).astype("Int64").mask(flags & 2 > 0),
-                "held_out": (flags & 1).astype(bool), "n_tokens": get(own, "tokens", np.int64),
-                "n_known": get(own, "known", np.int64) + np.rint(rest[0][place]).astype(np.int64), "train_tokens": sent.value.n_tokens,
-                "base_score": get(own, "base", float) + rest[1][place], "score": get(own, "score", float) + rest[2][place],
-            }
-        )
-
-    asked = rows.mapInArrow(ask, _MESSAGE)
-    answered = asked.groupBy("range").cogroup(vocabulary.groupBy("range")).applyInPandas(answer, _MESSAGE)
-    return answered.groupBy("range").applyInPandas(finish, _RESULT)
+            for row in batch.to_pylist():
+                part = _Slice(row, bits, None, (0, 0))
+                part.grams(2)
+                out = part.ask_counts(1) + part.ask_counts(2)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+    def replies_to(messages: DataFrame) -> DataFrame:
+        out = stored(messages.groupBy("range").applyInPandas(_answer, _REPLY), "lm-replies")
+        docs.sparkSession._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of the rounds that are done
+        return out
+
+    replies = replies_to(cut.mapInArrow(begin, _MESSAGE))
+    sizes = [np.frombuffer(r["body"], np.int64) for r in replies.where("kind = 0").select("body").collect()]  # one per range
+    v, n = (int(x) for x in np.sum(sizes, axis=0)) if sizes else (0, 0)
+    replies = replies.where("kind <> 0")
+
+    def go_on(step: int):
+        """States of contexts of ``step`` words, counts of the next n-grams."""
+
+        def ask(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+            part = _Slice(own.iloc[0], bits, got, (n, v))
+            part.grams(2)
+            for order in range(2, step + 1):
+                part.learn(order)
+                part.grams(order + 1)
+            out = part.ask_states(step + 1)
+            if step < DEPTH:
+                part.grams(step + 2)
+                out += part.ask_counts(step + 2)
+            return pd.DataFrame(out, columns=names)
+
+        return ask
+
+    def finish(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        part = _Slice(own.iloc[0], bits, got, (n, v))
+        for order in range(2, DEPTH + 2):
+            part.grams(order)
+            part.learn(order)
+        return part.scored()
+
+    meet = lambda: cut.groupBy("slice").cogroup(replies.groupBy("slice"))
+    for step in range(1, DEPTH + 1):
+        replies = replies.unionByName(replies_to(meet().applyInPandas(go_on(step), _MESSAGE)))
+    return meet().applyInPandas(finish, _RESULT)

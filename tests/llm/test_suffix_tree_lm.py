@@ -102,3 +102,15 @@ def test_query_beats_the_base_on_held_out_texts(spark):
     rows = queries.op1_suffix_tree_lm(spark, "/root/testdata/sf0.01").collect()
     held = [r for r in rows if r.held_out]
     assert len(rows) == 1000 and sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_rare_ngrams_are_stored_in_a_large_corpus(spark, docs_frame):
+    """Pairs seen twice among 2.2 million tokens are contexts and successors."""
+    rows = [(i, "x " * 100_000) for i in range(22)]
+    rows += [(100 + i, f"one{i % 30} two{i % 30} three{i % 30}") for i in range(90)]
+    held = {100 + i for i in range(60, 90)}
+    model = Brute([tokens(t) for i, t in rows if i not in held], word_support=0, gram_support=0)
+    assert model.n > 2_000_000 and ("one3",) in model.states and model.count[("one3", "two3", "three3")] == 2
+    out = {r.doc_id: r.score for r in score_documents(docs_frame(rows), F.col("doc_id") >= 160).collect()}
+    for i, text in rows[22:]:
+        assert out[i] == pytest.approx(model.score(tokens(text)))
