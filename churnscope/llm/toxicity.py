@@ -10,9 +10,8 @@ evidence.
 
 TF-IDF: features are words (see ``text_arrays``) and the first five bytes of
 words longer than that; weight (1 + ln tf) * ln((1 + D) / (1 + df)), where D
-and df count **all** documents of the table; the space is the vocabulary of
-the index, without terms in fewer than one in ``MIN_SHARE`` of the examples or
-in more than ``MAX_DF`` of all documents (cosines are exact in that space).
+and df count **all** documents of the table; the space is the whole vocabulary
+of the examples: idf lowers frequent terms, none is left out.
 
 Exact search with a block-max inverted index: examples sit in blocks of
 ``BLOCK``; each term has, per block, the largest weight and the postings.  A
@@ -46,8 +45,6 @@ CALIBRATION = 3000
 NEIGHBOURS = 100
 POWER = 1.0
 HEAD = 5
-MIN_SHARE = 600  # a term occurs in one of so many examples at least
-MAX_DF = 0.1  # and in this share of all documents at most
 BLOCK = 64
 SLICE_BYTES = 1 << 20
 _U = np.uint64
@@ -242,19 +239,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return empty
     ids = np.array(batch.column("doc_id").to_pylist())
     in_index = np.isin(ids, list(label_of))
-    examples, count = np.unique(np.concatenate([np.zeros(0, _U), *_example_features(batch, in_index)]), return_counts=True)
-    vocabulary = examples[count >= max(1, in_index.sum() // MIN_SHARE)]
+    vocabulary = np.unique(np.concatenate([np.zeros(0, _U), *_example_features(batch, in_index)]))
     if not len(vocabulary):
         return empty
     df, total = _document_frequencies(docs, vocabulary)
-    usual = (df <= MAX_DF * total) | (total < 100)
-    vocabulary, idf = vocabulary[usual], np.log((1 + total) / (1 + df[usual]))
+    idf = np.log((1 + total) / (1 + df))
     some, at = [], 0
     for part in slices(batch, "text", SLICE_BYTES):
         d, t, c = term_counts(vocabulary, *column_bytes(part.column("text")))
-        some.append((d + at, t, c))
+        some.append([x.astype(np.int32) for x in (d + at, t, c)])
         at += part.num_rows
     doc, term, count = (np.concatenate(c) for c in zip(*some))
+    del some
     use, number = in_index[doc], np.cumsum(in_index) - 1
     mine = ids[in_index]
     # like labels and sizes share blocks, which tightens the bounds

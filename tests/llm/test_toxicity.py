@@ -79,3 +79,25 @@ def test_query_on_held_out_labels(spark):
     held = [(rows[r.doc_id].score, r.toxic) for r in labels if rows[r.doc_id].held_out]
     pos, neg = [s for s, t in held if t], [s for s, t in held if not t]
     assert np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg]) > 0.8
+
+
+def test_copies_of_a_toxic_text_that_fill_a_third_of_the_table(spark, docs_frame):
+    """All words of the copies are in more than a tenth of the documents."""
+    rng = random.Random(8)
+    plain = ["w" + str(i) for i in range(300)]
+    vile = "vilea vileb vilec viled vilee vilef"
+    rows = [(i, vile if i % 3 == 0 else " ".join(rng.choices(plain, k=30))) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    frame = docs_frame([*rows, (900, "vilea vileb " + rows[1][1])])
+    out = {r.doc_id: r for r in score_documents(frame, fit(frame, labels)).collect()}
+    assert all((out[i].score >= 0.5) == (i % 3 == 0) for i in range(300, 600))
+    assert all(out[i].neighbours and set(out[i].neighbour_labels) == {1} for i in range(0, 600, 3))
+
+
+def test_every_word_of_the_examples_counts(spark, docs_frame):
+    """A word of one example in a thousand still finds it."""
+    rows = [(i, f"same words here plus w{i % 40}") for i in range(1500)] + [(2000, "hapax same"), (2001, "hapax words")]
+    labels = spark.createDataFrame([*[(i, 0) for i in range(1500)], (2000, 1)], "doc_id long, toxic int")
+    model = fit(docs_frame(rows), labels)
+    out = {r.doc_id: r for r in score_documents(docs_frame(rows), model).collect()}
+    assert out[2001].neighbours[0] == 2000
