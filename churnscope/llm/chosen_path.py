@@ -10,7 +10,10 @@ bucket of every token it chooses; a pair of similar sets chooses a common one
 with probability at least 1 - exp(-0.8 BRANCH).  A bucket of more than
 ``LIMIT`` sets is split again by the next level's tokens, down to ``LEVELS``
 tokens, unless that hardly shrinks it; small buckets are compared by brute
-force.  As many runs are made as ``RECALL`` asks for.  Similarities are exact.
+force.  As many runs are made as ``RECALL`` asks for: a pair with a common
+bucket that is split needs a common token on up to ``LEVELS`` levels in one
+run, so the members of split buckets make ``more_runs`` besides.  Similarities
+are exact.
 
 Scale.
 * Equal sets are one representative with a weight, so copies are never paired.
@@ -55,7 +58,15 @@ _U = np.uint64
 
 
 def runs(recall: float = RECALL) -> int:
-    return math.ceil(math.log(1 - recall) / (-0.8 * BRANCH))
+    """Half of the allowed miss is for pairs without a common first bucket."""
+    return math.ceil(math.log((1 - recall) / 2) / (-0.8 * BRANCH))
+
+
+def more_runs(recall: float = RECALL) -> int:
+    """Further runs of the members of split buckets, the other half being for
+    pairs that no run keeps together on all levels."""
+    kept = (1 - math.exp(-0.8 * BRANCH)) ** LEVELS
+    return max(0, math.ceil(math.log((1 - recall) / 2) / math.log1p(-kept)) - runs(recall))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,13 +103,14 @@ def unpack_set(raw: bytes) -> np.ndarray:
     return np.cumsum(parts.view("<u8").ravel(), dtype=_U)
 
 
-def chosen(token: np.ndarray, offsets: np.ndarray, n_runs: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
-    """[run][level] -> (document, token) pairs that are chosen there."""
+def chosen(token: np.ndarray, offsets: np.ndarray, n_runs: int, first: int = 0) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """[run][level] -> (document, token) pairs that are chosen there, of runs
+    from number ``first``."""
     size = np.diff(offsets)
     doc = np.repeat(np.arange(len(size)), size)
     bar = np.minimum(BRANCH / np.maximum(size, 1), 1.0)[doc] * 2.0**32
     out = []
-    for run in range(n_runs):
+    for run in range(first, first + n_runs):
         levels = []
         for level in range(0, LEVELS, 2):  # a hash gives 32 bits to each of two levels
             h = mix(token ^ mix(np.array([run * 64 + level + 1], _U)))
@@ -123,7 +135,7 @@ def _lists(chosen_: list[tuple[np.ndarray, np.ndarray]], n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * m).astype(np.int32)), inner)
 
 
-def _describe(n_runs: int):
+def _describe(n_runs: int, first: int = 0):
     """Identity of each set (two sums over its tokens, size) and the chosen
     tokens: chosen[run] on the first level, deeper[run * (LEVELS - 1) + level]
     on the next ones."""
@@ -137,12 +149,12 @@ def _describe(n_runs: int):
                 for values in (token, mix(token ^ _U(0x2545F4914F6CDD1D))):
                     total = np.concatenate((np.zeros(1, _U), np.cumsum(values, dtype=_U)))
                     sums.append((total[offsets[1:]] - total[offsets[:-1]]).view(np.int64))
-                picked = chosen(token, offsets, n_runs)
-                first, deeper = [levels[0] for levels in picked], [some for levels in picked for some in levels[1:]]
+                picked = chosen(token, offsets, n_runs, first)
+                top, deeper = [levels[0] for levels in picked], [some for levels in picked for some in levels[1:]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), part.column("row_key"), pa.array(sums[0]), pa.array(sums[1]), pa.array(np.diff(offsets)),
-                        _lists(first, n), _lists(deeper, n),
+                        _lists(top, n), _lists(deeper, n),
                     ],
                     ["doc_id", "row_key", "k1", "k2", "n", "chosen", "deeper"],
                 )
@@ -150,14 +162,15 @@ def _describe(n_runs: int):
     return run
 
 
-def _buckets(sets: DataFrame) -> DataFrame:
-    """(bucket, rep, members, tokens): the buckets that are compared, with their
-    members, and how many sets and tokens they have."""
+def _buckets(sets: DataFrame, first: int = 0) -> tuple[DataFrame, DataFrame | None]:
+    """(bucket, rep, n, members, tokens): the buckets that are compared, with
+    their members, and how many sets and tokens they have; and (rep), the members
+    of buckets that were split, if any were.  ``first`` is the first run's number."""
     level = sets.select("rep", "n", F.posexplode("chosen").alias("run", "tokens"))
     level = level.select("rep", "n", "run", F.explode("tokens").alias("token")).select(
-        "rep", "n", "run", F.xxhash64("run", "token").alias("bucket")
+        "rep", "n", "run", F.xxhash64(F.col("run") + first, "token").alias("bucket")
     )
-    ready, parents = [], None
+    ready, split = [], None
     for depth in range(1, LEVELS + 1):
         level = stored(level, "path-level")
         size = level.groupBy("bucket").agg(
@@ -184,11 +197,13 @@ def _buckets(sets: DataFrame) -> DataFrame:
         ).select("bucket")
         dense = stored(dense, "dense-buckets")
         ready.append(parents.join(dense, "bucket", "left_semi").select("bucket", "rep", "n", "members", "tokens"))
+        if split is None:  # members of buckets split deeper are among them
+            split = parents.join(dense, "bucket", "left_anti").select("rep").distinct()
         level = child.join(dense.withColumnRenamed("bucket", "parent"), "parent", "left_anti").select("rep", "n", "run", "bucket")
     members = ready[0]
     for more in ready[1:]:
         members = members.unionByName(more)
-    return members
+    return members, split
 
 
 def _shares(members: DataFrame) -> DataFrame:
@@ -341,7 +356,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = described.select(F.col("row_key").alias("rep"), "chosen", "deeper").join(reps.where("n > 0").select("rep", "n"), "rep")
     if described.groupBy("row_key").count().where("count > 1").limit(1).count():
         rows = rows.dropDuplicates(["rep"])  # rows that repeat id and text
-    shares = stored(_shares(_buckets(rows)), "bucket-shares")
+    members, split = _buckets(rows)
+    if split is not None and (extra := more_runs()):
+        split = stored(split.join(reps.select("rep", "n"), "rep"), "split-sets")
+        texts = own.join(split.select(F.col("rep").alias("row_key")), "row_key", "left_semi").dropDuplicates(["row_key"])
+        again = texts.select("doc_id", "row_key", "text").mapInArrow(_describe(extra, n_runs), _SETS)
+        again = stored(again.select(F.col("row_key").alias("rep"), "n", "chosen", "deeper"), "more-runs")
+        members = members.unionByName(_buckets(again, n_runs)[0])
+    shares = stored(_shares(members), "bucket-shares")
     lists = shares.groupBy("rep").agg(
         F.collect_list(F.struct("bucket", "rest", "rest_blocks", "first_blocks")).alias("buckets")
     ).join(reps.select("rep", "weight"), "rep")

@@ -111,3 +111,29 @@ def test_query_equals_brute_force(spark):
     d = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     check(queries.op2_chosen_path(spark, d).collect(), rows)
+
+
+def test_pairs_in_split_buckets_are_found(docs_frame, monkeypatch):
+    """Texts of shared passages only: their buckets are all over the limit."""
+    monkeypatch.setattr(chosen_path, "LIMIT", 12)
+    monkeypatch.setattr(chosen_path, "runs", lambda *_, f=runs: f(0.99))
+    monkeypatch.setattr(chosen_path, "more_runs", lambda *_, f=getattr(chosen_path, "more_runs", None): f(0.99), raising=False)
+    rng = random.Random(9)
+    passages = [" ".join(f"p{k}x{i}" for i in range(30)) for k in range(12)]
+    texts = []
+    for _ in range(90):
+        text = " ".join(rng.sample(passages, 5))
+        w = text.split(" ")
+        w[rng.randrange(len(w))] = "edited"
+        texts += [text, " ".join(w)]
+    rows = list(enumerate(texts))
+    _, want = brute(rows)
+    got = {r.doc_id: r.n_links for r in near_duplicates(docs_frame(rows)).collect()}
+    assert all(got[i] <= k for i, k in enumerate(want))
+    assert sum(got.values()) >= 0.98 * sum(want) > 0
+
+
+def test_recall_holds_over_all_levels():
+    kept = (1 - np.exp(-0.8 * chosen_path.BRANCH)) ** chosen_path.LEVELS
+    n = chosen_path.runs() + chosen_path.more_runs()
+    assert np.exp(-0.8 * chosen_path.BRANCH * chosen_path.runs()) + (1 - kept) ** n <= (1 - chosen_path.RECALL) * (1 + 1e-9)
