@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnscope.llm.storage import arrow_columns, arrow_fields
 from churnscope.llm.text_arrays import slices
 
 SPACE = "▁"
@@ -223,7 +224,7 @@ def map_encoded(
     document's encoding."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     key_type = source.schema["doc_id"].dataType.simpleString()
-    names = [f.strip().split(" ")[0] for f in fields.split(",")]
+    made = arrow_fields(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece_codec = codec(model)
@@ -231,7 +232,7 @@ def map_encoded(
             for part in slices(batch, "text", SLICE_BYTES):
                 rows = [finish(piece_codec.encode(t)) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(pa.array(c) for c in zip(*rows))], ["doc_id", *names]
+                    [part.column("doc_id"), *arrow_columns(rows, made)], ["doc_id", *made.names]
                 )
 
     return source.mapInArrow(run, f"doc_id {key_type}, {fields}")

@@ -13,8 +13,11 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from churnscope.session import ensure_checkpoint_dir
 
@@ -80,3 +83,14 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         text.alias("text"),
         F.xxhash64(F.col(id_col), text).alias("row_key"),
     )
+
+
+def arrow_fields(ddl: str) -> pa.Schema:
+    """Names and Arrow types of a DDL field list.  Batches built with them agree
+    in their schema even where a slice holds only NULLs or empty lists."""
+    return pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(ddl)])
+
+
+def arrow_columns(rows: list[tuple], fields: pa.Schema) -> list[pa.Array]:
+    """One typed column per field from row tuples."""
+    return [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(fields), fields)]

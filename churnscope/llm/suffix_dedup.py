@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnscope.llm.storage import keyed, stored
+from churnscope.llm.storage import arrow_columns, arrow_fields, keyed, stored
 from churnscope.llm.text_arrays import BYTE_VALUE, column_bytes, mix, prefix_hash, slices, span_hash
 
 LENGTH = 400
@@ -312,7 +312,8 @@ def map_kept(
     rest = [c for c in carry if c != text_col]
     rows = docs.select(F.xxhash64(F.col(id_col), text).alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(0).alias("none")]).alias("rest"), F.col(text_col).cast("string").alias("text"))
     joined = rows.join(marks, "row_key", "left").select("rest", "text", "marks")
-    names = [f.strip().split(" ")[0] for f in fields.split(",")]
+    made = arrow_fields(fields)
+    names = made.names
     keep_text = text_col in carry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +330,7 @@ def map_kept(
                             change[first + b - 1 + length] -= 1
                     starts, ends = _ranges(np.cumsum(change[:-1]) > 0)
                     out.append(finish(raw, list(zip(starts.tolist(), ends.tolist()))))
-                columns = [part.column("rest"), *([part.column("text")] if keep_text else []), *(pa.array(c) for c in zip(*out))]
+                columns = [part.column("rest"), *([part.column("text")] if keep_text else []), *arrow_columns(out, made)]
                 yield pa.RecordBatch.from_arrays(columns, ["rest", *(["text"] if keep_text else []), *names])
 
     schema = joined.select("rest", *(["text"] if keep_text else [])).schema

@@ -48,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from churnscope.llm.storage import buckets_for
+from churnscope.llm.storage import arrow_fields, buckets_for
 from churnscope.llm.text_arrays import mix, slices
 
 SLICE_BYTES = 1 << 20
@@ -314,7 +314,7 @@ class TokenStore:
         """Reads the documents named by ``keys`` (key, turn).  ``finish(doc_id,
         start, ids)`` makes the ``fields`` of a row from each; start counts the
         ids before the document in the whole store."""
-        names = [f.strip().split(" ")[0] for f in fields.split(",")]
+        names = arrow_fields(fields).names
 
         def read(_: tuple, wanted: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
             if wanted.empty or rows.empty:

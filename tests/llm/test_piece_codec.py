@@ -104,3 +104,9 @@ def test_nulls_empty_table_and_other_columns(spark, docs_frame):
     assert sorted((r.doc_id is None, r.decoded, len(r.ids)) for r in rows)[0] == (False, "", 0)
     assert sum(r.ids == LIBRARY.encode("x y") for r in rows) == 3
     assert encode_documents(docs_frame([]), MODEL).collect() == []
+
+
+def test_slices_of_empty_texts_keep_the_schema(docs_frame):
+    rows = [(i, "") for i in range(3)] + [(3, "word " * 500_000), (4, ""), (5, "ein Wort " * 150_000)]
+    found = {r.doc_id: r for r in encode_documents(docs_frame(rows).coalesce(1), MODEL).collect()}
+    assert [len(found[i].ids) for i in (0, 1, 2, 4)] == [0] * 4 and found[3].ends[-1] == 2_500_000 and len(found[5].ids) > 150_000

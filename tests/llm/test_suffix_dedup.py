@@ -98,3 +98,14 @@ def test_query_equals_brute_force(spark):
         kept = suffix_dedup.kept_text(raw, runs)
         assert (r.n_bytes, r.n_removed, r.n_spans) == (len(raw), sum(b - a for a, b in runs), len(runs))
         assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
+
+
+def test_slices_without_repeats_keep_the_schema(spark, docs_frame):
+    """Several slices in one batch, the first of them free of repeats."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    shared = text(500)
+    rows = [(i, text(40_000)) for i in range(60)] + [(i, text(30_000) + shared + text(5_000)) for i in range(60, 70)]
+    found = remove_repeats(docs_frame(rows).coalesce(1)).collect()
+    cut = {r.row.doc_id: r.ends[0] - r.starts[0] for r in found if r.starts}
+    assert len(found) == 70 and set(cut) == set(range(60, 70)) and all(500 <= n <= 504 for n in cut.values())
