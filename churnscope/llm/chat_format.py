@@ -45,8 +45,8 @@ from pyspark.sql import functions as F
 from churnscope.llm.storage import arrow_columns, arrow_fields
 
 OPEN, SEP, CLOSE = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
-PART_CHARS = 1 << 20
-BATCH_CHARS = 1 << 21
+PART_CHARS = 1 << 18
+BATCH_CHARS = 1 << 18
 
 _PLAIN, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile("".join((re.escape(OPEN), "(.*?)", re.escape(SEP), "(.*?)", re.escape(CLOSE))), re.DOTALL)
@@ -143,10 +143,9 @@ def format_conversations(
         def encoded() -> pa.RecordBatch:
             nonlocal number, size
             out = []
-            texts = [render(turns, learn) for _, _, turns in waiting]
-            for (_, edge, turns), (formatted, spans), e in zip(
-                waiting, texts, tokenizer.encode_batch([t for t, _ in texts], add_special_tokens=False)
-            ):
+            for _, edge, turns in waiting:
+                formatted, spans = render(turns, learn)
+                e = tokenizer.encode(formatted, add_special_tokens=False)
                 token = np.array(e.offsets, np.int32).reshape(-1, 2)
                 out.append((number, edge, len(turns), formatted, np.array(e.ids, np.int32), token[:, 0], token[:, 1], loss_mask(token, spans)))
                 number += 1
