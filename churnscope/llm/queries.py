@@ -6,7 +6,7 @@ import hashlib
 import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +120,27 @@ def op10_cotrain_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row.doc_id", "quality", "text_view", "meta_view", (F.col("quality") >= KEEP).alias("keep"))
 
 
+def merkle_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``op11_merkle_manifest`` for documents of any size."""
+    from churnscope.llm.merkle_manifest import digest, field, fold, manifest, proof_digest
+
+    def leaf(text: Column) -> Column:
+        return digest(*[field(F.col(c)) for c in ("doc_id", "source", "lang", "n_chars")], field(text))
+
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    leaves = docs.select(
+        "source", "doc_id", leaf(F.col("text")).alias("leaf"),
+        F.when(tampered, leaf(F.replace(F.col("text"), F.lit("\n"), F.lit("")))).alias("tampered"),
+    )
+    folded = fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    found = manifest(leaves).select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_rows(_table(spark, sf_dir, "documents"))
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnscope.llm.chat_format import conversations, format_conversations
     from churnscope.llm.storage import stored
@@ -135,9 +156,11 @@ def llm_queries() -> dict[str, Query]:
     return {
         "op1_suffix_tree_lm": op1_suffix_tree_lm, "op2_chosen_path": op2_chosen_path, "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op5_shard_minimax": op5_shard_minimax,
         "op6_multi_index": op6_multi_index, "op7_token_store": op7_token_store, "op8_suffix_dedup": op8_suffix_dedup, "op9_piece_codec": op9_piece_codec,
-        "op10_cotrain_quality": op10_cotrain_quality, "op13_chat_format": op13_chat_format,
+        "op10_cotrain_quality": op10_cotrain_quality, "op11_merkle_manifest": op11_merkle_manifest, "op13_chat_format": op13_chat_format,
     }
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    from churnscope.llm import oracles
+
+    return {"op11_merkle_manifest": oracles.MERKLE_MANIFEST, "op13_chat_format": oracles.CHAT_FORMAT}

@@ -93,3 +93,14 @@ def test_registered_query_equals_direct_digests(spark):
     got = queries.op13_chat_format(spark, d).collect()
     assert len(got) == len(want)
     assert all((r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == digests(want[r.conv_id]) for r in got)
+
+
+def test_sql_equals_the_query(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{d}/conversations.parquet'")
+    frame = queries.op13_chat_format(spark, d)
+    want = con.execute(f"select {', '.join(frame.columns)} from ({queries.llm_oracles()['op13_chat_format']})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in frame.collect())
