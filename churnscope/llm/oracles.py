@@ -101,3 +101,43 @@ texts as (
 select conv_id, n_turns, sha256(joined) as turns_sha256, length(learned) as loss_chars, sha256(learned) as loss_sha256, formatted_chars
 from texts
 """
+
+SPELLING_VARIANTS = f"""
+with recursive {_CRC_TABLE},
+runs as (
+    select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as word, count(*) as n
+    from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as run from documents) group by 1, 2
+),
+hashed as (
+    select word, n, {_crc32("coalesce(doc_id::varchar, '') || ':' || word")} as h from runs, crc where length(word) >= 7
+),
+spelled as (
+    select case when h % 31 = 0 then substr(word, 1, h % length(word)) || substr(word, h % length(word) + 2) else word end as word, n
+    from hashed
+),
+words as (select word, sum(n)::bigint as n from spelled where length(word) >= 7 group by word having sum(n) >= 2),
+holes as (
+    select word, n, i, substr(word, 1, i) || substr(word, i + 2) as rest
+    from (select word, n, unnest(range(length(word))) as i from words)
+),
+pairs as (
+    select a.word, b.word as near from holes a join holes b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+    union select h.word, w.word from holes h join words w on h.rest = w.word
+    union select w.word, h.word from holes h join words w on h.rest = w.word
+),
+best as (
+    select p.word, count(*) as n_near, first(p.near order by w.n desc, p.near) as near, max(w.n) as near_n
+    from pairs p join words w on w.word = p.near group by p.word
+),
+info as (
+    select w.word, w.n, coalesce(b.n_near, 0) as n_near, case when b.near_n >= 10 * w.n then b.near end as form,
+           case when b.near_n >= 10 * w.n then b.near_n end as form_n
+    from words w left join best b on b.word = w.word
+),
+chain(word, reached, step) as (
+    select word, word, 0 from info
+    union all select c.word, i.form, c.step + 1 from chain c join info i on i.word = c.reached where i.form is not null
+),
+roots as (select word, last(reached order by step) as root from chain group by word)
+select i.word, i.form, r.root, i.n, i.n_near, i.form_n from info i join roots r on r.word = i.word
+"""

@@ -141,6 +141,30 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_rows(_table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnscope.llm.spelling_variants import forms, near_words, word_counts
+    from churnscope.llm.storage import stored
+
+    def respell(doc_id: int | None):
+        """Deletes one code point of the runs whose hash 31 divides."""
+        head = zlib.crc32(b"" if doc_id is None else b"%d" % doc_id)
+        head = zlib.crc32(b":", head)
+
+        def change(run: bytes) -> bytes:
+            h = zlib.crc32(run, head)
+            if h % 31:
+                return run
+            word = run.decode()
+            at = h % len(word)
+            return (word[:at] + word[at + 1 :]).encode()
+
+        return change
+
+    counts = word_counts(_table(spark, sf_dir, "documents"), min_length=7, respell=respell)
+    words = stored(counts.where("n >= 2"), "words")
+    return forms(words, near_words(words)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnscope.llm.chat_format import conversations, format_conversations
     from churnscope.llm.storage import stored
@@ -156,11 +180,12 @@ def llm_queries() -> dict[str, Query]:
     return {
         "op1_suffix_tree_lm": op1_suffix_tree_lm, "op2_chosen_path": op2_chosen_path, "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op5_shard_minimax": op5_shard_minimax,
         "op6_multi_index": op6_multi_index, "op7_token_store": op7_token_store, "op8_suffix_dedup": op8_suffix_dedup, "op9_piece_codec": op9_piece_codec,
-        "op10_cotrain_quality": op10_cotrain_quality, "op11_merkle_manifest": op11_merkle_manifest, "op13_chat_format": op13_chat_format,
+        "op10_cotrain_quality": op10_cotrain_quality, "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_spelling_variants": op12_spelling_variants, "op13_chat_format": op13_chat_format,
     }
 
 
 def llm_oracles() -> dict[str, str]:
     from churnscope.llm import oracles
 
-    return {"op11_merkle_manifest": oracles.MERKLE_MANIFEST, "op13_chat_format": oracles.CHAT_FORMAT}
+    return {"op11_merkle_manifest": oracles.MERKLE_MANIFEST, "op12_spelling_variants": oracles.SPELLING_VARIANTS, "op13_chat_format": oracles.CHAT_FORMAT}
