@@ -1,7 +1,7 @@
 """Ordered-set aggregates, cohorts and windows (CO01-CO07).
 
-* Global scalars (the median charge) are scalar subqueries over a one-row
-  aggregate, never a join.
+* Global scalars (the median charge) are constants that ``selection`` finds when
+  the query is built, never a join.
 * Top-k lists are ``orderBy().limit()`` (TakeOrderedAndProject: each task
   keeps its own top k; only k rows per task reach the final merge).
 * Top-n per group filters ``row_number`` so Spark plans WindowGroupLimit
@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 from churnscope.functions.numeric import mean, money_mean, money_sum, pct, round_money, round_to
 from churnscope.functions.schemas import CONTRACT_M2M, INTERNET_FIBER, PAY_ECHECK
 from churnscope.operators.ranking import top_n_per_group
-from churnscope.operators.selection import quantiles
+from churnscope.operators.selection import quantile_values, quantiles
 
 
 def median_of(df: DataFrame, c: str) -> Column:
-    """Median (exact, linear interpolation) as a scalar subquery, 6 places."""
-    return quantiles(df, [c], [0.5]).select(round_to("value", 6)).scalar()
+    """Median (exact, linear interpolation) as a constant, 6 places."""
+    value = quantile_values(df, [c], [0.5]).get((0, c, 0.5))
+    return round_to(F.lit(value).cast("double"), 6)
 
 
 def high_value_churners(acct: DataFrame) -> DataFrame:

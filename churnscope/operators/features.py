@@ -2,9 +2,8 @@
 
 Every feature is a column expression over one row, except two global
 scalars (maximum tenure and the 75th percentile of monthly charges).  Those
-are scalar subqueries over one row, which ``selection.quantiles`` finds from
-value histograms: counts per value cell, then the values of the cells that
-hold a wanted rank.
+are constants that ``selection`` finds when the features are built, from sketches
+and exact counts around the wanted rank.
 """
 
 from __future__ import annotations
@@ -38,7 +37,7 @@ from churnscope.functions.schemas import (
     TIER_HEALTHY,
     TIER_NEEDS,
 )
-from churnscope.operators.selection import quantiles
+from churnscope.operators.selection import quantile_values
 
 
 def _is_yes(c: str) -> Column:
@@ -74,19 +73,19 @@ def contract_points(c: Column) -> Column:
     return _map(c, CONTRACT_POINTS)
 
 
-def global_scalars(df: DataFrame) -> DataFrame:
-    """The two global scalars of the feature pipeline as one row: maximum
-    tenure and the exact 75th percentile of monthly charges (6 dp), both from
-    the value histogram of ``quantiles``."""
-    q = quantiles(df, ["tenure", "monthly_charges"], [0.75, 1.0])
-    at = lambda name, p: F.max(F.when((F.col("name") == name) & (F.col("p") == p), F.col("value")))
-    return q.agg(at("tenure", 1.0).cast("int").alias("max_tenure"), round_to(at("monthly_charges", 0.75), 6).alias("p75"))
+def global_scalars(df: DataFrame) -> dict[str, Column]:
+    """The two global scalars of the feature pipeline as constants: maximum
+    tenure and the exact 75th percentile of monthly charges (6 dp); NULL for an
+    empty frame."""
+    found = quantile_values(df, ["tenure", "monthly_charges"], [0.75, 1.0])
+    at = lambda name, p: F.lit(found.get((0, name, p))).cast("double")
+    return {"max_tenure": at("tenure", 1.0).cast("int"), "p75": round_to(at("monthly_charges", 0.75), 6)}
 
 
-def add_tenure_features(df: DataFrame, scalars: DataFrame | None = None) -> DataFrame:
+def add_tenure_features(df: DataFrame, scalars: dict[str, Column] | None = None) -> DataFrame:
     """FE01-FE03."""
     scalars = scalars if scalars is not None else global_scalars(df)
-    max_tenure = scalars.select("max_tenure").scalar()
+    max_tenure = scalars["max_tenure"]
     return df.withColumns(
         {
             "tenure_bucket": _band(F.col("tenure"), TENURE_BANDS, TENURE_LABELS_PY),
@@ -114,12 +113,12 @@ def add_service_features(df: DataFrame) -> DataFrame:
     ).withColumn("service_depth", depth)
 
 
-def add_billing_features(df: DataFrame, scalars: DataFrame | None = None) -> DataFrame:
+def add_billing_features(df: DataFrame, scalars: dict[str, Column] | None = None) -> DataFrame:
     """FE08-FE12.  The high-spender cut is the exact 75th percentile
     (linear interpolation), rounded to 6 places so that an interpolation
     rounding error can never flip ``>=`` for a value equal to it."""
     scalars = scalars if scalars is not None else global_scalars(df)
-    p75 = scalars.select("p75").scalar()
+    p75 = scalars["p75"]
     monthly = F.col("monthly_charges")
     tenure = F.col("tenure")
     expected = monthly * F.greatest(tenure, F.lit(1))

@@ -1,9 +1,10 @@
 """Lazy access to the base frames of one data folder.
 
 ``Frames(spark, sf_dir)`` hands out the raw accounts and the frames derived
-from them.  Nothing is computed until a query runs an action; each property
-returns a new lazy plan over the same sources, so Catalyst sees the whole
-query and prunes what it does not need.
+from them.  Each property returns a lazy plan over the same sources, so Catalyst
+sees the whole query and prunes what it does not need; only the order statistics
+that features and quintiles need (``selection``) are found when a plan is built,
+once per folder, and are constants in it.
 
 A materialised accounts table can stand in for the derivation (as the
 analysed project loads its account table once and runs every report on
