@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnscope.functions.numeric import mean, ratio, round_fine, round_to
+from churnscope.operators.ranking import prefix_sums
 from churnscope.operators.selection import quantiles
 
 
@@ -41,7 +42,14 @@ def kde_on_grid(
     points start, start+step, ..., stop; by default from three bandwidths below
     the group's smallest value to three above its largest.  One row per
     (group, point)."""
-    hist = value_counts_by_group(df, group, value).withColumn("cnt", F.col("cnt").cast("double"))
+    return kde_of_counts(value_counts_by_group(df, group, value), group, start, stop, step, digits)
+
+
+def kde_of_counts(
+    hist: DataFrame, group: str, start: int | None = None, stop: int | None = None, step: int = 1, digits: int = 10
+) -> DataFrame:
+    """``kde_on_grid`` from the (group, v, cnt) of ``value_counts_by_group``."""
+    hist = hist.withColumn("cnt", F.col("cnt").cast("double"))
     n, total = F.sum("cnt"), F.sum(F.col("cnt") * F.col("v"))
     spread = F.sum(F.col("cnt") * F.col("v") * F.col("v")) - total * total / n
     # One row per group: the group count bounds it.  All from the histogram.
@@ -84,12 +92,32 @@ def quartiles(df: DataFrame, cols: list[str], group: str | None, names: list[str
     )
 
 
+def quartiles_of_counts(hist: DataFrame, group: str) -> DataFrame:
+    """(group, q1, median, q3), exact, 6 places, from (group, v, cnt): running
+    counts over all values in range partitions, then the values at the ranks."""
+    ordered = prefix_sums(hist.withColumn("key", F.struct(group, "v")), "key", ["cnt"])
+    size = ordered.groupBy(group).agg(F.sum("cnt").alias("n"), F.min("cnt_before").alias("start"))
+    names = {0.25: "q1", 0.5: "median", 0.75: "q3"}
+    asked = size.select(F.col(group), "n", "start", F.explode(F.array(*[F.lit(p) for p in names])).alias("p"))
+    at = (F.col("n") - 1) * F.col("p")
+    asked = asked.withColumn("at", at).withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
+    met = ordered.join(asked, group).where("rank >= cnt_before - start and rank < cnt_before - start + cnt")
+    off = F.col("at") - F.floor("at")
+    share = F.when(F.col("rank") == F.floor("at"), 1 - off).otherwise(off)
+    each = met.groupBy(group, "p").agg(F.sum(F.col("v") * share).alias("value"))
+    return each.groupBy(group).agg(*[round_to(F.max(F.when(F.col("p") == p, F.col("value"))), 6).alias(name) for p, name in names.items()])
+
+
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Per group: n, min, quartiles, max, IQR and 1.5-IQR whiskers, all from
     the per-group value histogram."""
-    hist = value_counts_by_group(df, group, value)
-    size = hist.groupBy(group).agg(F.sum("cnt").cast("bigint").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"))
     quarter = quartiles(df.where(F.col(group).isNotNull()), [value], group, ["q1", "median", "q3"])
+    return box_of_counts(value_counts_by_group(df, group, value), quarter, group)
+
+
+def box_of_counts(hist: DataFrame, quarter: DataFrame, group: str) -> DataFrame:
+    """``box_stats`` from the (group, v, cnt) and the quartiles of each group."""
+    size = hist.groupBy(group).agg(F.sum("cnt").cast("bigint").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"))
     q = size.join(quarter, group).select(group, "n", "min", "q1", "median", "q3", "max").withColumn(
         "iqr", round_to(F.col("q3") - F.col("q1"), 6)
     )
@@ -111,7 +139,11 @@ def equal_width_histogram(df: DataFrame, group: str, value: str, bins: int = 20)
     bin includes the maximum.  Empty bins are listed with count 0.  Binning
     runs on the per-group value histogram (distinct values), so the rows are
     never shuffled by the group key."""
-    hist = value_counts_by_group(df, group, value)
+    return histogram_of_counts(value_counts_by_group(df, group, value), group, bins)
+
+
+def histogram_of_counts(hist: DataFrame, group: str, bins: int = 20) -> DataFrame:
+    """``equal_width_histogram`` from (group, v, cnt)."""
     rng = hist.groupBy(group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     span = F.col("hi") - F.col("lo")
     raw_bin = F.floor(ratio((F.col("v") - F.col("lo")) * bins, span))

@@ -21,9 +21,9 @@ neither Spark nor SQL engines provide; ``erfc`` below is the published
 Chebyshev fit (fractional error below 1.2e-7) written as a column
 expression, so everything stays in the JVM.
 
-Correlations: one grouped aggregation over (pair, x, y) entries (see
-``pearson_long``); a constant column yields NULL instead of failing the
-job (ANSI mode raises on division by zero).
+Correlations: one block of co-moments per task (see ``comoments``); a constant
+column yields NULL instead of failing the job (ANSI mode raises on division by
+zero).
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.functions.numeric import ratio, round_to
+from churnscope.operators.comoments import blocks, correlation, pair_moments
 from churnscope.operators.ranking import prefix_sums
 
 # --------------------------------------------------------------------------
@@ -143,41 +144,18 @@ def mann_whitney(df: DataFrame, value: str, group: Column) -> DataFrame:
 
 
 def pearson_long(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Sample Pearson r per column pair: rows (a, b, r).
-
-    Each row emits one (pair, x, y) entry per pair (a fixed fan-out), and
-    one grouped aggregation with partial aggregation computes, per pair,
-    ``covar_samp`` and ``var_samp`` of both sides (streaming, numerically
-    stable moment updates) plus min/max to detect a constant column.  The
-    shuffle carries one row per pair and task.  Observations are
-    pairwise-complete (a row counts for a pair only when both values are
-    present).  r = cov / sqrt(var_a * var_b); NULL for a constant column
-    instead of a division by zero."""
-    # One (pair, x, y) row per pair and input row, from a generator (no
-    # per-row array); x and y only for pairwise-complete rows.
-    terms = []
-    for k, (a, b) in enumerate(pairs):
-        both = f"`{a}` IS NOT NULL AND `{b}` IS NOT NULL"
-        terms += [
-            str(k),
-            f"CASE WHEN {both} THEN CAST(`{a}` AS DOUBLE) END",
-            f"CASE WHEN {both} THEN CAST(`{b}` AS DOUBLE) END",
-        ]
-    long = df.select(F.expr(f"stack({len(pairs)}, {', '.join(terms)}) AS (p, x, y)"))
-    agg = long.groupBy("p").agg(
-        F.covar_samp("x", "y").alias("cov"),
-        F.var_samp("x").alias("vx"),
-        F.var_samp("y").alias("vy"),
-        ((F.min("x") == F.max("x")) | (F.min("y") == F.max("y"))).alias("constant"),
-    )
-    r = F.try_divide(F.col("cov"), F.sqrt(F.col("vx") * F.col("vy")))
-    label_a = F.element_at(F.array(*[F.lit(a) for a, _ in pairs]), F.col("p") + 1)
-    label_b = F.element_at(F.array(*[F.lit(b) for _, b in pairs]), F.col("p") + 1)
-    return agg.select(
-        label_a.alias("a"),
-        label_b.alias("b"),
-        round_to(F.when(~F.coalesce(F.col("constant"), F.lit(True)), r), 6).alias("r"),
-    )
+    """Sample Pearson r per column pair: rows (a, b, r), 6 places.
+
+    Each task sends one block of the moments of all pairs (``comoments``).
+    Observations are pairwise-complete (a row counts for a pair only when both
+    values are present); NULL for a constant column."""
+    return correlation_rows(pair_moments(blocks(df, pairs)), pairs)
+
+
+def correlation_rows(moments: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(a, b, r) from the (p, moments) of numbered pairs."""
+    label = lambda side: F.element_at(F.array(*[F.lit(pair[side]) for pair in pairs]), F.col("p") + 1)
+    return moments.select(label(0).alias("a"), label(1).alias("b"), round_to(correlation(F.col("moments")), 6).alias("r"))
 
 
 def corr_with(df: DataFrame, cols: list[str], target: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from churnscope.plans.catalog import (  # noqa: F401
     business_queries,
+    chart_queries,
     io_queries,
     quality_queries,
     segment_queries,
