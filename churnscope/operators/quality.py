@@ -8,7 +8,7 @@ check table becomes one scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -157,18 +157,16 @@ ASSERTION_RULES = [
 ]
 
 
-def assertions(clean_df: DataFrame) -> DataFrame:
-    """Q11-Q17: the post-clean rules as a table (rule, violations, threshold,
-    passed, detail).  One pass; duplicates are counted as repeated values
-    (a repeated NULL id counts too)."""
-    cols = clean_df.columns
+THRESHOLDS = [0, 0, 0, 0, 0, 20, 0]
+
+
+def _row_rules(columns: list[str]) -> list[Column]:
+    """The rules that need one row at a time, as mergeable aggregates r1 to r6,
+    and the largest charge."""
     all_null = F.lit(True)
-    for c in cols:
+    for c in columns:
         all_null = all_null & F.col(c).isNull()
-    has_null_id = F.max(F.when(F.col("customer_id").isNull(), 1).otherwise(0))
-    dupes = F.count(F.lit(1)) - F.countDistinct("customer_id") - F.coalesce(has_null_id, F.lit(0))
-    wide = clean_df.agg(
-        dupes.cast("bigint").alias("r0"),
+    return [
         count_if(~F.coalesce(F.col("churn_flag").isin(0, 1), F.lit(False))).alias("r1"),
         count_if(F.col("tenure") < 0).alias("r2"),
         count_if(F.col("monthly_charges") < 0).alias("r3"),
@@ -176,10 +174,13 @@ def assertions(clean_df: DataFrame) -> DataFrame:
         count_if(F.col("total_charges") < F.col("monthly_charges") * 0.9).alias("r5"),
         count_if(all_null).alias("r6"),
         F.max("monthly_charges").alias("max_monthly"),
-    )
-    thresholds = [0, 0, 0, 0, 0, 20, 0]
+    ]
+
+
+def _rule_table(wide: DataFrame) -> DataFrame:
+    """(rule, violations, threshold, passed, detail) from one row of counts."""
     structs = []
-    for i, (rule, limit) in enumerate(zip(ASSERTION_RULES, thresholds)):
+    for i, (rule, limit) in enumerate(zip(ASSERTION_RULES, THRESHOLDS)):
         detail = (
             F.concat(F.lit("max="), F.col("max_monthly").cast("string"))
             if rule == "monthly_charges_over_200"
@@ -197,6 +198,37 @@ def assertions(clean_df: DataFrame) -> DataFrame:
     return _rows(wide, structs)
 
 
+def assertions(clean_df: DataFrame) -> DataFrame:
+    """Q11-Q17: the post-clean rules as a table (rule, violations, threshold,
+    passed, detail).  One pass; duplicates are counted as repeated values
+    (a repeated NULL id counts too)."""
+    has_null_id = F.max(F.when(F.col("customer_id").isNull(), 1).otherwise(0))
+    dupes = F.count(F.lit(1)) - F.countDistinct("customer_id") - F.coalesce(has_null_id, F.lit(0))
+    return _rule_table(clean_df.agg(dupes.cast("bigint").alias("r0"), *_row_rules(clean_df.columns)))
+
+
+def watched(df: DataFrame, metrics: Observation | str, unique_ids: bool = True) -> DataFrame:
+    """``df``, whose next job also measures the rules of ``assertions``: the
+    counts travel with the tasks of that job, so they cost no pass of their own.
+    ``metrics`` is an ``Observation``, or a name for a streaming query.
+
+    Repeated ids are found by numbering the rows of each id (one shuffle by id;
+    a hot id's rows pass through one task, which spills).  A streaming query
+    cannot number rows: there, without ``unique_ids``, the rule counts nothing."""
+    again = F.lit(False)
+    if unique_ids:
+        again = F.row_number().over(Window.partitionBy("customer_id").orderBy(F.lit(1))) > 1
+    marked = df.withColumn("_again", again)
+    return marked.observe(metrics, count_if(F.col("_again")).alias("r0"), *_row_rules(df.columns)).drop("_again")
+
+
+def rules_of(spark: SparkSession, metrics: dict) -> DataFrame:
+    """The rule table from the measured counts."""
+    most = metrics["max_monthly"]
+    counts = [F.lit(metrics[f"r{i}"]).cast("bigint").alias(f"r{i}") for i in range(len(ASSERTION_RULES))]
+    return _rule_table(spark.range(1).select(*counts, F.lit(most).alias("max_monthly")))
+
+
 def validate(clean_df: DataFrame) -> bool:
     """Raise ``ValueError`` listing every failed rule; return True otherwise.
 

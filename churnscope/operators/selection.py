@@ -70,7 +70,7 @@ def _sortable_id(df: DataFrame, id_col: str) -> Column:
     return F.coalesce(F.concat(F.lit("\x01"), text), F.lit(""))
 
 
-def _id_number(ids: Column, skip: int) -> Column:
+def id_number(ids: Column, skip: int) -> Column:
     """The next bytes of an id as a number that orders as they do; three more
     bits tell how many bytes there are."""
     raw = F.substring(F.encode(ids, "utf-8"), skip + 1, CHUNK)
@@ -79,7 +79,7 @@ def _id_number(ids: Column, skip: int) -> Column:
     return number * 8 + F.greatest(left, F.lit(0))
 
 
-def _shared(a: str, b: str) -> int:
+def shared_bytes(a: str, b: str) -> int:
     x, y = a.encode(), b.encode()
     return next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
 
@@ -110,7 +110,7 @@ def _entries(rows: DataFrame, spans: list[_Span], keys: dict[str, Column], ids:
         for number, span in enumerate(spans):
             if span.name != name:
                 continue
-            own = key if span.skip is None else _id_number(ids, span.skip)
+            own = key if span.skip is None else id_number(ids, span.skip)
             place = F.lit(number << 16)
             for s in span.splitters:
                 place = place + (own >= _number(s)).cast("int") + (own > _number(s)).cast("int")
@@ -193,7 +193,7 @@ def select_ranks(
             elif span.count <= LIMIT:
                 small.append(span)
             elif single or (span.skip is not None and r.least == r.most):
-                spans.append(replace(span, ids=(r.first_id, r.last_id), skip=_shared(r.first_id, r.last_id), splitters=()))
+                spans.append(replace(span, ids=(r.first_id, r.last_id), skip=shared_bytes(r.first_id, r.last_id), splitters=()))
             else:
                 spans.append(replace(span, splitters=_splitters(r.grid, span)))
         if not spans:

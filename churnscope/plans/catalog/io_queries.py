@@ -62,3 +62,21 @@ def sink_parquet_roundtrip(fr):
     base = io.scratch_dir(fr.spark, "parquet")
     io.save_table(fr.acct, base, "customers", sort_by=["churn_flag", "contract", "tenure", "customer_id"])
     return decimals_as_double(io.load_table(fr.spark, base, "customers"))
+
+
+ZORDER_COLUMNS = ["churn_flag", "contract", "tenure", "health_tier"]
+
+
+@query(
+    "zorder_tier_lookup",
+    "SELECT customer_id, contract, tenure, churn_flag, health_score, health_tier FROM scores WHERE health_tier = 'At Risk'",
+    ("IO10",),
+)
+def zorder_tier_lookup(fr):
+    """Scored accounts saved along a Z curve over churn flag, contract, tenure
+    and tier, with Bloom filters on the id; then the accounts of one tier, a
+    filter on the last of the four columns."""
+    base = io.scratch_dir(fr.spark, "zorder")
+    io.save_table(fr.scored, base, "scores", sort_by=["customer_id"], zorder_by=ZORDER_COLUMNS, bloom=["customer_id"])
+    kept = io.load_table(fr.spark, base, "scores").where("health_tier = 'At Risk'")
+    return kept.select("customer_id", "contract", "tenure", "churn_flag", "health_score", "health_tier")

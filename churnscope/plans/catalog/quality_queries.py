@@ -15,6 +15,7 @@ from churnscope.functions.schemas import RAW_SCHEMA, TYPED_BOOLEANS, SERVICE_COL
 from churnscope.operators import quality
 from churnscope.plans.oracle_base import _WS_SQL
 from churnscope.plans.registry import query
+from churnscope.sources import io
 from churnscope.sources.accounts import orphan_orders
 
 
@@ -174,6 +175,13 @@ def dq_assertions(fr):
     return quality.assertions(fr.clean)
 
 
+@query("dq_on_write", _assertions_sql(), ("Q11", "Q12", "Q13", "Q14", "Q15", "Q16", "Q17", "IO06"))
+def dq_on_write(fr):
+    """The rule table measured by the job that writes the clean accounts."""
+    rules, _ = io.save_checked(fr.clean, io.scratch_dir(fr.spark, "checked"), "clean")
+    return rules
+
+
 @query(
     "dq_orphan_orders",
     "SELECT CAST(COUNT(*) AS BIGINT) AS orders, "

@@ -9,9 +9,12 @@
   to a JDBC source (the executors read the database directly).
 * Tables are written as Parquet.  An optional layout clusters rows by the
   columns later filters use (range partitioning + sort within partitions),
-  so Parquet min/max statistics let scans skip row groups, or splits the
+  so Parquet min/max statistics let scans skip row groups, along a Z curve over
+  several columns, so that a filter on any of them does, or splits the
   folder by a low-cardinality column so a filter on it prunes whole
-  directories.
+  directories.  Bloom filters serve look-ups by id.
+* ``save_checked`` measures the data rules in the job that writes, and only a
+  table that keeps them takes the place of the one before.
 """
 
 from __future__ import annotations
@@ -20,10 +23,13 @@ import os
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from churnscope.functions.schemas import RAW_SCHEMA
+from churnscope.operators import quality
+from churnscope.operators.selection import id_number, quantile_values, shared_bytes
 from churnscope.session import ensure_checkpoint_dir
 
 CSV_READ_OPTIONS = {
@@ -150,6 +156,9 @@ def save_table(
     sort_by: list[str] | None = None,
     partition_by: list[str] | None = None,
     num_partitions: int | None = None,
+    zorder_by: list[str] | None = None,
+    bloom: list[str] | None = None,
+    options: dict[str, str] | None = None,
 ) -> str:
     """IO06 + IO10: write ``df`` as Parquet under ``base/name`` and return the
     path.  ``sort_by`` clusters rows for min/max skipping; ``partition_by``
@@ -157,21 +166,90 @@ def save_table(
     unique column: range bounds can then cut a hot value into several tasks.
     With ``partition_by`` rows are dealt by range of those columns and the sort
     columns (or a row hash), so a task writes few folders and a hot folder has
-    several writers."""
+    several writers.  ``zorder_by`` orders the rows along a Z curve over those
+    columns, ties by ``sort_by``; ``bloom`` adds Bloom filters for equality
+    look-ups; ``options`` go to the Parquet writer."""
     path = f"{base.rstrip('/')}/{name}"
     out = df
-    if sort_by or partition_by:
+    if zorder_by:
+        curve = [*(partition_by or []), "_curve", *(sort_by or [])]
+        out = out.withColumn("_curve", zorder_key(df, zorder_by))
+        keys = [*curve, *([] if sort_by else [F.xxhash64(*df.columns)])]
+        out = out.repartitionByRange(num_partitions, *keys) if num_partitions else out.repartitionByRange(*keys)
+        out = out.sortWithinPartitions(*curve).drop("_curve")
+    elif sort_by or partition_by:
         tie = [] if sort_by else [F.xxhash64(*df.columns)]
         keys = [*(partition_by or []), *(sort_by or []), *tie]
         out = out.repartitionByRange(num_partitions, *keys) if num_partitions else out.repartitionByRange(*keys)
         out = out.sortWithinPartitions(*(partition_by or []), *(sort_by or []))
-    writer = out.write.mode("overwrite")
+    writer = out.write.mode("overwrite").options(**(options or {}))
+    for c in bloom or []:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return path
 
 
+ZORDER_BITS = 4  # per column
+
+
+def zorder_key(df: DataFrame, columns: list[str]) -> Column:
+    """The place of a row on a Z curve: the columns' codes with their bits
+    interleaved.  A code is the number of the value's quantile range, spread over
+    ``ZORDER_BITS`` bits (so a flag sets the first bit); strings are read by the
+    bytes after what all values share, and NULL comes first."""
+    numeric = {}
+    for c in columns:
+        if isinstance(df.schema[c].dataType, StringType):
+            ends = df.agg(F.min(c), F.max(c)).first()
+            numeric[c] = id_number(F.col(c), shared_bytes(ends[0] or "", ends[1] or ""))
+        else:
+            numeric[c] = F.col(c).cast("double")
+    levels = 1 << ZORDER_BITS
+    named = df.select(*[x.alias(f"_z{i}") for i, x in enumerate(numeric.values())])
+    cuts = quantile_values(named, named.columns, [k / levels for k in range(levels + 1)])
+    key = F.lit(0).cast("bigint")
+    for i, x in enumerate(numeric.values()):
+        edges = sorted({v for (_, name, _), v in cuts.items() if name == f"_z{i}"})[:levels]
+        code = F.lit(0)
+        for e in edges[1:]:
+            code = code + F.coalesce((x >= F.lit(e)).cast("int"), F.lit(0))
+        code = F.floor(code * levels / max(1, len(edges))).cast("bigint")
+        for bit in range(ZORDER_BITS):
+            own = F.shiftright(code, bit).bitwiseAND(F.lit(1))
+            key = key + F.shiftleft(own, bit * len(columns) + len(columns) - 1 - i)
+    return key
+
+
+def save_checked(df: DataFrame, base: str, name: str, **layout) -> tuple[DataFrame, bool]:
+    """Writes accounts with ``save_table`` and measures the data rules in the
+    same job.  Returns the rule table and whether all rules held.  Only then does
+    the new table replace ``base/name``; one that breaks a rule is left in
+    ``base/name.rejected`` and the table before it stays as it was."""
+    spark = df.sparkSession
+    metrics = Observation(f"rules-{uuid.uuid4().hex}")
+    staged = f"{name}.staged-{uuid.uuid4().hex}"
+    path = save_table(quality.watched(df, metrics), base, staged, **layout)
+    rules = quality.rules_of(spark, metrics.get)
+    passed = all(r.passed for r in rules.collect())
+    replace_folder(spark, path, f"{base.rstrip('/')}/{name}" + ("" if passed else ".rejected"))
+    return rules, passed
+
+
+def replace_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Moves the folder ``source`` to ``target``; what was there goes after the
+    new one is in its place."""
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = to_path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = to_path(f"{target}.old-{uuid.uuid4().hex}")
+    had = fs.exists(to_path(target))
+    if had and not fs.rename(to_path(target), old) or not fs.rename(to_path(source), to_path(target)):
+        raise OSError(f"cannot move {source} to {target}")
+    if had:
+        fs.delete(old, True)
+
+
 def load_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """IO07: read a table written by ``save_table``."""
     return spark.read.parquet(f"{base.rstrip('/')}/{name}")

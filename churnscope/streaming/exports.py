@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from churnscope.functions.schemas import RAW_SCHEMA
+from churnscope.operators import quality
 from churnscope.operators.cleaning import build_accounts, clean
 from churnscope.sources.io import CSV_READ_OPTIONS
 
@@ -40,6 +41,23 @@ def typed_stream(raw: DataFrame) -> DataFrame:
     return build_accounts(raw)
 
 
+def watched_stream(clean_rows: DataFrame, name: str) -> DataFrame:
+    """The cleaned stream, whose batches also measure the data rules (all but
+    the repeated ids, which need rows of other batches)."""
+    return quality.watched(clean_rows, name, unique_ids=False)
+
+
+def batch_rules(query: StreamingQuery, name: str) -> list[dict]:
+    """Of every batch still in the query's record that had rows: its number and
+    the violations per rule."""
+    out = []
+    for p in query.recentProgress:
+        row = p.observedMetrics.get(name)
+        if row is not None and p.numInputRows:
+            out.append({"batch": p.batchId} | {rule: row[f"r{i}"] for i, rule in enumerate(quality.ASSERTION_RULES) if i})
+    return out
+
+
 def segment_counts_stream(typed: DataFrame, keys: list[str]) -> DataFrame:
     """Running accounts and churned accounts per segment (complete mode)."""
     return typed.groupBy(*keys).agg(
