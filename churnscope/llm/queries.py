@@ -113,10 +113,10 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_cotrain_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from churnscope.llm.cotrain_quality import KEEP, fit, score_documents
+    from churnscope.llm.cotrain_quality import KEEP, fit, score_features
 
-    docs = _table(spark, sf_dir, "documents")
-    scored = score_documents(docs, fit(docs, _table(spark, sf_dir, "labels")), carry=["doc_id"])
+    fitted = fit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), carry=("doc_id",))
+    scored = score_features(fitted.features, fitted)
     return scored.select("row.doc_id", "quality", "text_view", "meta_view", (F.col("quality") >= KEEP).alias("keep"))
 
 
