@@ -7,5 +7,6 @@ from churnscope.plans.catalog import (  # noqa: F401
     quality_queries,
     segment_queries,
     stats_queries,
+    survival_queries,
     table_queries,
 )

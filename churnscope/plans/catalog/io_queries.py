@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from churnscope.functions.schemas import RAW_COLUMNS
+from churnscope.operators.cleaning import build_accounts
+from churnscope.operators.scoring import score_accounts
 from churnscope.plans.catalog.table_queries import decimals_as_double
 from churnscope.plans.registry import query
-from churnscope.sources import io
+from churnscope.sources import io, refresh
 
 _RAW_SQL = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" if c == "MonthlyCharges" else c for c in RAW_COLUMNS)
 
@@ -80,3 +84,24 @@ def zorder_tier_lookup(fr):
     io.save_table(fr.scored, base, "scores", sort_by=["customer_id"], zorder_by=ZORDER_COLUMNS, bloom=["customer_id"])
     kept = io.load_table(fr.spark, base, "scores").where("health_tier = 'At Risk'")
     return kept.select("customer_id", "contract", "tenure", "churn_flag", "health_score", "health_tier")
+
+
+@query(
+    "refreshed_scores",
+    "SELECT customer_id, contract, tenure, churn_flag, health_score, health_tier FROM scores",
+    ("IO04", "IO08", "IO09"),
+)
+def refreshed_scores(fr):
+    """Scores of an older state of the accounts (one part of the ids with other
+    tenures, another part missing), refreshed to the present one: only those
+    parts are derived and written again."""
+    base, parts = io.scratch_dir(fr.spark, "refresh"), 16
+    part = refresh.part_of("customerID", parts)
+    older = fr.raw.where(part != 5).withColumn("tenure", F.when(part == 3, F.lit(1)).otherwise(F.col("tenure")).cast("int"))
+
+    def scores(raw):
+        return score_accounts(build_accounts(raw))
+
+    refresh.refresh_table(older, base, "scores", scores, "customerID", parts)
+    done = refresh.refresh_table(fr.raw, base, "scores", scores, "customerID", parts)
+    return refresh.read_table(fr.spark, done).select("customer_id", "contract", "tenure", "churn_flag", "health_score", "health_tier")
