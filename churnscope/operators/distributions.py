@@ -95,7 +95,7 @@ def quartiles(df: DataFrame, cols: list[str], group: str | None, names: list[str
 def quartiles_of_counts(hist: DataFrame, group: str) -> DataFrame:
     """(group, q1, median, q3), exact, 6 places, from (group, v, cnt): running
     counts over all values in range partitions, then the values at the ranks."""
-    ordered = prefix_sums(hist.withColumn("key", F.struct(group, "v")), "key", ["cnt"])
+    ordered = prefix_sums(hist.select(F.struct(group, "v").alias("key"), "cnt"), "key", ["cnt"]).select("key.*", "cnt", "cnt_before")
     size = ordered.groupBy(group).agg(F.sum("cnt").alias("n"), F.min("cnt_before").alias("start"))
     names = {0.25: "q1", 0.5: "median", 0.75: "q3"}
     asked = size.select(F.col(group), "n", "start", F.explode(F.array(*[F.lit(p) for p in names])).alias("p"))

@@ -21,9 +21,11 @@ def life_table(df: DataFrame, group: str, time: str = "tenure", event: str = "ch
     """(group, time, events, censored, at_risk) per group and time at which an
     account was last seen; rows with a NULL in any of the three are left out."""
     known = df.where(F.col(group).isNotNull() & F.col(time).isNotNull() & F.col(event).isNotNull())
-    hist = known.groupBy(group, time).agg(F.sum(event).cast("bigint").alias("events"), F.sum(1 - F.col(event)).cast("bigint").alias("censored"))
+    hist = known.groupBy(group, time).agg(
+        F.sum(event).cast("bigint").alias("events"), F.sum(1 - F.col(event)).cast("bigint").alias("censored"), F.count(F.lit(1)).alias("accounts")
+    )
     later = Window.partitionBy(group).orderBy(F.col(time).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return hist.withColumn("at_risk", F.sum(F.col("events") + F.col("censored")).over(later))
+    return hist.withColumn("at_risk", F.sum("accounts").over(later)).drop("accounts")
 
 
 def kaplan_meier(df: DataFrame, group: str, time: str = "tenure", event: str = "churn_flag") -> DataFrame:
@@ -50,13 +52,11 @@ def log_rank(df: DataFrame, group: str, time: str = "tenure", event: str = "chur
     no event tells the two apart."""
     table = life_table(df, group, time, event)
     times = table.agg(F.array_sort(F.collect_set(time))).scalar()
-    groups = table.groupBy(group).agg(F.sum(F.col("events") + F.col("censored")).alias("size"))
-    # One row per group and time of any group: at risk is what is left of the group.
-    grid = groups.withColumn(time, F.explode(times)).join(table.drop("at_risk"), [group, time], "left")
-    grid = grid.withColumns({"events": F.coalesce("events", F.lit(0)), "censored": F.coalesce("censored", F.lit(0))})
-    before = Window.partitionBy(group).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
-    grid = grid.withColumn("n", F.col("size") - F.coalesce(F.sum(F.col("events") + F.col("censored")).over(before), F.lit(0)))
-    side = lambda s: grid.select(F.col(group).alias(f"group_{s}"), F.col(time).alias("t"), F.col("events").cast("double").alias(f"d{s}"), F.col("n").cast("double").alias(f"n{s}"))
+    # Every time of any group: at risk are the group's accounts seen that long.
+    seen = F.when(F.col(time) >= F.col("t"), F.col("events") + F.col("censored")).otherwise(0)
+    ended = F.when(F.col(time) == F.col("t"), F.col("events")).otherwise(0)
+    grid = table.withColumn("t", F.explode(times)).groupBy(group, "t").agg(F.sum(seen).alias("n"), F.sum(ended).alias("events"))
+    side = lambda s: grid.select(F.col(group).alias(f"group_{s}"), "t", F.col("events").cast("double").alias(f"d{s}"), F.col("n").cast("double").alias(f"n{s}"))
     both = side("a").join(side("b"), "t").where("group_a < group_b")
     n, d = F.col("na") + F.col("nb"), F.col("da") + F.col("db")
     share = ratio(F.col("na"), n)
