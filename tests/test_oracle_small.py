@@ -11,7 +11,7 @@ import pytest
 
 from conftest import SF_SMALL
 
-TABLES = ["orders", "customer", "lineitem", "part"]
+TABLES = ["orders", "customer", "lineitem", "part", "documents", "conversations"]
 
 
 def _norm(v):
