@@ -6,17 +6,18 @@ File format (a folder that any Spark file system can hold, two Parquet sets):
   ``shard`` (a range of document ids), ``chunk`` (0.. within the shard),
   ``n_docs``, ``n_ids``, ``payload`` (the ids one after the other, little
   endian, 2 or 4 bytes each), ``item_bytes``, and the chunk's directory:
-  ``keys`` (document key hashes, int64), ``turns`` (0 for the first row with a
-  key, 1 for the second, ...: repeated ids are told apart), ``lengths`` (ids
-  per document, int64), ``doc_ids`` (int64, in a separate column from the key
-  hashes) and ``null_ids`` (1 where the id is NULL).
-* ``index``: one row per hash range of the document keys: a minimal perfect
+  ``keys`` (the document ids, int64), ``turns`` (0 for the first row with an
+  id, 1 for the second, ...: repeated ids are told apart; -1, -2, ... with key
+  0 for rows whose id is NULL) and ``lengths`` (ids per document, int64).
+* ``index``: one row per hash range of (key, turn): a minimal perfect
   hash of its keys (levels of bit arrays, each key sits in the first level
   where nothing else hits its bit; its number is the count of set bits before
   it), and by that number a 32-bit fingerprint and (shard, chunk, place).
 
 Keyed access hashes the key to its index row, evaluates the function in
-constant time, compares the fingerprint and reads one chunk.
+constant time, compares the fingerprint and reads one chunk.  Each level hashes
+(key, turn) anew, so two keys that fall together in one are told apart by the
+next, and none is refused.
 
 Encoding.  Byte-level BPE never merges across its pre-tokens, so a text's ids
 are the ids of its pre-tokens; those of frequent ones are kept in a bounded
@@ -39,7 +40,6 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -70,6 +70,19 @@ _SIMPLE = re.compile(
 ).findall
 _OTHER = re.compile(f"[^\x00-\x7f{_LETTERS}]").search
 
+
+class _Known(dict):
+    """Ids of pre-tokens.  An unknown one gets an empty place, which is in
+    ``new`` until the library has filled it."""
+
+    def __init__(self):
+        self.new: dict[str, bytearray] = {}
+
+    def __missing__(self, word: str) -> bytearray:
+        self[word] = self.new[word] = place = bytearray()
+        return place
+
+
 class Encoder:
     """Ids of texts as the tokenizers library gives them, without special
     tokens being added."""
@@ -91,7 +104,7 @@ class Encoder:
             import regex
 
             self.general = regex.compile(PRE_TOKENS).findall
-        self.table: dict[str, bytes] = {}
+        self.table = _Known()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.item).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -104,15 +117,17 @@ class Encoder:
         """The ids of each text as raw little-endian items."""
         if self.general is None or any(s in t for t in texts for s in self.special):
             return self._library(texts)
-        cut = [self.split(t) for t in texts]
         known = self.table
-        missing = list(set(chain.from_iterable(cut)).difference(known))
-        if missing:
-            known.update(zip(missing, self._library(missing)))
-        out = [b"".join(map(known.__getitem__, c)) for c in cut]
-        for w in missing[: max(0, len(known) - TABLE_ENTRIES)]:  # what the table has no room for
-            del known[w]
-        return out
+        find = known.__getitem__
+        cut = [list(map(find, self.split(t))) for t in texts]
+        if known.new:
+            missing, known.new = known.new, {}
+            for word, raw in zip(missing, self._library(list(missing))):
+                missing[word].extend(raw)
+                known[word] = raw
+            for word in list(missing)[: max(0, len(known) - TABLE_ENTRIES)]:  # what the table has no room for
+                del known[word]
+        return list(map(b"".join, cut))
 
 
 @lru_cache(maxsize=2)
@@ -128,38 +143,43 @@ def read_spec(path: str) -> str:
 # -- minimal perfect hash ----------------------------------------------
 
 
-def _digest(keys: np.ndarray, turns: np.ndarray) -> np.ndarray:
-    return mix(keys.astype(np.int64).view(_U) + mix(turns.astype(np.int64).view(_U) + _U(0x632BE59BD9B4E019)))
+def _digest(keys: np.ndarray, turns: np.ndarray, level: int) -> np.ndarray:
+    """A hash of (key, turn) for each level; -1 for the fingerprint."""
+    salt = _U((level + 2) * 0x9E3779B97F4A7C15 % (1 << 64))
+    return mix(mix(keys.astype(np.int64).view(_U) + salt) + turns.astype(np.int64).view(_U) * _U(0x632BE59BD9B4E019))
 
 
-def _fingerprint(digests: np.ndarray) -> np.ndarray:
-    return (mix(digests ^ _U(0xA0761D6478BD642F)) >> _U(32)).astype(np.uint32)
+def _fingerprint(keys: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    return (_digest(keys, turns, -1) >> _U(32)).astype(np.uint32)
 
 
-def _place(digests: np.ndarray, level: int, bits: int) -> np.ndarray:
-    return (mix(digests + _U((level + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) % _U(bits)).astype(np.int64)
+def _place(keys: np.ndarray, turns: np.ndarray, level: int, bits: int) -> np.ndarray:
+    return (_digest(keys, turns, level) % _U(bits)).astype(np.int64)
 
 
-def build_hash(digests: np.ndarray) -> tuple[list[int], np.ndarray]:
+def build_hash(keys: np.ndarray, turns: np.ndarray | None = None) -> tuple[list[int], np.ndarray]:
     """(bits of each level, all levels' bits as 0/1 bytes) for distinct
-    digests."""
-    sizes, levels, left = [], [], digests
-    while len(left):
-        bits = max(64, GAMMA * len(left))
-        at = _place(left, len(sizes), bits)
+    (key, turn)."""
+    sizes, levels = [], []
+    turns = np.zeros(len(keys), np.int64) if turns is None else turns
+    while len(keys):
+        bits = max(64, GAMMA * len(keys))
+        at = _place(keys, turns, len(sizes), bits)
         alone = np.bincount(at, minlength=bits) == 1
         sizes.append(bits)
         levels.append(alone)
-        left = left[~alone[at]]
+        left = ~alone[at]
+        keys, turns = keys[left], turns[left]
     return sizes, np.concatenate(levels) if levels else np.zeros(0, bool)
 
 
-def numbers(digests: np.ndarray, sizes: list[int], bits: np.ndarray) -> np.ndarray:
-    """The number 0..n-1 of each key; -1 if no level has its bit."""
+def numbers(keys: np.ndarray, sizes: list[int], bits: np.ndarray, turns: np.ndarray | None = None) -> np.ndarray:
+    """The number 0..n-1 of each (key, turn); -1 if no level has its bit."""
+    turns = np.zeros(len(keys), np.int64) if turns is None else turns
     before = np.concatenate((np.zeros(1, np.int64), np.cumsum(bits)))
-    out, todo, base = np.full(len(digests), -1, np.int64), np.arange(len(digests)), 0
+    out, todo, base = np.full(len(keys), -1, np.int64), np.arange(len(keys)), 0
     for level, size in enumerate(sizes):
-        at = _place(digests[todo], level, size) + base
+        at = _place(keys[todo], turns[todo], level, size) + base
         hit = bits[at]
         out[todo[hit]] = before[at[hit]]
         todo, base = todo[~hit], base + size
@@ -170,50 +190,46 @@ def numbers(digests: np.ndarray, sizes: list[int], bits: np.ndarray) -> np.ndarr
 
 CHUNK_FIELDS = (
     "shard int, chunk int, n_docs long, n_ids long, item_bytes int, payload binary, keys binary, turns binary, "
-    "lengths binary, doc_ids binary, null_ids binary"
+    "lengths binary"
 )
 INDEX_FIELDS = (
     "range int, n_keys long, level_bits binary, bits binary, fingerprints binary, shards binary, chunks binary, places binary"
 )
 
 
-def _index_range(keys: F.Column, ranges: int) -> F.Column:
-    return F.pmod(F.xxhash64(keys, F.lit(7)), F.lit(ranges)).cast("int")
+def _index_range(ranges: int) -> F.Column:
+    return F.pmod(F.xxhash64("key", "turn"), F.lit(ranges)).cast("int")
 
 
 def _encode_partition(spec: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = encoder(spec), TaskContext.get().partitionId()
         end = np.array([end_id], enc.item).tobytes()
-        chunk, ids, payload, keys, doc_ids, nulls, turns = 0, 0, [], [], [], [], []
-        last, turn = None, 0
+        chunk, ids, payload, keys, turns = 0, 0, [], [], []
+        last, turn = (), 0
 
         def flush() -> pa.RecordBatch:
             lengths = np.array([len(p) // enc.item().itemsize for p in payload], "<i8")
             row = (
                 shard, chunk, len(keys), int(lengths.sum()), enc.item().itemsize, b"".join(payload), np.array(keys, "<i8").tobytes(),
-                np.array(turns, "<i4").tobytes(), lengths.tobytes(), np.array(doc_ids, "<i8").tobytes(), np.array(nulls, "u1").tobytes(),
+                np.array(turns, "<i4").tobytes(), lengths.tobytes(),
             )
             names = [f.split(" ")[0] for f in CHUNK_FIELDS.split(", ")]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names)
 
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                for doc, key, raw in zip(
-                    part.column("doc_id").to_pylist(), part.column("key").to_pylist(), enc.encode(part.column("text").to_pylist())
-                ):
-                    turn = turn + 1 if (doc, key) == last else 0
-                    last = (doc, key)
+                for doc, raw in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text").to_pylist())):
+                    turn = turn + 1 if (doc,) == last else 0
+                    last = (doc,)
                     payload.append(raw + end)
-                    keys.append(key)
-                    turns.append(turn)
-                    doc_ids.append(doc or 0)
-                    nulls.append(doc is None)
+                    keys.append(doc or 0)
+                    turns.append(-1 - turn if doc is None else turn)
                     ids += len(payload[-1]) // enc.item().itemsize
                     if ids >= CHUNK_IDS:
                         yield flush()
-                        chunk, ids, payload, keys, doc_ids, nulls, turns = chunk + 1, 0, [], [], [], [], []
+                        chunk, ids, payload, keys, turns = chunk + 1, 0, [], [], []
         if keys:
             yield flush()
 
@@ -236,17 +252,15 @@ def _directory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _index_row(group: pd.DataFrame) -> pd.DataFrame:
-    digests = _digest(group["key"].to_numpy(), group["turn"].to_numpy())
-    if len(np.unique(digests)) < len(digests):
-        raise ValueError("two document keys share a 64-bit digest")
-    sizes, bits = build_hash(digests)
-    order = np.empty(len(digests), np.int64)
-    order[numbers(digests, sizes, bits)] = np.arange(len(digests))
+    keys, turns = group["key"].to_numpy(), group["turn"].to_numpy()
+    sizes, bits = build_hash(keys, turns)
+    order = np.empty(len(keys), np.int64)
+    order[numbers(keys, sizes, bits, turns)] = np.arange(len(keys))
     by = lambda name: group[name].to_numpy().astype("<i4")[order].tobytes()
     return pd.DataFrame(
         {
-            "range": [group["range"].iloc[0]], "n_keys": [len(digests)], "level_bits": [np.array(sizes, "<i8").tobytes()],
-            "bits": [np.packbits(bits).tobytes()], "fingerprints": [_fingerprint(digests)[order].astype("<u4").tobytes()],
+            "range": [group["range"].iloc[0]], "n_keys": [len(keys)], "level_bits": [np.array(sizes, "<i8").tobytes()],
+            "bits": [np.packbits(bits).tobytes()], "fingerprints": [_fingerprint(keys, turns)[order].astype("<u4").tobytes()],
             "shards": [by("shard")], "chunks": [by("chunk")], "places": [by("place")],
         }
     )
@@ -294,16 +308,16 @@ class TokenStore:
             r = rows.iloc[0]
             sizes = np.frombuffer(r["level_bits"], "<i8").tolist()
             bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8))[: sum(sizes)].astype(bool)
-            digests = _digest(wanted["key"].to_numpy(), wanted["turn"].to_numpy())
-            number = numbers(digests, sizes, bits)
+            keys, turns = wanted["key"].to_numpy(), wanted["turn"].to_numpy()
+            number = numbers(keys, sizes, bits, turns)
             known = number >= 0
-            known[known] = np.frombuffer(r["fingerprints"], "<u4")[number[known]] == _fingerprint(digests)[known]
+            known[known] = np.frombuffer(r["fingerprints"], "<u4")[number[known]] == _fingerprint(keys, turns)[known]
             out, number = out[known].copy(), number[known]
             for name in ("shard", "chunk", "place"):
                 out[name] = np.frombuffer(r[name + "s"], "<i4")[number]
             return out
 
-        asked = keys.select("key", F.col("turn").cast("int").alias("turn")).withColumn("range", _index_range(F.col("key"), ranges))
+        asked = keys.select("key", F.col("turn").cast("int").alias("turn")).withColumn("range", _index_range(ranges))
         return (
             asked.groupBy("range")
             .cogroup(self.index.groupBy("range"))
@@ -322,10 +336,9 @@ class TokenStore:
             r = rows.iloc[0]
             ids = np.frombuffer(r["payload"], f"<u{r['item_bytes']}")
             ends = np.cumsum(np.frombuffer(r["lengths"], "<i8"))
-            lengths, doc_ids = np.frombuffer(r["lengths"], "<i8"), np.frombuffer(r["doc_ids"], "<i8")
-            nulls = np.frombuffer(r["null_ids"], "u1")
+            lengths, keys, turns = (np.frombuffer(r[c], t) for c, t in (("lengths", "<i8"), ("keys", "<i8"), ("turns", "<i4")))
             out = [
-                finish(None if nulls[p] else int(doc_ids[p]), int(r["chunk_start"] + ends[p] - lengths[p]), ids[ends[p] - lengths[p] : ends[p]])
+                finish(None if turns[p] < 0 else int(keys[p]), int(r["chunk_start"] + ends[p] - lengths[p]), ids[ends[p] - lengths[p] : ends[p]])
                 for p in wanted["place"].tolist()
             ]
             return pd.DataFrame.from_records(out, columns=names).astype({"doc_id": "Int64"} if "doc_id" in names else {})
@@ -344,8 +357,7 @@ def write_store(
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"))
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    ordered = rows.withColumn("key", key).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_encode_partition(spec, end_id), CHUNK_FIELDS).write.parquet(f"{path}/chunks")
     chunks = spark.read.schema(CHUNK_FIELDS).parquet(f"{path}/chunks")
     n_docs = int(chunks.agg(F.sum("n_docs")).first()[0] or 0)
@@ -354,7 +366,7 @@ def write_store(
         _directory, "shard int, chunk int, place int, key long, turn int"
     )
     (
-        entries.withColumn("range", _index_range(F.col("key"), ranges))
+        entries.withColumn("range", _index_range(ranges))
         .groupBy("range")
         .applyInPandas(_index_row, INDEX_FIELDS)
         .write.parquet(f"{path}/index")

@@ -40,6 +40,18 @@ def test_hash_is_minimal_and_perfect():
     assert sorted(numbers(keys, sizes, bits)) == list(range(len(keys)))
 
 
+def test_hash_tells_apart_keys_that_share_a_digest(monkeypatch):
+    keys, turns = np.arange(2000) % 1000, np.arange(2000) // 1000
+    first = token_store._digest
+
+    def clashing(keys, turns, level):  # the first two levels do not see the turns
+        return first(keys, turns * (level > 1), level)
+
+    monkeypatch.setattr(token_store, "_digest", clashing)
+    sizes, bits = build_hash(keys, turns)
+    assert sorted(numbers(keys, sizes, bits, turns)) == list(range(len(keys)))
+
+
 def test_query_equals_direct_encoding(spark):
     import pyarrow.parquet as pq
 
@@ -65,7 +77,7 @@ def test_keyed_access_nulls_repeats_and_unknown_keys(spark, docs_frame, monkeypa
         (None, library("n") + [2]), (-1, [2]), (5, library("a") + [2]), (5, library("a") + [2]), (5, library("b c") + [2])
     ]
     assert rows[5][2] == library("x " * 3000) + [2]
-    asked = spark.sql("select xxhash64('5') as key, 2 as turn union all select xxhash64('77'), 0 union all select xxhash64('5'), 3")
+    asked = spark.sql("select 5L as key, 2 as turn union all select 77L, 0 union all select 5L, 3")
     got = store.fetch(asked, lambda i, s, ids: (i, ids.tolist()), "doc_id long, ids array<int>").collect()
     assert [(r.doc_id, r.ids) for r in got] == [(5, library("b c") + [2])]
 
