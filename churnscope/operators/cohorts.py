@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from churnscope.functions.numeric import mean, money_mean, money_sum, pct, round_money, round_to
 from churnscope.functions.schemas import CONTRACT_M2M, INTERNET_FIBER, PAY_ECHECK
-from churnscope.operators.ranking import top_n_per_group
+from churnscope.operators.ranking import top_n_with_size
 from churnscope.operators.selection import quantile_values, quantiles
 
 
@@ -129,18 +129,9 @@ def risk_rank(acct: DataFrame, n: int = 10) -> DataFrame:
     """CO05: the ``n`` riskiest active accounts per contract (highest charge,
     fewest services, shortest tenure; id breaks ties) with the group size."""
     actives = acct.where(F.col("churn_flag") == 0).select(*RISK_RANK_COLUMNS)
-    top = top_n_per_group(
-        actives,
-        ["contract"],
-        [F.col("monthly_charges").desc(), F.col("num_services").asc(), F.col("tenure").asc(), "customer_id"],
-        n,
-        "risk_rank_in_contract",
-    )
-    sizes = actives.groupBy("contract").agg(F.count(F.lit(1)).cast("bigint").alias("contract_group_size"))
+    order = [("monthly_charges", False), ("num_services", True), ("tenure", True), ("customer_id", True)]
     return (
-        top.join(sizes, top.contract.eqNullSafe(sizes.contract), "inner")
-        .select(top["*"], sizes.contract_group_size)
-        .withColumn("risk_rank_in_contract", F.col("risk_rank_in_contract").cast("int"))
+        top_n_with_size(actives, ["contract"], order, n, "risk_rank_in_contract", "contract_group_size")
         .withColumn("monthly_charges", F.col("monthly_charges").cast("double"))
         .orderBy("contract", "risk_rank_in_contract")
     )

@@ -128,6 +128,74 @@ def top_n_per_group(
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
 
 
+HELD_ROWS = 1 << 16  # a task's state goes on its way beyond this many rows
+
+
+def _first_rows(group: list[str], keys: list[tuple[str, str]], n: int):
+    """Arrow batches to the first ``n`` rows of each group in the task.  ``_size``
+    of a group's first row adds up the rows seen, the others carry 0."""
+
+    def reduce(table):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        code = np.zeros(len(table), np.int64)
+        for g in group:
+            one = pc.dictionary_encode(table[g].combine_chunks(), null_encoding="encode")
+            one = one.combine_chunks() if isinstance(one, pa.ChunkedArray) else one
+            code = np.unique(code * len(one.dictionary) + one.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        order = pc.sort_indices(table.append_column("_group", pa.array(code)), sort_keys=[("_group", "ascending"), *keys])
+        table, code = table.take(order), code[order.to_numpy()]
+        start = np.flatnonzero(np.diff(code, prepend=-1))
+        place = np.arange(len(code)) - np.repeat(start, np.diff(np.append(start, len(code))))
+        size = np.zeros(len(code), np.int64)
+        if len(start):
+            size[start] = np.add.reduceat(table["_size"].to_numpy(), start)
+        at = table.schema.get_field_index("_size")
+        table = table.set_column(at, table.schema.field(at), pa.array(size))
+        return table.filter(pa.array(place < n))
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = None
+        for batch in batches:
+            some = pa.Table.from_batches([batch])
+            held = reduce(some if held is None else pa.concat_tables([held, some]))
+            if len(held) > HELD_ROWS:
+                yield from held.to_batches()
+                held = None
+        if held is not None:
+            yield from held.to_batches()
+
+    return run
+
+
+def top_n_with_size(
+    df: DataFrame, group: list[str], order: list[tuple[str, bool]], n: int, rank_col: str, size_col: str
+) -> DataFrame:
+    """The first ``n`` rows per ``group`` in ``order`` (column, ascending), with
+    their rank and the rows of the whole group, from one read of ``df``.
+
+    Each task keeps ``n`` rows and a count per group (and sends them early when
+    it has very many groups); only those are shuffled and ranked.  NULLs order as
+    in Spark: first ascending, last descending; a NULL group is a group."""
+    taken, keys, marks = [], [], {}
+    for i, (c, ascending) in enumerate(order):
+        null = F.col(c).isNull()
+        nan = F.isnan(c) if df.schema[c].dataType.typeName() in ("float", "double") else F.lit(False)
+        low, high = (null, nan) if ascending else (nan, null)
+        marks[f"_mark{i}"] = F.when(low, 0).when(high, 2).otherwise(1)
+        keys += [(f"_mark{i}", "ascending"), (c, "ascending" if ascending else "descending")]
+        taken.append(F.col(c).asc() if ascending else F.col(c).desc())
+    marked = df.withColumns(marks | {"_size": F.lit(1).cast("bigint")})
+    some = marked.mapInArrow(_first_rows(group, keys, n), marked.schema).drop(*marks)
+    window = Window.partitionBy(*group)
+    ranked = some.withColumns({rank_col: F.row_number().over(window.orderBy(*taken)), size_col: F.sum("_size").over(window)})
+    return ranked.where(F.col(rank_col) <= n).drop("_size")
+
+
 def prefix_sums(
     df: DataFrame,
     order_col: str,

@@ -6,6 +6,7 @@ from churnscope.plans.catalog import (  # noqa: F401
     io_queries,
     quality_queries,
     segment_queries,
+    sketch_queries,
     stats_queries,
     survival_queries,
     table_queries,
