@@ -21,8 +21,8 @@ next, and none is refused.
 
 Encoding.  Byte-level BPE never merges across its pre-tokens, so a text's ids
 are the ids of its pre-tokens; those of frequent ones are kept in a bounded
-table per worker, the library encodes the others.  Only a tokenizer file of
-exactly that kind takes this way, any other one is asked for whole texts.
+table per worker, the library's model gives the others.  Only a tokenizer file
+of exactly that kind takes this way, any other one is asked for whole texts.
 
 Scale: one range shuffle of the texts by id (ties stay together), then
 everything is per partition.  Index ranges hold about ``INDEX_KEYS`` keys, so
@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -71,16 +72,25 @@ _SIMPLE = re.compile(
 _OTHER = re.compile(f"[^\x00-\x7f{_LETTERS}]").search
 
 
+# fixed rule: byte-level models read a byte as a character of its own, the
+# printable Latin-1 ones as themselves and the others, in order, from U+0100 on
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHAR = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)).difference(_SHOWN)))}
+
+
 class _Known(dict):
-    """Ids of pre-tokens.  An unknown one gets an empty place, which is in
-    ``new`` until the library has filled it."""
+    """Ids of pre-tokens as raw items; the model gives those that are missing,
+    and they are kept while there is room."""
 
-    def __init__(self):
-        self.new: dict[str, bytearray] = {}
+    def __init__(self, model, item):
+        self.tokenize, self.code = model.tokenize, np.dtype(item).char
 
-    def __missing__(self, word: str) -> bytearray:
-        self[word] = self.new[word] = place = bytearray()
-        return place
+    def __missing__(self, word: str) -> bytes:
+        tokens = self.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHAR))
+        raw = array(self.code, [t.id for t in tokens]).tobytes()
+        if len(self) < TABLE_ENTRIES:
+            self[word] = raw
+        return raw
 
 
 class Encoder:
@@ -104,7 +114,7 @@ class Encoder:
             import regex
 
             self.general = regex.compile(PRE_TOKENS).findall
-        self.table = _Known()
+        self.table = _Known(self.library.model, self.item)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.item).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -117,17 +127,8 @@ class Encoder:
         """The ids of each text as raw little-endian items."""
         if self.general is None or any(s in t for t in texts for s in self.special):
             return self._library(texts)
-        known = self.table
-        find = known.__getitem__
-        cut = [list(map(find, self.split(t))) for t in texts]
-        if known.new:
-            missing, known.new = known.new, {}
-            for word, raw in zip(missing, self._library(list(missing))):
-                missing[word].extend(raw)
-                known[word] = raw
-            for word in list(missing)[: max(0, len(known) - TABLE_ENTRIES)]:  # what the table has no room for
-                del known[word]
-        return list(map(b"".join, cut))
+        find = self.table.__getitem__
+        return [b"".join(map(find, self.split(t))) for t in texts]
 
 
 @lru_cache(maxsize=2)
