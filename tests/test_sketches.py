@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from churnscope.operators import ranking, sketches
 from churnscope.sources import io
-from tests.conftest import SF_SMALL, plan_text
+from tests.conftest import plan_text
 
 
 def rows(df):
@@ -91,10 +91,3 @@ def _compare_top_n(spark):
         assert sorted(map(repr, got.select(*df.columns, "rk", "size").collect())) == ranked(df, group, order, 3)
     empty = ranking.top_n_with_size(df.where("id < 0"), ["g"], [("id", True)], 3, "rk", "size")
     assert empty.collect() == []
-
-
-def test_risk_rank_reads_the_accounts_once(spark):
-    from churnscope.plans.registry import spark_queries
-
-    plan = plan_text(spark_queries()["risk_rank_top10"](spark, SF_SMALL))
-    assert plan.count("Scan parquet") // 2 <= 4  # lineitem, part, orders, customer: one scan each (list and detail lines)
