@@ -14,10 +14,11 @@ and df count **all** documents of the table; the space is the whole vocabulary
 of the examples: idf lowers frequent terms, none is left out.
 
 Exact search with a block-max inverted index: examples sit in blocks of
-``BLOCK``; each term has, per block, the largest weight and the postings.  A
-document's terms give an upper bound per block; blocks are scored in order of
-their bounds, and those whose bound cannot reach the k-th best score so far
-are skipped.
+``BLOCK``, alike ones together.  Lists of postings are added up whole and give
+a floor (the k-th best sum so far); terms frequent in a block are dense rows of
+it, whose largest weights bound what the block can still add, and a block that
+cannot reach the floor is skipped.  The others are scored for up to
+``TOGETHER`` documents at a time.
 
 Scale: two passes over the documents (document frequencies of the index
 vocabulary, then scoring), both without a shuffle of texts; the index is
@@ -46,6 +47,9 @@ NEIGHBOURS = 100
 POWER = 1.0
 HEAD = 5
 BLOCK = 64
+FREQUENT, OFTEN = 16, 4
+GROUPS, ROUNDS = 16, 6
+TOGETHER = 128
 SLICE_BYTES = 1 << 20
 _U = np.uint64
 
@@ -69,29 +73,45 @@ def term_counts(vocabulary: np.ndarray, data: np.ndarray, offsets: np.ndarray) -
 
 
 class TermIndex:
-    """Inverted index over weighted, normalised examples with block maxima."""
+    """Inverted index over weighted, normalised examples with block maxima.
+
+    Postings of a term (of at least one in ``FREQUENT`` examples) in a block
+    that holds it at least ``OFTEN`` times are a dense row of the block, so that a block is scored for many
+    documents by one matrix product; the others are lists.  The rows fill at
+    most ``BLOCK / OFTEN`` times the space of their postings."""
 
     def __init__(self, doc, term, count, n: int, vocabulary: np.ndarray, idf: np.ndarray, labels: np.ndarray, ids: np.ndarray):
         self.vocabulary, self.idf, self.labels, self.ids, self.n = vocabulary, idf, labels, ids, n
+        self.blocks = n // BLOCK + 1
         weight = (1 + np.log(count)) * idf[term]
         norm = np.sqrt(np.bincount(doc, weight**2, n))
         weight = weight / np.where(norm[doc] > 0, norm[doc], 1)
         order = np.lexsort((doc, term))
-        self.example, self.weight, term = doc[order].astype(np.int32), weight[order], term[order]
-        cell = term.astype(np.int64) * (n // BLOCK + 1) + self.example // BLOCK
-        start = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.cell_start = np.append(start, len(cell))  # postings of each (term, block)
-        self.cell_block = (self.example[start] // BLOCK).astype(np.int32)
-        self.cell_max = np.maximum.reduceat(self.weight, start) if len(start) else self.weight
-        self.term_start = np.searchsorted(term[start], np.arange(len(vocabulary) + 1))  # cells of each term
-        self.blocks = n // BLOCK + 1
+        example, weight, term = doc[order].astype(np.intp), weight[order], term[order].astype(np.intp)
+        _, cell, size = np.unique(term * self.blocks + example // BLOCK, return_inverse=True, return_counts=True)
+        often = (size[cell] >= OFTEN) & (np.bincount(term, minlength=len(vocabulary))[term] * FREQUENT >= n)
+        self.term_start = np.searchsorted(term[~often], np.arange(len(vocabulary) + 1))  # list of each term
+        self.example, self.weight = example[~often], weight[~often]
+        terms = np.unique(term[often])
+        self.column = np.full(len(vocabulary), -1, np.int32)  # of each term with dense rows
+        self.column[terms] = np.arange(len(terms))
+        self.largest = np.zeros((len(terms), self.blocks))  # weight per term and block
+        at, self.rows = self.column[term[often]], []  # per block: its terms' columns, weights (term, example)
+        np.maximum.at(self.largest, (at, example[often] // BLOCK), weight[often])
+        order = np.argsort(example[often] // BLOCK, kind="stable")
+        ends = np.searchsorted((example[often] // BLOCK)[order], np.arange(1, self.blocks))
+        for some in np.split(order, ends):
+            columns, row = np.unique(at[some], return_inverse=True)
+            rows = np.zeros((len(columns), BLOCK))
+            rows[row, example[often][some] % BLOCK] = weight[often][some]
+            self.rows.append((columns, rows))
 
     @staticmethod
     def _spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of all ranges one after the other, and whose each is."""
+        """Positions of all ranges one after the other, and the ranges' sizes."""
         size = end - start
-        owner = np.repeat(np.arange(len(size)), size)
-        return np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + start[owner], owner
+        first = np.cumsum(size) - size
+        return np.arange(size.sum()) + np.repeat(start - first, size), size
 
     def query(self, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(terms, normalised weights) of a document."""
@@ -100,28 +120,40 @@ class TermIndex:
         return (term, weight / norm) if norm > 0 else (term[:0], weight[:0])
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine (above 0), and the cosines; ties go
-        to the smaller position in the index."""
-        cells, owner = self._spread(self.term_start[term], self.term_start[term + 1])
-        block = self.cell_block[cells]
-        bound = np.bincount(block, weight[owner] * self.cell_max[cells], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        score = np.zeros(self.blocks * BLOCK)
-        done, at, floor = np.zeros(self.blocks, bool), 0, 0.0
-        while at < self.blocks and bound[order[at]] > 0 and bound[order[at]] * (1 + 1e-9) >= floor:
-            step = 4 if not at else self.blocks  # a first few set the floor, the rest go at once
-            chosen = order[at : at + step]
-            chosen = chosen[bound[chosen] * (1 + 1e-9) >= floor]
-            wanted = np.zeros(self.blocks, bool)
-            wanted[chosen] = True
-            use = wanted[block]
-            posting, cell = self._spread(self.cell_start[cells[use]], self.cell_start[cells[use] + 1])
-            score += np.bincount(self.example[posting], weight[owner[use]][cell] * self.weight[posting], len(score))
-            done |= wanted
-            at += step
-            if len(score) > k:
-                floor = float(np.partition(score, -k)[-k])
-        found = np.flatnonzero(score > 0)
+        """``nearest_all`` of one document."""
+        return self.nearest_all([(term, weight)], k)[0]
+
+    def nearest_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each document the k examples of largest cosine (above 0) and the
+        cosines, to 12 places; ties go to the smaller position in the index.
+
+        The lists are added up first: the k-th best sum is a floor.  A block
+        whose best sum and block maxima of the dense rows cannot reach it is
+        left out; the most promising ones go first and lift the floor."""
+        score = np.zeros((len(queries), self.blocks * BLOCK))
+        often = np.zeros((len(queries), len(self.largest)))
+        for i, (term, weight) in enumerate(queries):
+            column = self.column[term]
+            often[i, column[column >= 0]] = weight[column >= 0]
+            posting, size = self._spread(self.term_start[term], self.term_start[term + 1])
+            score[i] = np.bincount(self.example[posting], np.repeat(weight, size) * self.weight[posting], score.shape[1])
+        bound = score.reshape(len(queries), self.blocks, BLOCK).max(axis=2) + often @ self.largest
+        first = np.zeros(bound.shape, bool)
+        best = min(k // BLOCK + 2, self.blocks)
+        np.put_along_axis(first, np.argpartition(-bound, best - 1, axis=1)[:, :best], True, axis=1)
+        for chosen in (first, ~first):
+            floor = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.zeros(len(queries))
+            chosen &= (bound > 0) & (bound * (1 + 1e-9) >= floor[:, None])
+            for block in np.flatnonzero(chosen.any(axis=0)):
+                some, (columns, rows) = np.flatnonzero(chosen[:, block]), self.rows[block]
+                score[some, block * BLOCK : (block + 1) * BLOCK] += often[np.ix_(some, columns)] @ rows
+        score = np.round(score, 12)
+        return [self._best(s, k) for s in score]
+
+    @staticmethod
+    def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        least = np.partition(score, -k)[-k] if len(score) > k else 0.0
+        found = np.flatnonzero((score > 0) & (score >= least))
         found = found[np.lexsort((found, -score[found]))[:k]]
         return found, score[found]
 
@@ -131,6 +163,23 @@ class TermIndex:
         return float((weight * self.labels[found]).sum() / weight.sum()) if len(found) and weight.sum() > 0 else float("nan")
 
 
+def alike(doc: np.ndarray, term: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
+    """A group of ``GROUPS`` for each example, by spherical k-means over the
+    terms of at least one example in 16; it orders the index and changes no
+    result."""
+    often = np.bincount(term, minlength=len(idf)) * 16 >= n
+    use = often[term]
+    place = np.zeros((n, int(often.sum())), np.float32)
+    place[doc[use], (np.cumsum(often) - 1)[term[use]]] = idf[term[use]]
+    place /= np.maximum(np.linalg.norm(place, axis=1, keepdims=True), 1e-9)
+    centre = place[np.linspace(0, n - 1, min(GROUPS, n)).astype(int)]
+    for _ in range(ROUNDS):
+        group = np.argmax(place @ centre.T, axis=1)
+        centre = np.stack([place[group == g].sum(axis=0) if (group == g).any() else c for g, c in enumerate(centre)])
+        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
+    return group
+
+
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the monotone least-squares map of x to y (pool adjacent
     violators), a little smoothed towards the mean so that no score is 0 or 1."""
@@ -162,9 +211,10 @@ class ToxicityModel:
 def _votes(index: TermIndex, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     doc, term, count = term_counts(index.vocabulary, *column_bytes(batch.column("text")))
     at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-    for a, b in zip(at[:-1], at[1:]):
-        found, cosine = index.nearest(*index.query(term[a:b], count[a:b]), NEIGHBOURS)
-        yield found, cosine, index.vote(found, cosine)
+    for first in range(0, batch.num_rows, TOGETHER):
+        ends = at[first : first + TOGETHER + 1]
+        for found, cosine in index.nearest_all([index.query(term[a:b], count[a:b]) for a, b in zip(ends[:-1], ends[1:])], NEIGHBOURS):
+            yield found, cosine, index.vote(found, cosine)
 
 
 def _sample(labels: DataFrame, n: int, salt: int) -> list[int]:
@@ -253,10 +303,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     del some
     use, number = in_index[doc], np.cumsum(in_index) - 1
     mine = ids[in_index]
-    # like labels and sizes share blocks, which tightens the bounds
+    # alike examples (in words, label and size) share blocks, which tightens the bounds
     size = np.bincount(number[doc[use]], minlength=len(mine))
+    group = alike(number[doc[use]], term[use], idf, len(mine))
     rank = np.empty(len(mine), np.int64)
-    rank[np.lexsort((size, [label_of[i] for i in mine]))] = np.arange(len(mine))
+    rank[np.lexsort((size, [label_of[i] for i in mine], group))] = np.arange(len(mine))
     ordered = np.empty_like(mine)
     ordered[rank] = mine
     index = TermIndex(
@@ -264,15 +315,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
     votes, truth = [], []
     at = np.searchsorted(doc, np.arange(len(ids) + 1))
-    for row, i in enumerate(ids.tolist()):
-        if i not in spread:
-            continue
-        found, cosine = index.nearest(*index.query(term[at[row] : at[row + 1]], count[at[row] : at[row + 1]]), NEIGHBOURS + 1)
-        other = index.ids[found] != i  # an example does not vote on itself
-        vote = index.vote(found[other][:NEIGHBOURS], cosine[other][:NEIGHBOURS])
-        if vote == vote:
-            votes.append(vote)
-            truth.append(spread[i])
+    asked = [row for row, i in enumerate(ids.tolist()) if i in spread]
+    for first in range(0, len(asked), TOGETHER):
+        some = asked[first : first + TOGETHER]
+        nearest = index.nearest_all([index.query(term[at[r] : at[r + 1]], count[at[r] : at[r + 1]]) for r in some], NEIGHBOURS + 1)
+        for i, (found, cosine) in zip(ids[some].tolist(), nearest):
+            other = index.ids[found] != i  # an example does not vote on itself
+            vote = index.vote(found[other][:NEIGHBOURS], cosine[other][:NEIGHBOURS])
+            if vote == vote:
+                votes.append(vote)
+                truth.append(spread[i])
     if not votes:
         return empty
     return ToxicityModel(index, *isotonic(np.array(votes), np.array(truth, float)), base)

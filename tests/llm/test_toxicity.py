@@ -18,8 +18,11 @@ def brute(index_docs, weights, query, k):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_search_is_exact(seed, monkeypatch):
+@pytest.mark.parametrize("often", [1, 4, 100])
+def test_search_is_exact(seed, often, monkeypatch):
+    """Dense rows for nearly all terms, for some and for none."""
     monkeypatch.setattr(toxicity, "BLOCK", 8)
+    monkeypatch.setattr(toxicity, "OFTEN", often)
     rng = random.Random(seed)
     texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 7) for _ in range(rng.randint(1, 30))) for _ in range(150)]
     raw = column_bytes(pa.array(texts))
@@ -34,9 +37,44 @@ def test_search_is_exact(seed, monkeypatch):
         found, cosine = index.nearest(*index.query(term[doc == i], count[doc == i]), 10)
         want, score = brute(dense, None, dense[i], 10)
         assert np.allclose(cosine, score[want]) and np.allclose(score[found], score[want])
+    together = index.nearest_all([index.query(term[doc == i], count[doc == i]) for i in range(150)], 10)
+    for i, (found, cosine) in enumerate(together):
+        alone = index.nearest(*index.query(term[doc == i], count[doc == i]), 10)
+        assert list(found) == list(alone[0]) and list(cosine) == list(alone[1])
     assert len(index.nearest(*index.query(term[:0], count[:0]), 10)[0]) == 0
 
 
+def test_blocks_of_other_groups_are_skipped(monkeypatch):
+    """Two groups without common words: a block product is asked only for a
+    document's own group, and ``alike`` tells the groups apart."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices([f"{'ab'[i % 2]}{j}" for j in range(30)], k=20)) for i in range(400)]
+    raw = column_bytes(pa.array(texts))
+    vocabulary = np.unique(tokens(*raw)[1])
+    doc, term, count = term_counts(vocabulary, *raw)
+    group = toxicity.alike(doc, term, np.ones(len(vocabulary)), 400)
+    assert not set(group[::2]) & set(group[1::2])
+    rank = np.empty(400, np.int64)
+    rank[np.argsort(group, kind="stable")] = np.arange(400)
+    index = TermIndex(rank[doc], term, count, 400, vocabulary, np.ones(len(vocabulary)), np.zeros(400), np.argsort(rank))
+    for i in range(0, 400, 37):
+        found, _ = index.nearest(*index.query(term[doc == i], count[doc == i]), 300)
+        assert len(found) <= 200 and {int(index.ids[f]) % 2 for f in found} == {i % 2}
+
+
+def test_a_long_text_and_several_slices(spark, docs_frame, monkeypatch):
+    """Texts over one slice, and batches of several slices, score as alone."""
+    monkeypatch.setattr(toxicity, "TOGETHER", 3)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(200)] + ["vile"] * (20 * (i % 2)), k=30))) for i in range(40)]
+    rows += [(100, " ".join(rng.choices([f"w{j}" for j in range(5000)], k=400_000))), (101, "vile " * 300_000)]
+    frame = docs_frame(rows).coalesce(1)
+    model = fit(frame, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"))
+    out = {r.doc_id: r for r in score_documents(frame, model).collect()}
+    assert len(out) == 42 and set(out[101].neighbour_labels) == {1}
+    assert out[101].score == score_documents(docs_frame([(101, rows[-1][1])]), model).collect()[0].score
+
+
 def test_isotonic_is_monotone_and_pools():
     knots, values = isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 1.0]))
     assert (np.diff(values) >= 0).all() and 0 < values[0] and values[-1] < 1
