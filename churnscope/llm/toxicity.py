@@ -50,6 +50,7 @@ BLOCK = 64
 FREQUENT, OFTEN = 16, 4
 GROUPS, ROUNDS = 16, 6
 TOGETHER = 128
+CHUNK = 1 << 13
 SLICE_BYTES = 1 << 20
 _U = np.uint64
 
@@ -87,9 +88,11 @@ class TermIndex:
         norm = np.sqrt(np.bincount(doc, weight**2, n))
         weight = weight / np.where(norm[doc] > 0, norm[doc], 1)
         order = np.lexsort((doc, term))
-        example, weight, term = doc[order].astype(np.intp), weight[order], term[order].astype(np.intp)
-        _, cell, size = np.unique(term * self.blocks + example // BLOCK, return_inverse=True, return_counts=True)
-        often = (size[cell] >= OFTEN) & (np.bincount(term, minlength=len(vocabulary))[term] * FREQUENT >= n)
+        example, weight, term = doc[order].astype(np.int32), weight[order], term[order].astype(np.int32)
+        del order, doc
+        first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(example // BLOCK, prepend=-1) != 0))
+        size = np.diff(first, append=len(term))  # postings of each (term, block)
+        often = np.repeat(size >= OFTEN, size) & (np.bincount(term, minlength=len(vocabulary)) * FREQUENT >= n)[term]
         self.term_start = np.searchsorted(term[~often], np.arange(len(vocabulary) + 1))  # list of each term
         self.example, self.weight = example[~often], weight[~often]
         terms = np.unique(term[often])
@@ -234,6 +237,7 @@ def _document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.n
     """In how many documents of the whole table each feature occurs, and how
     many documents there are."""
     wanted = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    schema = "n long, chunk int, counts binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total, n = wanted.value, np.zeros(len(wanted.value), np.int64), 0
@@ -241,20 +245,24 @@ def _document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.n
             for part in slices(batch, "text", SLICE_BYTES):
                 total += np.bincount(term_counts(known, *column_bytes(part.column("text")))[1], minlength=len(known))
                 n += part.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.astype("<i8").tobytes()])], ["n", "counts"])
+        for chunk, at in enumerate(range(0, len(total), CHUNK)):
+            counts = pa.array([total[at : at + CHUNK].astype("<i8").tobytes()])
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([chunk], pa.int32()), counts], ["n", "chunk", "counts"])
 
     def add(group):
         import pandas as pd
 
-        total = sum((np.frombuffer(c, "<i8") for c in group["counts"]), np.zeros(len(wanted.value), np.int64))
-        return pd.DataFrame({"n": [int(group["n"].sum())], "counts": [total.tobytes()]})
+        total = sum(np.frombuffer(c, "<i8") for c in group["counts"])
+        return pd.DataFrame({"n": [int(group["n"].sum())], "chunk": group["chunk"][:1], "counts": [total.tobytes()]})
 
-    # one vector of bounded length per task, added in two steps
-    some = docs.select("text").mapInArrow(count, "n long, counts binary")
+    # a task sends its counts in chunks, added in two steps; the driver takes one vector
+    some = docs.select("text").mapInArrow(count, schema)
     some = some.withColumn("part", F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(64)).cast("int"))
-    rows = some.groupBy("part").applyInPandas(add, "n long, counts binary").collect()  # at most 64 rows
-    counts = sum((np.frombuffer(r["counts"], "<i8") for r in rows), np.zeros(len(vocabulary), np.int64))
-    return counts, sum(r["n"] for r in rows)
+    rows = some.groupBy("chunk", "part").applyInPandas(add, schema).groupBy("chunk").applyInPandas(add, schema).collect()
+    counts = np.zeros(len(vocabulary), np.int64)
+    for r in rows:
+        counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], "<i8")
+    return counts, max((r["n"] for r in rows), default=0)
 
 
 def _example_features(batch: pa.RecordBatch, wanted: np.ndarray) -> Iterator[np.ndarray]:
@@ -301,18 +309,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         at += part.num_rows
     doc, term, count = (np.concatenate(c) for c in zip(*some))
     del some
-    use, number = in_index[doc], np.cumsum(in_index) - 1
+    use, number = in_index[doc], (np.cumsum(in_index) - 1).astype(np.int32)
+    of, terms, counts = number[doc[use]], term[use], count[use]
     mine = ids[in_index]
     # alike examples (in words, label and size) share blocks, which tightens the bounds
-    size = np.bincount(number[doc[use]], minlength=len(mine))
-    group = alike(number[doc[use]], term[use], idf, len(mine))
-    rank = np.empty(len(mine), np.int64)
-    rank[np.lexsort((size, [label_of[i] for i in mine], group))] = np.arange(len(mine))
+    size = np.bincount(of, minlength=len(mine))
+    rank = np.empty(len(mine), np.int32)
+    rank[np.lexsort((size, [label_of[i] for i in mine], alike(of, terms, idf, len(mine))))] = np.arange(len(mine))
     ordered = np.empty_like(mine)
     ordered[rank] = mine
-    index = TermIndex(
-        rank[number[doc[use]]], term[use], count[use], len(mine), vocabulary, idf, np.array([label_of[i] for i in ordered], float), ordered
-    )
+    index = TermIndex(rank[of], terms, counts, len(mine), vocabulary, idf, np.array([label_of[i] for i in ordered], float), ordered)
+    del use, of, terms, counts
     votes, truth = [], []
     at = np.searchsorted(doc, np.arange(len(ids) + 1))
     asked = [row for row, i in enumerate(ids.tolist()) if i in spread]
