@@ -21,6 +21,9 @@ neither Spark nor SQL engines provide; ``erfc`` below is the published
 Chebyshev fit (fractional error below 1.2e-7) written as a column
 expression, so everything stays in the JVM.
 
+Groups too small for the normal form take ``mann_whitney_exact``: the
+permutation distribution of the rank sum, built tie block by tie block.
+
 Correlations: one block of co-moments per task (see ``comoments``); a constant
 column yields NULL instead of failing the job (ANSI mode raises on division by
 zero).
@@ -29,7 +32,10 @@ zero).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,6 +149,78 @@ def mann_whitney(df: DataFrame, value: str, group: Column) -> DataFrame:
     )
 
 
+# Bounds of the exact test: rows of the smaller sample, and of both.
+EXACT_SMALLER = 8
+EXACT_ROWS = 100
+
+
+def exact_p_value(n1: np.ndarray, n2: np.ndarray) -> float:
+    """Two-sided exact p of the rank sum: the share of all choices of the
+    smaller sample out of the pooled rows that lie at least as far from the mean.
+
+    ``n1`` and ``n2`` count the samples' rows per distinct value, ascending.  A
+    state is (rows chosen, twice their rank sum); a tie block of c rows passes it
+    on for each number t chosen from it, comb(c, t) times.  Twice the
+    (tie-averaged) rank is whole, so all comparisons are exact."""
+    n1, n2 = np.asarray(n1, np.int64), np.asarray(n2, np.int64)
+    mine = n1 if n1.sum() <= n2.sum() else n2
+    size = n1 + n2
+    chosen, total = int(mine.sum()), int(size.sum())
+    twice_rank = 2 * (np.cumsum(size) - size) + size + 1
+    ways = np.zeros((chosen + 1, 2 * chosen * total + 1))
+    ways[0, 0] = 1.0
+    for c, r in zip(size.tolist(), twice_rank.tolist()):
+        after = ways.copy()
+        for t in range(1, min(c, chosen) + 1):
+            after[t:, t * r :] += math.comb(c, t) * ways[: chosen + 1 - t, : ways.shape[1] - t * r]
+        ways = after
+    mean = chosen * (total + 1)
+    far = np.abs(np.arange(ways.shape[1]) - mean) >= abs(int((mine * twice_rank).sum()) - mean)
+    return float(ways[chosen][far].sum() / ways[chosen].sum())
+
+
+def mann_whitney_exact(df: DataFrame, by: list[str], value: str, group: Column) -> DataFrame:
+    """Exact two-sided test per small segment: rows (*by, n1, n2, u_statistic,
+    p_value, significant), where the smaller sample has 1 to ``EXACT_SMALLER``
+    rows and both together at most ``EXACT_ROWS``; ``mann_whitney`` is for the
+    others.  Ties are permuted whole blocks at a time, so p is exact with them
+    too; without ties it is the usual exact distribution of U.  A NULL segment
+    key is a segment; rows with NULL value or group do not count.
+
+    Sizes are known before a segment's values are gathered, so that no list holds
+    more than ``EXACT_ROWS`` values; only counts per value move, never rows."""
+    flag = group.cast("boolean")
+    used = df.where(F.col(value).isNotNull() & flag.isNotNull())
+    # one struct as key: its NULL fields compare equal, so the semi join needs no other key
+    used = used.select(F.struct(*by).alias("segment"), F.col(value).alias("v"), flag.alias("one"))
+    hist = used.groupBy("segment", "v").agg(F.count_if(F.col("one")).alias("n1"), F.count_if(~F.col("one")).alias("n2"))
+    sizes = hist.groupBy("segment").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
+    sizes = sizes.where(F.least("n1", "n2").between(1, EXACT_SMALLER) & (F.col("n1") + F.col("n2") <= EXACT_ROWS))
+    kept = hist.join(sizes.select("segment"), "segment", "left_semi")
+    lists = kept.groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("v", "n1", "n2"))).alias("h"))
+    start = F.struct(F.lit(0.0).alias("u"), F.lit(0).cast("bigint").alias("below"))
+    # U counts the pairs in which the first sample's value is larger, ties half
+    u = F.aggregate(
+        "h",
+        start,
+        lambda a, x: F.struct((a["u"] + x["n1"] * (a["below"] + x["n2"] / 2.0)).alias("u"), (a["below"] + x["n2"]).alias("below")),
+        lambda a: a["u"],
+    )
+    lists = lists.select("segment", F.col("h.n1").alias("n1"), F.col("h.n2").alias("n2"), u.alias("u_statistic"))
+
+    def p_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ones, others = batch.column("n1").to_pylist(), batch.column("n2").to_pylist()
+            made = [pa.array([sum(c) for c in ones], pa.int64()), pa.array([sum(c) for c in others], pa.int64())]
+            p = pa.array([exact_p_value(a, b) for a, b in zip(ones, others)], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("segment"), *made, batch.column("u_statistic"), p], ["segment", "n1", "n2", "u_statistic", "p"])
+
+    kind = lists.schema["segment"].dataType.simpleString()
+    out = lists.mapInArrow(p_values, f"segment {kind}, n1 long, n2 long, u_statistic double, p double")
+    out = out.select("segment.*", "n1", "n2", "u_statistic", round_to(F.col("p"), 6).alias("p_value"))
+    return out.withColumn("significant", F.col("p_value") < 0.05)
+
+
 def pearson_long(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Sample Pearson r per column pair: rows (a, b, r), 6 places.
 

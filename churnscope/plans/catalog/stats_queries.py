@@ -63,6 +63,53 @@ def mannwhitney_tenure(fr):
     return stats.mann_whitney(fr.feat, "tenure", F.col("churn_flag") == 1)
 
 
+_SMALL_BY = "contract, internet_service, payment_method, num_services"
+
+
+def _exact_sql() -> str:
+    """The rank-sum distribution by a recursion over tie blocks."""
+    least, most = stats.EXACT_SMALLER, stats.EXACT_ROWS
+    hist = (
+        f"SELECT {_SMALL_BY}, tenure AS v, CAST(SUM(churn_flag) AS BIGINT) AS n1, CAST(SUM(1 - churn_flag) AS BIGINT) AS n2 "
+        f"FROM feat WHERE tenure IS NOT NULL AND churn_flag IS NOT NULL GROUP BY {_SMALL_BY}, tenure"
+    )
+    seg = (
+        f"SELECT {_SMALL_BY}, CAST(SUM(n1) AS BIGINT) AS t1, CAST(SUM(n2) AS BIGINT) AS t2, LEAST(SUM(n1), SUM(n2)) AS k, COUNT(*) AS nb, "
+        f"ROW_NUMBER() OVER () AS seg FROM h GROUP BY {_SMALL_BY} HAVING LEAST(SUM(n1), SUM(n2)) BETWEEN 1 AND {least} AND SUM(n1) + SUM(n2) <= {most}"
+    )
+    same = " AND ".join(f"h.{c} IS NOT DISTINCT FROM g.{c}" for c in _SMALL_BY.split(", "))
+    block = (
+        "SELECT g.seg, g.k, h.n1, h.n2, h.n1 + h.n2 AS c, ROW_NUMBER() OVER w AS rn, "
+        "CAST(2 * SUM(h.n1 + h.n2) OVER w - (h.n1 + h.n2) + 1 AS BIGINT) AS r2, "
+        f"SUM(h.n2) OVER w - h.n2 / 2.0 AS below FROM g JOIN h ON {same} WINDOW w AS (PARTITION BY g.seg ORDER BY h.v ROWS UNBOUNDED PRECEDING)"
+    )
+    ways = "list_product(list_transform(range(1, t.t + 1), lambda i: (b.c - t.t + i) / CAST(i AS DOUBLE)))"
+    step = (
+        f"SELECT b.seg, b.rn, d.j + t.t AS j, d.s + t.t * b.r2 AS s, SUM(d.w * CASE WHEN t.t = 0 THEN 1.0 ELSE {ways} END) AS w "
+        f"FROM dp d JOIN b ON b.seg = d.seg AND b.rn = d.rn + 1 JOIN range(0, {least + 1}) t(t) ON t.t <= b.c AND d.j + t.t <= b.k GROUP BY 1, 2, 3, 4"
+    )
+    seen = (
+        "SELECT g.*, SUM(b.n1 * b.below) AS u, SUM((CASE WHEN g.t1 <= g.t2 THEN b.n1 ELSE b.n2 END) * b.r2) AS s0 "
+        "FROM g JOIN b ON b.seg = g.seg GROUP BY ALL"
+    )
+    p = "SUM(d.w) FILTER (ABS(d.s - x.k * (x.t1 + x.t2 + 1)) >= ABS(x.s0 - x.k * (x.t1 + x.t2 + 1))) / SUM(d.w)"
+    last = (
+        f"SELECT {_SMALL_BY}, x.t1 AS n1, x.t2 AS n2, CAST(x.u AS DOUBLE) AS u_statistic, {round_to_sql(p, 6)} AS p_value "
+        f"FROM ({seen}) x JOIN dp d ON d.seg = x.seg AND d.rn = x.nb AND d.j = x.k GROUP BY {_SMALL_BY}, x.t1, x.t2, x.u, x.k, x.s0"
+    )
+    return (
+        f"SELECT *, p_value < 0.05 AS significant FROM (WITH RECURSIVE h AS MATERIALIZED ({hist}), g AS MATERIALIZED ({seg}), b AS MATERIALIZED ({block}), "
+        f"dp(seg, rn, j, s, w) AS (SELECT seg, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS DOUBLE) FROM g UNION ALL {step}) {last}) q"
+    )
+
+
+@query("mannwhitney_small_segments", _exact_sql(), ("ST01",))
+def mannwhitney_small_segments(fr):
+    """Tenure of churned vs retained accounts in every segment too small for
+    the normal form: exact permutation test."""
+    return stats.mann_whitney_exact(fr.feat, _SMALL_BY.split(", "), "tenure", F.col("churn_flag") == 1)
+
+
 @query("mannwhitney_health_score", _mw_sql("health_score", "churn_flag = 1", "feat"), ("ST01", "7.6"))
 def mannwhitney_health_score(fr):
     """Health score of churned vs retained accounts; U / (n1 n2) is the AUC

@@ -190,3 +190,45 @@ def test_histogram_quantiles_equal_percentile(spark):
         for c in "xy":
             for p, v in zip((0.25, 0.5, 1.0), r[c]):
                 assert abs(got[(r.g, c, p)] - v) < 1e-9
+
+
+def _brute_exact(x, y):
+    """Every choice of len(x) of the pooled rows."""
+    from itertools import combinations
+
+    u = lambda a, b: sum((v > w) + 0.5 * (v == w) for v in a for w in b)
+    pool, mean = x + y, len(x) * len(y) / 2
+    seen, hit, n = abs(u(x, y) - mean), 0, 0
+    for some in combinations(range(len(pool)), len(x)):
+        rest = [pool[i] for i in range(len(pool)) if i not in some]
+        hit += abs(u([pool[i] for i in some], rest) - mean) >= seen
+        n += 1
+    return u(x, y), hit / n
+
+
+def test_exact_mann_whitney_matches_every_permutation(spark):
+    rnd = random.Random(3)
+    rows, want = [], {}
+    for seg, (n1, n2, top) in enumerate([(3, 5, 100), (5, 3, 2), (1, 6, 9), (4, 4, 5), (2, 9, 3), (6, 5, 50)]):
+        key = None if seg == 4 else f"s{seg}"
+        x, y = [rnd.randint(0, top) for _ in range(n1)], [rnd.randint(0, top) for _ in range(n2)]
+        rows += [(key, "k", v, 1) for v in x] + [(key, "k", v, 0) for v in y]
+        want[key] = (n1, n2, *_brute_exact(x, y))
+    rows += [("one-sided", "k", 1, 1), ("s0", "k", None, 1), ("s1", "k", 5, None)]
+    rows += [("large", "k", i, int(i < 3)) for i in range(stats.EXACT_ROWS + 1)]
+    rows += [("both", "k", i, i % 2) for i in range(2 * stats.EXACT_SMALLER + 2)]
+    df = spark.createDataFrame(rows, "seg string, other string, t int, g int")
+    got = {r.seg: r for r in stats.mann_whitney_exact(df, ["seg", "other"], "t", F.col("g") == 1).collect()}
+    assert set(got) == set(want)
+    for key, (n1, n2, u, p) in want.items():
+        assert (got[key].n1, got[key].n2, got[key].u_statistic) == (n1, n2, u)
+        assert abs(got[key].p_value - p) < 1e-6 and got[key].significant == (got[key].p_value < 0.05)
+    assert stats.mann_whitney_exact(df.limit(0), ["seg"], "t", F.col("g") == 1).collect() == []
+
+
+def test_exact_p_value_of_separated_samples():
+    import numpy as np
+
+    one = np.array([0] * 20 + [1] * 8)
+    assert abs(stats.exact_p_value(one, 1 - one) - 2 / math.comb(28, 8)) < 1e-15
+    assert stats.exact_p_value(np.array([4]), np.array([7])) == 1.0
