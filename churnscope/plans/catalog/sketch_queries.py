@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from churnscope.operators import sketches
 from churnscope.plans.registry import query
+from churnscope.session import ensure_checkpoint_dir
 from churnscope.sources import io
 
 COUNTED = ["customer_id", "tenure", "monthly_charges", "total_charges"]
@@ -60,5 +61,8 @@ def _kept_sql() -> str:
 @query("dq_values_kept", _kept_sql(), ("Q01", "Q03"))
 def dq_values_kept(fr):
     """Values of one contract that the contract before it (in name order) has too,
-    and those it adds, from sketches (exact for these columns: few values)."""
-    return sketches.kept_from_before(sketches.sketch_parts(fr.acct, COMPARED, "contract"))
+    and those it adds, from sketches (exact for these columns: few values).  The
+    accounts are read once: the sketches are fixed by a reliable checkpoint."""
+    ensure_checkpoint_dir(fr.spark)
+    parts = sketches.sketch_parts(fr.acct, COMPARED, "contract").select("part", "column_name", "sketch")
+    return sketches.kept_from_before(parts.checkpoint())
