@@ -76,7 +76,8 @@ def buckets_for(total: int, each: int, least: int = 64) -> int:
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text, row_key): the text never NULL, and a hash of id and text
-    that repeated rows share.  Joins use doc_id and row_key together."""
+    that repeated rows share.  Joins on row_key alone trust its 64 bits: two of n
+    different rows share one with a probability of about n^2 / 2^65."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
