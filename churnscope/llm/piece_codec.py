@@ -8,16 +8,15 @@ every normalised byte records the original byte where its source begins.  The
 normalised text is segmented by the sentencepiece library, and each piece's
 normalised bytes are projected through the record to a span of the original.
 
-Segmenting by words.  For a BPE model with byte fallback, no user-defined
-symbols and no vocabulary piece with U+2581 after another character, no merge
-crosses the start of a word (nor a line end, if no longer piece holds one).
-Segments then depend on the word alone and are kept in a bounded table per
-worker; what does not fit is segmented anew.  Any other model is encoded text
-by text.  Either way the ids are the library's.
+Plain models.  A model with byte fallback and no character map or user-defined
+symbols, which puts a dummy prefix in front, keeps all spaces and has a piece for
+U+2581, only turns each space into that.  Of a text without that character, every piece then has a fixed
+number of original bytes, and the spans are sums of these: no record is kept.
+Either way the ids are the library's, of the whole text.
 
 Scale: one pass of ``mapInArrow``, no shuffle; memory holds a slice of about
-one megabyte of text plus the bounded table.  The model file (fixed size, a
-parameter) travels with the task.
+one megabyte of text.  The model file (fixed size, a parameter) travels with the
+task.
 
 Defined cases: NULL and empty texts give no ids, no spans and an empty
 decoded text; an empty table gives no rows; a very long text is one slice.
@@ -25,7 +24,6 @@ decoded text; an empty table gives no rows; a very long text is one slice.
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -41,7 +39,6 @@ from churnscope.llm.text_arrays import slices
 
 SPACE = "▁"
 SLICE_BYTES = 1 << 20
-TABLE_ENTRIES = 150_000
 
 
 class CharMap:
@@ -105,15 +102,14 @@ class PieceCodec:
         self.suffix = proto.trainer_spec.treat_whitespace_as_suffix
         self.symbols = sorted((p.piece.encode() for p in proto.pieces if p.type == 4), key=len, reverse=True)
         self.width = [1 if p.type == 6 else len(p.piece.encode()) for p in proto.pieces]
-        pieces = [p.piece for p in proto.pieces if p.type == 1]
-        self.by_word = (
-            proto.trainer_spec.model_type == 2 and proto.trainer_spec.byte_fallback and not self.symbols
-            and not self.chars.units and self.dummy and self.escape and not self.squeeze and not self.suffix
-            and SPACE in pieces and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
+        # of original bytes, where each U+2581 stands for a space
+        self.bytes = np.array([1 if p.type == 6 else len(p.piece.replace(SPACE, " ").encode()) for p in proto.pieces], np.int64)
+        self.number = [str(i) for i in range(len(proto.pieces))]
+        self.plain = (
+            proto.trainer_spec.byte_fallback and not self.symbols and not self.chars.units
+            and self.dummy and self.escape and not self.squeeze and not self.suffix
+            and any(p.piece == SPACE and p.type == 1 for p in proto.pieces)
         )
-        line_end = "" if any("\n" in p for p in pieces) else "\n"
-        self.chunks = re.compile(f"{SPACE}*[^{SPACE}{line_end}]+|{line_end + '|' if line_end else ''}{SPACE}+").findall
-        self.table: dict[str, tuple[list[int], str, bytes]] = {}
 
     # -- normalisation -------------------------------------------------
     def normalise(self, text: bytes) -> tuple[bytes, np.ndarray]:
@@ -158,39 +154,17 @@ class PieceCodec:
         return bytes(out), np.array([*origin, at], np.int64)
 
     # -- segmentation --------------------------------------------------
-    def _segment(self, chunk: str) -> list[int]:
-        if chunk == SPACE:
-            return [self.library.piece_to_id(SPACE)]
-        if chunk[0] == SPACE:  # the library puts the first one there
-            return self.library.encode(chunk[1:].replace(SPACE, " "))
-        if chunk == "\n":
-            return self.library.encode("\n")[1:]
-        return self.library.encode("\n" + chunk)[2:]
-
-    def _entry(self, chunk: str) -> tuple[list[int], str, bytes]:
-        ids = self._segment(chunk)
-        wide = [self.width[i] for i in ids]
-        if SPACE in chunk:  # of original bytes: a space has one
-            wide = [w - 2 * self.library.id_to_piece(i).count(SPACE) if w > 1 else w for i, w in zip(ids, wide)]
-        found = (ids, ",".join(map(str, ids)), np.array(wide, "<u2").tobytes())
-        if len(self.table) < TABLE_ENTRIES:
-            self.table[chunk] = found
-        return found
-
     def encode(self, text: str) -> Encoded:
         if not text:
             return Encoded([], "", np.zeros(0, np.int64), np.zeros(0, np.int64), "")
-        if self.by_word and SPACE not in text:
-            get, entry = self.table.get, self._entry
-            parts = [get(c) or entry(c) for c in self.chunks(SPACE + text.replace(" ", SPACE))]
-            ids = [i for p in parts for i in p[0]]
-            ids_text = ",".join([p[1] for p in parts])
-            ends = np.cumsum(np.frombuffer(b"".join([p[2] for p in parts]), "<u2").astype(np.int64))
-            ends -= 1  # the dummy prefix has no original byte
+        ids = self.library.encode(text)
+        ids_text = ",".join([self.number[i] for i in ids])
+        if self.plain and SPACE not in text:
+            ends = np.cumsum(self.bytes[np.array(ids, np.int64)]) - 1  # the dummy prefix has no original byte
+            if ends[-1] != len(text.encode()):
+                raise ValueError("pieces do not add up to the text")
             starts = np.concatenate((np.zeros(1, np.int64), ends[:-1]))
         else:
-            ids = self.library.encode(text)
-            ids_text = ",".join(map(str, ids))
             normal, origin = self.normalise(text.encode())
             unknown = self.library.unk_id()
             bounds = np.zeros(len(ids) + 1, np.int64)

@@ -35,6 +35,23 @@ def test_ids_and_decoding_are_the_librarys_and_spans_tile_the_text(text):
             assert raw[a:b].decode().replace("▁", " ") == (surface if k else surface[1:])
 
 
+def test_a_text_is_encoded_in_one_call_of_the_library():
+    codec, asked = PieceCodec(MODEL), []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(LIBRARY, name)
+
+        def encode(self, text, **options):
+            asked.append(text)
+            return LIBRARY.encode(text, **options)
+
+    codec.library = Counting()
+    texts = ["some  words that differ\nand a line é 日本", "words that differ", " "]
+    assert [codec.encode(t).ids for t in texts] == [LIBRARY.encode(t) for t in texts]
+    assert asked == texts
+
+
 def test_whole_table_query_equals_the_library(spark):
     import pyarrow.parquet as pq
 
