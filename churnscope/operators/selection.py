@@ -17,6 +17,9 @@ one aggregation over the rows:
 4. A span of at most ``LIMIT`` rows is sorted in one task, which returns the
    rows at the wanted ranks.
 
+The keys and ids are derived once and written to the shared checkpoint folder
+for the time of the rounds, which read them from there.
+
 A round leaves a few hundredths of a span, so the rounds grow with the
 logarithm of the table, and no task sees more than sketches or ``LIMIT`` rows.
 What reaches the driver is a row per part: wanted ranks times a few splitters.
@@ -30,6 +33,7 @@ too.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from decimal import Decimal
@@ -38,6 +42,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from churnscope.session import ensure_checkpoint_dir
+
 LIMIT = 1 << 17  # rows of a span that one task may sort
 MAX_GROUPS = 10_000
 SKETCH_K = 1024
@@ -154,12 +160,23 @@ def select_ranks(
     ``wanted(rows)`` the (key, sortable id) of the row there.  Without
     ``nulls``, rows whose key is NULL are not in the order."""
     raw = {name: key.cast("double") for name, key in keys.items()}
-    names = list(raw)
     # -0.0 and 0.0 are one key
     source = df.select(
         *[(F.when(F.isnan(k), F.lit(math.inf)).otherwise(k) + F.lit(0.0)).alias(f"k{i}") for i, k in enumerate(raw.values())],
         *([_sortable_id(df, id_col).alias("id")] if id_col else []), *([F.col(group).alias("g")] if group else []),
     )
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/churnscope-ranks-{uuid.uuid4().hex}"
+    try:
+        source.write.parquet(path)
+        return _rounds(spark.read.schema(source.schema).parquet(path), list(raw), wanted, bool(id_col), bool(group), nulls)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _rounds(source: DataFrame, names: list[str], wanted: Callable[[int], list[int]], id_col: bool, group: bool, nulls: bool) -> dict:
+    """``select_ranks`` over keys ``k0``..., ``id`` and ``g``."""
     keyed = {name: F.col(f"k{i}") for i, name in enumerate(names)}
     ids, by = F.col("id") if id_col else None, F.col("g") if group else None
 

@@ -92,3 +92,22 @@ def test_too_many_groups_are_refused(spark, monkeypatch):
     monkeypatch.setattr(selection, "MAX_GROUPS", 10)
     with pytest.raises(ValueError, match="groups"):
         selection.quantiles(spark.range(50).selectExpr("id as g", "id as x"), ["x"], [0.5], "g")
+
+
+def test_rows_are_derived_once(spark, monkeypatch):
+    """All rounds read the keys that the first job wrote."""
+    monkeypatch.setattr(selection, "LIMIT", 50)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    counted = F.udf(count, "double")
+    df = spark.range(2000).select(F.col("id").alias("num"), (F.col("id") % 7).cast("double").alias("y"))
+    found = selection.select_ranks(df.select("num", counted("y").alias("x")), {"x": F.col("x")}, lambda n: [400, 800, 1600], "num")
+    assert seen.value == 2000
+    n, rows = found[0, "x"]
+    order = sorted((float(i % 7), i) for i in range(2000))
+    assert n == 2000 and [rows[k][0] for k in (400, 800, 1600)] == [order[k][0] for k in (400, 800, 1600)]
+    assert [int(rows[k][1][1:]) - (1 << 63) for k in (400, 800, 1600)] == [order[k][1] for k in (400, 800, 1600)]
