@@ -19,7 +19,8 @@ Scale.  Neither words nor n-grams ever meet in one place.  Texts are cut once
 into slices of about ``FLUSH`` tokens, kept as places in the slice's own word
 list.  A slice sends its distinct keys (64-bit hashes of words, n-grams or
 contexts) to their ``2**b`` hash ranges, whose number grows with the input, and
-each range answers every slice that asked:
+each range answers every slice that asked.  Slices and answers are stored by
+slice, so they are shuffled once:
 
 1. words and bigrams get their counts in all training rows;
 2. one-word contexts get lambda if they are retained, and the next longer
@@ -46,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnscope.llm.storage import buckets_for, keyed, stored, text_bytes
+from churnscope.llm.storage import buckets_for, keyed, stored_by, text_bytes
 from churnscope.llm.text_arrays import (
     END, column_bytes, from_planes, mix, pack_sorted, planes, slices, unpack_sorted, words,
 )
@@ -55,7 +56,7 @@ DEPTH = 2
 SUPPORT = 2  # occurrences of a stored n-gram
 DISCOUNT = 0.75
 RANGE_BYTES = 1 << 24  # text bytes per hash range
-FLUSH = 1 << 19  # tokens of a slice, about
+FLUSH = 3 << 17  # tokens of a slice, about
 _TOKEN_BYTES = 6
 _U = np.uint64
 _LN10 = np.log(10.0)
@@ -97,7 +98,7 @@ class _Keys:
     """The distinct keys of a slice that are looked up in the hash ranges."""
 
     def __init__(self, hashes: np.ndarray, bits: int):
-        self.order = np.argsort(hashes, kind="stable")
+        self.order = np.argsort(hashes)
         self.sorted = hashes[self.order]
         self.cuts = np.searchsorted(self.sorted, np.arange(1 << bits, dtype=_U) << _U(64 - bits)).tolist() + [len(hashes)]
 
@@ -107,11 +108,11 @@ class _Keys:
             if b > a:
                 yield r, self.order[a:b], pack_sorted(self.sorted[a:b])
 
-    def answered(self, bodies: dict[int, bytes], dtype) -> np.ndarray:
-        """The ranges' answers, in the order of the keys."""
-        out = np.zeros(len(self.order), dtype)
-        if len(out):
-            out[self.order] = np.concatenate([from_planes(bodies[r], dtype) for r in sorted(bodies)])
+    def answered(self, bodies: dict[int, bytes], numbers: int) -> np.ndarray:
+        """The ranges' answers, some numbers a key, in the order of the keys."""
+        out = np.zeros((numbers, len(self.order)), np.int64)
+        if len(self.order):
+            out[:, self.order] = np.concatenate([from_planes(bodies[r], np.int64).reshape(numbers, -1) for r in sorted(bodies)], axis=1)
         return out
 
 
@@ -125,14 +126,14 @@ class _Slice:
     the last word after the others), ``rest`` (lambda of the n-gram as a context,
     0 if it is not retained) and ``at`` (each token's n-gram that ends there, or -1)."""
 
-    def __init__(self, row: pd.Series, bits: int, replies: pd.DataFrame | None, total: tuple[int, int]):
+    def __init__(self, row: pd.Series, bits: int, total: tuple[int, int], rounds: int):
         self.number, self.bits, self.total = int(row["slice"]), bits, total
         self.offsets = np.frombuffer(row["offsets"], "<i8")
         self.flags, self.ids = np.frombuffer(row["flags"], np.uint8), np.frombuffer(row["ids"], "<i8")
         self.replies: dict[int, dict[int, bytes]] = {}
-        if replies is not None:
-            for kind, r, body in zip(replies["kind"], replies["range"], replies["body"]):
-                self.replies.setdefault(int(kind), {})[int(r)] = body
+        for k in range(rounds):
+            for r in () if row[f"got{k}"] is None else row[f"got{k}"]:
+                self.replies.setdefault(int(r["kind"]), {})[int(r["range"])] = bytes(r["body"])
         self.hash = [np.zeros(0, _U), unpack_sorted(row["words"])]
         self.at = [np.zeros(0, np.int64), from_planes(row["places"], np.uint32).astype(np.int64)]
         self.train = np.repeat(self.flags & 1 == 0, np.diff(self.offsets))
@@ -150,7 +151,7 @@ class _Slice:
     def _counts(self, order: int) -> None:
         if order in self.replies or (self.replies and not len(self.asked[order])):
             value = np.zeros(len(self.hash[order]), np.int64)
-            value[self.asked[order]] = self.keys[order].answered(self.replies.get(order, {}), np.int64)
+            value[self.asked[order]] = self.keys[order].answered(self.replies.get(order, {}), 1)[0]
             self.count.append(value >> 1)
             self.lead.append((value & 1).astype(bool))
 
@@ -163,13 +164,15 @@ class _Slice:
         if order > 2:
             use[use] = self.count[order - 1][before[use]] >= SUPPORT
         token = np.flatnonzero(use)
-        key, some, place = np.unique((before[token] << 32) | self.at[1][token], return_index=True, return_inverse=True)
+        key, place = np.unique((before[token] << 32) | self.at[1][token], return_inverse=True)
+        some = np.zeros(len(key), np.int64)  # one token of each n-gram
+        some[place] = token
         at = np.full(len(self.first), -1, np.int64)
         at[token] = place
         context = key >> 32
         self.at.append(at)
         self.context.append(context)
-        self.below.append(self.at[order - 1][token[some]])
+        self.below.append(self.at[order - 1][some])
         self.hash.append(mix(self.hash[order - 1][context] * _U(0x9E3779B97F4A7C15) + self.hash[1][key & 0xFFFFFFFF]))
         ask = self.count[order - 1][self.below[order]] >= SUPPORT if order > 2 else np.ones(len(key), bool)
         self.asked.append(np.flatnonzero(ask))
@@ -179,9 +182,11 @@ class _Slice:
 
     def learn(self, order: int) -> None:
         """Retained contexts of ``order - 1`` words and P of the n-grams."""
-        found = _Keys(self.hash[order - 1][self.states[order]], self.bits).answered(self.replies.get(1 - order, {}), np.float64)
+        states = self.states[order]
+        stored_, successors = _Keys(self.hash[order - 1][states], self.bits).answered(self.replies.get(1 - order, {}), 2)
+        rest = np.clip(1 - (stored_ - DISCOUNT * successors) / np.maximum(self.count[order - 1][states], 1), 1e-12, 1)
         self.rest.append(np.zeros(len(self.hash[order - 1])))
-        self.rest[-1][self.states[order]] = found
+        self.rest[-1][states] = np.where(successors > 0, rest, 0.0)
         context, c = self.context[order], self.count[order]
         lower, rest = self.log_p[order - 1][self.below[order]], self.rest[order - 1][context]
         state = rest > 0
@@ -237,7 +242,7 @@ def _merged(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, in
     """(message sizes, order by key, place of each entry's key, distinct keys)."""
     keys = [unpack_sorted(k) for k in group["keys"]]
     size, keys = np.array([len(k) for k in keys]), np.concatenate(keys)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     new = np.concatenate(([True], np.diff(keys[order]) != 0))
     place = np.empty(len(keys), np.int64)
     place[order] = np.cumsum(new) - 1
@@ -257,7 +262,8 @@ def _total_counts(kind: int, group: pd.DataFrame) -> tuple[np.ndarray, np.ndarra
 
 
 def _states(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(message sizes, lambda of the retained contexts, 0 of the others)."""
+    """(message sizes, occurrences of the successors and their number: lambda
+    follows from them; 0 of contexts that are not retained)."""
     size, _, place, k = _merged(group)
     has = np.concatenate([np.unpackbits(np.frombuffer(a, np.uint8), count=s) for a, s in zip(group["adds"], size)]).astype(bool)
     at = place[has]
@@ -270,8 +276,7 @@ def _states(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     p_rest, q_rest = np.maximum(1 - stored_ / n, 0), np.maximum(1 - q, 1e-12)
     divergence = divergence + np.where(p_rest > 0, p_rest * np.log(np.maximum(p_rest, 1e-300) / q_rest), 0)
     state = (successors > 0) & (2 * n * divergence > successors * np.log(np.maximum(n, 2)))
-    rest = np.clip(1 - (stored_ - DISCOUNT * successors) / n, 1e-12, 1)
-    return size, np.where(state, rest, 0.0)[place]
+    return size, np.where(state, np.stack((stored_, successors)), 0).astype(np.int64)[:, place]
 
 
 def _answer(group: pd.DataFrame) -> pd.DataFrame:
@@ -286,7 +291,7 @@ def _answer(group: pd.DataFrame) -> pd.DataFrame:
         else:
             size, value = _states(some)
         ends = np.cumsum(size)
-        out += [(s, r, int(kind), planes(value[e - k : e])) for s, e, k in zip(some["slice"], ends, size)]
+        out += [(s, r, int(kind), planes(value[..., e - k : e].ravel())) for s, e, k in zip(some["slice"], ends, size)]
     frame = pd.DataFrame(out, columns=["slice", "range", "kind", "body"])
     return frame.astype({"slice": "Int64"})
 
@@ -297,33 +302,42 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     train_tokens, base_score (add-one unigram) and score, in log10."""
     bits = buckets_for(text_bytes(docs, text_col), RANGE_BYTES).bit_length() - 1
     rows = keyed(docs, id_col, text_col).withColumn("held_out", held_out).select("doc_id", "held_out", "text")
-    cut = stored(rows.mapInArrow(_cut, _SLICE), "lm-slices")
+
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        out = stored_by(df, tag, "slice", 1 << bits)
+        docs.sparkSession._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of the rounds that are done
+        return out
+
+    cut = kept(rows.mapInArrow(_cut, _SLICE), "lm-slices")
     names = [f.split(" ")[0] for f in _MESSAGE.split(", ")]
+    replies: list[DataFrame] = []
 
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
-        for batch in batches:
-            for row in batch.to_pylist():
-                part = _Slice(row, bits, None, (0, 0))
-                part.grams(2)
-                out = part.ask_counts(1) + part.ask_counts(2)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+    def each_slice(work, schema: str) -> DataFrame:
+        """What ``work`` makes of each slice and the replies to it so far."""
+        met = cut
+        for k, some in enumerate(replies):
+            got = some.where("slice is not null").groupBy("slice").agg(F.collect_list(F.struct("range", "kind", "body")).alias(f"got{k}"))
+            met = met.join(got, "slice", "left")
+        rounds = len(replies)
+        return met.groupBy("slice").applyInPandas(lambda own: work(own.iloc[0], rounds), schema)
 
     def replies_to(messages: DataFrame) -> DataFrame:
-        out = stored(messages.groupBy("range").applyInPandas(_answer, _REPLY), "lm-replies")
-        docs.sparkSession._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of the rounds that are done
-        return out
+        return kept(messages.groupBy("range").applyInPandas(_answer, _REPLY), "lm-replies")
+
+    def begin(row: pd.Series, rounds: int) -> pd.DataFrame:
+        part = _Slice(row, bits, (0, 0), rounds)
+        part.grams(2)
+        return pd.DataFrame(part.ask_counts(1) + part.ask_counts(2), columns=names)
 
-    replies = replies_to(cut.mapInArrow(begin, _MESSAGE))
-    sizes = [np.frombuffer(r["body"], np.int64) for r in replies.where("kind = 0").select("body").collect()]  # one per range
+    replies.append(replies_to(each_slice(begin, _MESSAGE)))
+    sizes = [np.frombuffer(r["body"], np.int64) for r in replies[0].where("slice is null").select("body").collect()]  # one per range
     v, n = (int(x) for x in np.sum(sizes, axis=0)) if sizes else (0, 0)
-    replies = replies.where("kind <> 0")
 
     def go_on(step: int):
         """States of contexts of ``step`` words, counts of the next n-grams."""
 
-        def ask(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-            part = _Slice(own.iloc[0], bits, got, (n, v))
+        def ask(row: pd.Series, rounds: int) -> pd.DataFrame:
+            part = _Slice(row, bits, (n, v), rounds)
             part.grams(2)
             for order in range(2, step + 1):
                 part.learn(order)
@@ -336,14 +350,13 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
 
         return ask
 
-    def finish(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        part = _Slice(own.iloc[0], bits, got, (n, v))
+    def finish(row: pd.Series, rounds: int) -> pd.DataFrame:
+        part = _Slice(row, bits, (n, v), rounds)
         for order in range(2, DEPTH + 2):
             part.grams(order)
             part.learn(order)
         return part.scored()
 
-    meet = lambda: cut.groupBy("slice").cogroup(replies.groupBy("slice"))
     for step in range(1, DEPTH + 1):
-        replies = replies.unionByName(replies_to(meet().applyInPandas(go_on(step), _MESSAGE)))
-    return meet().applyInPandas(finish, _RESULT)
+        replies.append(replies_to(each_slice(go_on(step), _MESSAGE)))
+    return each_slice(finish, _RESULT)

@@ -114,3 +114,11 @@ def test_rare_ngrams_are_stored_in_a_large_corpus(spark, docs_frame):
     out = {r.doc_id: r.score for r in score_documents(docs_frame(rows), F.col("doc_id") >= 160).collect()}
     for i, text in rows[22:]:
         assert out[i] == pytest.approx(model.score(tokens(text)))
+
+
+def test_slices_and_replies_are_not_shuffled_again(spark, docs_frame):
+    out = score_documents(docs_frame([(i, f"a b c{i % 3}") for i in range(50)]), F.lit(False))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "FlatMapGroupsInPandas" in plan
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lm_")]
+    assert out.count() == 50
