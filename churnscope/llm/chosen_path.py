@@ -324,16 +324,18 @@ def _compare(group: pd.DataFrame) -> pd.DataFrame:
         np.fill_diagonal(link, False)
     if not link.any():
         return nothing
-    links, to = np.zeros(len(rep), np.int64), rep.copy()
-    links[rows] += link @ weight[cols]
-    if not same:
-        links[cols] += link.T @ weight[rows]
-    a, b = np.nonzero(link)
-    b = b + (0 if same else left)
+    links, to, most = np.zeros(len(rep), np.int64), rep.copy(), np.iinfo(np.int64).max
+    parts = [slice(k, k + 128) for k in range(0, len(link), 128)]  # of the rows: as numbers, the whole matrix is large
+    for part in parts:
+        links[rows][part] += link[part] @ weight[cols]
+        if not same:
+            links[cols] += link[part].T @ weight[rows][part]
     while True:
         least = to.copy()
-        np.minimum.at(least, a, to[b])
-        np.minimum.at(least, b, to[a])
+        for part in parts:
+            least[rows][part] = np.minimum(least[rows][part], np.where(link[part], to[cols], most).min(axis=1))
+            if not same:
+                least[cols] = np.minimum(least[cols], np.where(link[part], to[rows][part][:, None], most).min(axis=0))
         if (least == to).all():
             break
         to = least

@@ -34,7 +34,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -206,13 +206,9 @@ KINDS = ["source", "lang", "length"]
 _META = [f"{kind}_{side}" for kind in KINDS for side in ("positive", "negative")]
 
 
-def feature_table(
-    docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    source_col: str = "source", length_col: str = "n_chars",
-) -> DataFrame:
-    """``row`` (the columns ``carry``), ``id``, the metadata values as strings
-    (``source``, ``lang``, ``length``: a power of two) and ``view``, the text
-    features as 32-bit numbers."""
+def _sources(docs: DataFrame, carry: list[str], id_col: str, text_col: str, lang_col: str, source_col: str, length_col: str) -> tuple[DataFrame, list[str], Column]:
+    """Text and metadata values of the documents, the columns that go along
+    with them, and ``row`` made of these."""
     value = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
     length = F.col(length_col).cast("double")
     rest = [F.col(f"`{c}`") for c in carry if c != text_col] or [F.lit(0).alias("none")]
@@ -221,20 +217,33 @@ def feature_table(
         value(F.col(lang_col)).alias("lang"), value(F.floor(F.log2(F.greatest(length, F.lit(0.0)) + 1))).alias("length"),
         F.col(text_col).cast("string").alias("text"),
     )
-    with_text = text_col in carry
-    kept = ["rest", "id", *KINDS, *(["text"] if with_text else [])]
+    row = [F.col("text").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in carry]
+    return source, ["rest", *(["text"] if text_col in carry else [])], (F.struct(*row) if row else F.lit(None)).alias("row")
+
+
+def _views(part: pa.RecordBatch) -> np.ndarray:
+    """The text features as 32-bit numbers."""
+    return text_features(*column_bytes(part.column("text"))).astype("<f4")
+
+
+def feature_table(
+    docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    source_col: str = "source", length_col: str = "n_chars",
+) -> DataFrame:
+    """``row`` (the columns ``carry``), ``id``, the metadata values as strings
+    (``source``, ``lang``, ``length``: a power of two) and ``view``, the text
+    features as 32-bit numbers."""
+    source, along, row = _sources(docs, carry, id_col, text_col, lang_col, source_col, length_col)
+    kept = [*along, "id", *KINDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                found = text_features(*column_bytes(part.column("text"))).astype("<f4")
-                view = pa.array([r.tobytes() for r in found], pa.binary())
+                view = pa.array([r.tobytes() for r in _views(part)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], view], [*kept, "view"])
 
     schema = T.StructType([source.schema[c] for c in kept] + [T.StructField("view", T.BinaryType())])
-    made = source.mapInArrow(run, schema)
-    row = [F.col("text").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in carry]
-    return made.select(F.struct(*row).alias("row") if row else F.lit(None).alias("row"), "id", *KINDS, "view")
+    return source.mapInArrow(run, schema).select(row, "id", *KINDS, "view")
 
 
 def _text_of(batch: pa.RecordBatch) -> np.ndarray:
@@ -408,6 +417,17 @@ def score_documents(
     lang_col: str = "lang", source_col: str = "source", length_col: str = "n_chars",
 ) -> DataFrame:
     """``score_features`` of any documents; ``row`` holds the columns ``carry``
-    (all by default)."""
-    carry = docs.columns if carry is None else carry
-    return score_features(feature_table(docs, carry, id_col, text_col, lang_col, source_col, length_col), fitted)
+    (all by default).  One pass of Python: features and scores are made together."""
+    carry, model = docs.columns if carry is None else carry, fitted.model
+    source, along, row = _sources(docs, carry, id_col, text_col, lang_col, source_col, length_col)
+    joined = _with_evidence(source, fitted.evidence).select(*dict.fromkeys([*along, "text"]), *_META)
+    names = ["quality", "text_view", "meta_view"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                found = model.scores(_views(part).astype(float), _meta_of(part, model.base))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in along], *map(pa.array, found)], [*along, *names])
+
+    schema = T.StructType([source.schema[c] for c in along] + [T.StructField(n, T.DoubleType()) for n in names])
+    return joined.mapInArrow(run, schema).select(row, *names)

@@ -138,3 +138,16 @@ def test_nulls_repeats_one_class_and_no_labels(spark):
     scored = score_documents(docs, fit(docs, two)).collect()
     assert all(0 <= r.quality <= 1 for r in scored) and len({r.quality for r in scored if r.row.doc_id == 3}) == 1
     assert score_documents(docs.limit(0), fit(docs.limit(0), none)).collect() == []
+
+
+def test_documents_are_scored_by_one_python_step(spark):
+    """A task holds a worker for each: two of them broke the pipeline's memory."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    fitted = cq.fit(docs, labels)
+    scored = cq.score_documents(docs, fitted)
+    assert scored._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert scored.select("row.*").dtypes == docs.dtypes
+    apart = cq.score_features(cq.feature_table(docs, ["doc_id"]), fitted)
+    key = ["row.doc_id", "quality", "text_view", "meta_view"]
+    assert sorted(scored.select(*key).collect()) == sorted(apart.select(*key).collect())
