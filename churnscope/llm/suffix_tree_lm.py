@@ -56,6 +56,7 @@ DEPTH = 2
 SUPPORT = 2  # occurrences of a stored n-gram
 DISCOUNT = 0.75
 RANGE_BYTES = 1 << 24  # text bytes per hash range
+FILE_BYTES = 1 << 23  # text bytes of the slices that one task holds
 FLUSH = 3 << 17  # tokens of a slice, about
 _TOKEN_BYTES = 6
 _U = np.uint64
@@ -300,11 +301,12 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     """Learns from the rows for which ``held_out`` (over ``doc_id``) is false
     and scores all.  Returns doc_id, held_out, n_tokens (words and end), n_known,
     train_tokens, base_score (add-one unigram) and score, in log10."""
-    bits = buckets_for(text_bytes(docs, text_col), RANGE_BYTES).bit_length() - 1
+    total = text_bytes(docs, text_col)
+    bits, files = buckets_for(total, RANGE_BYTES).bit_length() - 1, buckets_for(total, FILE_BYTES)
     rows = keyed(docs, id_col, text_col).withColumn("held_out", held_out).select("doc_id", "held_out", "text")
 
     def kept(df: DataFrame, tag: str) -> DataFrame:
-        out = stored_by(df, tag, "slice", 1 << bits)
+        out = stored_by(df, tag, "slice", files)
         docs.sparkSession._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of the rounds that are done
         return out
 
