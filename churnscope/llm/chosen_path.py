@@ -18,7 +18,10 @@ are exact.
 Scale.
 * Equal sets are one representative with a weight, so copies are never paired.
 * Buckets hold 8-byte keys; a bucket with the same members as another one is
-  dropped, and only members of shared buckets send their sets.
+  dropped, and only members of shared buckets send their sets, those of one
+  block together and compressed.
+* A bucket of more sets than a block holds becomes one bucket for every two
+  neighbouring classes of set sizes: similar sets differ by a quarter at most.
 * A bucket of many sets is compared as pairs of blocks of bounded size; a pair
   of texts is counted only in the first bucket that both are in.  Blocks do
   not emit pairs: each member sends the weight of its links and one edge of a
@@ -52,6 +55,7 @@ LEVELS = 3
 LIMIT = 8192
 BLOCK_SETS = 3072
 BLOCK_TOKENS = 1 << 20
+SIZE_STEP = 1.26  # over 1 / 0.8, so that rounding parts no similar pair
 TOKEN_BYTES = 5  # of a token in the sets that are compared
 SLICE_BYTES = 1 << 20
 _U = np.uint64
@@ -91,15 +95,21 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def pack_set(token: np.ndarray) -> bytes:
-    """A set as sorted differences of 40-bit tokens, byte plane by byte plane.
-    Two of n tokens fall together with probability n^2 / 2^41."""
+    """A set as sorted differences of 40-bit tokens, one after the other.  Two
+    of n tokens fall together with probability n^2 / 2^41."""
     short = np.sort(token >> _U(64 - 8 * TOKEN_BYTES))
-    return np.diff(short, prepend=_U(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].T.tobytes()
+    return np.diff(short, prepend=_U(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes()
 
 
-def unpack_set(raw: bytes) -> np.ndarray:
+def turned(raw: bytes) -> bytes:
+    """The same byte plane by byte plane, which is smaller for a set alone."""
+    return np.frombuffer(raw, np.uint8).reshape(-1, TOKEN_BYTES).T.tobytes()
+
+
+def unpack_set(raw: bytes, rows: bool) -> np.ndarray:
     parts = np.zeros((len(raw) // TOKEN_BYTES, 8), np.uint8)
-    parts[:, :TOKEN_BYTES] = np.frombuffer(raw, np.uint8).reshape(TOKEN_BYTES, -1).T
+    flat = np.frombuffer(raw, np.uint8)
+    parts[:, :TOKEN_BYTES] = flat.reshape(-1, TOKEN_BYTES) if rows else flat.reshape(TOKEN_BYTES, -1).T
     return np.cumsum(parts.view("<u8").ravel(), dtype=_U)
 
 
@@ -121,16 +131,19 @@ def chosen(token: np.ndarray, offsets: np.ndarray, n_runs: int, first: int = 0)
     return out
 
 
-_SETS = "doc_id long, row_key long, k1 long, k2 long, n long, chosen array<array<bigint>>, deeper array<array<bigint>>"
+_SETS = "doc_id long, row_key long, k1 long, k2 long, n long, chosen array<array<bigint>>, deeper array<array<int>>"
 
 
-def _lists(chosen_: list[tuple[np.ndarray, np.ndarray]], n: int) -> pa.Array:
-    """Per document, its tokens of each of some choices."""
+def _lists(chosen_: list[tuple[np.ndarray, np.ndarray]], n: int, short: bool = False) -> pa.Array:
+    """Per document, its tokens of each of some choices; ``short``: their upper
+    halves, as two tokens under one name only make a bucket larger."""
     m = len(chosen_)
     cuts = [np.searchsorted(doc, np.arange(n + 1)) for doc, _ in chosen_]
     sizes = np.stack([np.diff(c) for c in cuts], axis=1).ravel()  # by document, then choice
     at = np.concatenate([np.repeat(np.arange(n) * m + k, np.diff(c)) for k, c in enumerate(cuts)])
-    values = np.concatenate([token for _, token in chosen_]).view(np.int64)[np.argsort(at, kind="stable")]
+    values = np.concatenate([token for _, token in chosen_])
+    values = (values >> _U(32)).astype(np.uint32).view(np.int32) if short else values.view(np.int64)
+    values = values[np.argsort(at, kind="stable")]
     inner = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values))
     return pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * m).astype(np.int32)), inner)
 
@@ -154,7 +167,7 @@ def _describe(n_runs: int, first: int = 0):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), part.column("row_key"), pa.array(sums[0]), pa.array(sums[1]), pa.array(np.diff(offsets)),
-                        _lists(top, n), _lists(deeper, n),
+                        _lists(top, n), _lists(deeper, n, short=True),
                     ],
                     ["doc_id", "row_key", "k1", "k2", "n", "chosen", "deeper"],
                 )
@@ -162,6 +175,26 @@ def _describe(n_runs: int, first: int = 0):
     return run
 
 
+def _shared(level: DataFrame) -> DataFrame:
+    """The rows of buckets of several sets, with how many sets and tokens their
+    bucket has and two sums over its members."""
+    same = Window.partitionBy("bucket")
+    rows = level.withColumn("members", F.count(F.lit(1)).over(same)).where("members > 1")
+    return rows.select(
+        "*", F.sum("n").over(same).alias("tokens"),
+        F.bit_xor(F.xxhash64("rep")).over(same).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), F.col("rep"))).over(same).alias("b"),
+    )
+
+
+def _size_bands(level: DataFrame) -> DataFrame:
+    """Each bucket as one for every two neighbouring classes of set sizes.  Sizes
+    of similar sets differ by a factor of at most 1.25, a class spans a little
+    more, so a similar pair meets in a band."""
+    size_class = F.floor(F.log("n") / math.log(SIZE_STEP))
+    bands = level.select("rep", "n", "run", "bucket", F.explode(F.array(size_class, size_class + 1)).alias("band"))
+    return bands.withColumn("bucket", F.xxhash64("bucket", "band")).drop("band")
+
+
 def _buckets(sets: DataFrame, first: int = 0) -> tuple[DataFrame, DataFrame | None]:
     """(bucket, rep, n, members, tokens): the buckets that are compared, with
     their members, and how many sets and tokens they have; and (rep), the members
@@ -172,25 +205,24 @@ def _buckets(sets: DataFrame, first: int = 0) -> tuple[DataFrame, DataFrame | No
     )
     ready, split = [], None
     for depth in range(1, LEVELS + 1):
-        level = stored(level, "path-level")
-        size = level.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"),
-            F.bit_xor(F.xxhash64("rep")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), F.col("rep"))).alias("b"),
-        ).where("members > 1")
+        level = stored(_shared(level), "path-level")
+        if depth == 1:
+            wide = (F.col("members") > BLOCK_SETS) | (F.col("tokens") > BLOCK_TOKENS)
+            level = level.where(~wide).unionByName(stored(_shared(_size_bands(level.where(wide))), "size-bands"))
         # buckets with the same members: one is enough
-        small = size.where(F.col("members") <= LIMIT) if depth < LEVELS else size
-        one = small.groupBy("members", "tokens", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket", "members", "tokens")
-        ready.append(level.join(one, "bucket").select("bucket", "rep", "n", "members", "tokens"))
-        big = size.where(F.col("members") > LIMIT)
-        if depth == LEVELS or not big.limit(1).count():
+        small = level.where(F.col("members") <= LIMIT) if depth < LEVELS else level
+        one = small.groupBy("members", "tokens", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket")
+        ready.append(small.join(one, "bucket").select("bucket", "rep", "n", "members", "tokens"))
+        parents = level.where(F.col("members") > LIMIT)
+        if depth == LEVELS or not parents.limit(1).count():
             break
-        parents = level.join(big, "bucket")
-        child = (
-            parents.join(sets.select("rep", "deeper"), "rep")
-            .select("rep", "n", "run", F.col("bucket").alias("parent"), "members", "tokens", F.explode(F.expr(f"deeper[run * {LEVELS - 1} + {depth - 1}]")).alias("token"))
-            .withColumn("bucket", F.xxhash64("parent", "token"))
-        )
-        child = stored(child, "path-children")
+        if depth == 1:  # the members of large buckets take the tokens of their run along
+            later = F.slice("deeper", F.col("run") * (LEVELS - 1) + 1, F.lit(LEVELS - 1)).alias("deeper")
+            parents = parents.join(sets.select("rep", "deeper"), "rep").select("bucket", "rep", "n", "members", "tokens", later)
+        parents = stored(parents, "large-members")
+        big = parents.groupBy("bucket").agg(F.first("members").alias("members"))
+        child = parents.select("rep", "n", F.col("bucket").alias("parent"), "deeper", F.explode(F.col("deeper")[depth - 1]).alias("token"))
+        child = stored(child.withColumn("bucket", F.xxhash64("parent", "token")).drop("token"), "path-children")
         largest = child.groupBy("parent", "bucket").agg(F.count(F.lit(1)).alias("k")).groupBy("parent").agg(F.max("k").alias("k"))
         dense = big.join(largest, big["bucket"] == largest["parent"], "left").where(
             F.coalesce(F.col("k"), F.lit(0)) * 2 > F.col("members")
@@ -199,7 +231,7 @@ def _buckets(sets: DataFrame, first: int = 0) -> tuple[DataFrame, DataFrame | No
         ready.append(parents.join(dense, "bucket", "left_semi").select("bucket", "rep", "n", "members", "tokens"))
         if split is None:  # members of buckets split deeper are among them
             split = parents.join(dense, "bucket", "left_anti").select("rep").distinct()
-        level = child.join(dense.withColumnRenamed("bucket", "parent"), "parent", "left_anti").select("rep", "n", "run", "bucket")
+        level = child.join(dense.withColumnRenamed("bucket", "parent"), "parent", "left_anti").select("rep", "n", "bucket", "deeper")
     members = ready[0]
     for more in ready[1:]:
         members = members.unionByName(more)
@@ -237,7 +269,7 @@ def _shares(members: DataFrame) -> DataFrame:
     )
 
 
-_MEMBER = "bucket long, i int, j int, block int, rep long, weight long, tokens binary, others binary"
+_PACK = "bucket long, i int, j int, block int, reps binary, weights binary, sizes binary, n_earlier binary, sets binary"
 
 
 def _block_pairs(b: dict, mine: int) -> Iterator[tuple[int, int, int]]:
@@ -255,28 +287,67 @@ def _block_pairs(b: dict, mine: int) -> Iterator[tuple[int, int, int]]:
             yield other, block, block
 
 
+def _pack_members(members: list[tuple[int, int, bytes, np.ndarray]]) -> tuple[bytes, bytes, bytes, bytes, bytes]:
+    """Identities, weights, set sizes, numbers of earlier buckets, and the sets
+    with these buckets.  Members of one bucket share tokens, which compression
+    finds among several of them."""
+    reps, weights, packed, earlier = zip(*members)
+    sizes = np.array([len(p) for p in packed], np.int32) // TOKEN_BYTES
+    body = b"".join([*packed, *[e.tobytes() for e in earlier]])
+    if len(members) > 1:
+        body = pa.compress(body, codec="zstd", asbytes=True)
+    n_earlier = np.array([len(e) for e in earlier], np.int32)
+    return np.array(reps, np.int64).tobytes(), np.array(weights, np.int64).tobytes(), sizes.tobytes(), n_earlier.tobytes(), body
+
+
+def _unpack_members(sizes: bytes, n_earlier: bytes, body: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The sets and the earlier buckets of a pack's members."""
+    size, count = np.frombuffer(sizes, np.int32).astype(np.int64), np.frombuffer(n_earlier, np.int32)
+    ends = np.cumsum(size) * TOKEN_BYTES
+    if len(size) > 1:
+        body = pa.decompress(body, decompressed_size=int(ends[-1] + 8 * count.sum()), codec="zstd", asbytes=True)
+    sets = [unpack_set(body[a:b], rows=len(size) > 1) for a, b in zip(ends - size * TOKEN_BYTES, ends)]
+    return sets, np.split(np.frombuffer(body[ends[-1] :], np.int64), np.cumsum(count)[:-1])
+
+
 def _send_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's set to the comparisons of its buckets."""
-    names = [f.split(" ")[0] for f in _MEMBER.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    """The texts' sets to the comparisons of their buckets, those of a block in
+    one row as far as a task holds them at once."""
+    names = [f.split(" ")[0] for f in _PACK.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 5]
+    waiting: dict[tuple[int, int], tuple[list, list]] = {}  # (bucket, block): comparisons, members
+
+    def packs() -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for (bucket, block), (pairs, members) in waiting.items():
+            pack = _pack_members([(rep, weight, raw if len(members) > 1 else turned(raw), numbers[numbers < bucket]) for rep, weight, raw, numbers in members])
+            out += [(bucket, i, j, block, *pack) for i, j in pairs]
+            size += len(pairs) * sum(map(len, pack))
+            if size > 4 * SLICE_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+        waiting.clear()
+
+    held = 0
     for batch in batches:
         for part in slices(batch, "text", SLICE_BYTES // 2):
             token, offsets = shingle_sets(*column_bytes(part.column("text")))
             columns = zip(part.column("rep").to_pylist(), part.column("weight").to_pylist(), part.column("buckets").to_pylist())
-            out, held = [], 0
             for at, (rep, weight, buckets) in enumerate(columns):
                 raw = pack_set(token[offsets[at] : offsets[at + 1]])
-                others = np.sort(np.array([b["bucket"] for b in buckets], np.int64)).tobytes()
+                numbers = np.sort(np.array([b["bucket"] for b in buckets], np.int64))
                 mine = int(mix(np.array([rep], np.int64).view(_U))[0])
                 for b in buckets:
-                    for i, j, block in _block_pairs(b, mine):
-                        out.append((b["bucket"], i, j, block, rep, weight, raw, others))
-                        held += len(raw)
-                    if held > 8 * SLICE_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
-                        out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                    pairs = list(_block_pairs(b, mine))
+                    key = b["bucket"], pairs[0][2]
+                    waiting.setdefault(key, ([(i, j) for i, j, _ in pairs], []))[1].append((rep, weight, raw, numbers))
+                held += len(raw) + numbers.nbytes + 256 * len(buckets)
+            if held > 8 * SLICE_BYTES:
+                yield from packs()
+                held = 0
+    yield from packs()
 
 
 def _common(lists: list[np.ndarray], split: int) -> np.ndarray:
@@ -304,22 +375,24 @@ def _common(lists: list[np.ndarray], split: int) -> np.ndarray:
 def _compare(group: pd.DataFrame) -> pd.DataFrame:
     """(rep, links, to): weight of the links of each member counted here, and
     the smallest member of its component among them."""
-    group = group.drop_duplicates("rep")
-    bucket, same = int(group["bucket"].iloc[0]), group["i"].iloc[0] == group["j"].iloc[0]
-    group = group.sort_values(["block", "rep"], kind="stable")
-    left = 0 if same else int((group["block"] == group["i"].iloc[0]).sum())
+    same = group["i"].iloc[0] == group["j"].iloc[0]
+    rep, weight = (np.concatenate([np.frombuffer(raw, np.int64) for raw in group[c]]) for c in ("reps", "weights"))
+    block = np.repeat(group["block"].to_numpy(), group["reps"].map(len) // 8)
+    order = np.lexsort((rep, block))
+    order = order[np.diff(rep[order], prepend=~rep[order[:1]]) != 0]  # repeated rows sent theirs twice
+    left = 0 if same else int((block[order] == group["i"].iloc[0]).sum())
     nothing = pd.DataFrame({"rep": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "to": np.zeros(0, np.int64)})
-    if len(group) < 2 or (not same and left in (0, len(group))):
+    if len(order) < 2 or (not same and left in (0, len(order))):
         return nothing
-    sets = [unpack_set(t) for t in group["tokens"]]
-    others = [np.frombuffer(o, np.int64) for o in group["others"]]
+    packs = [_unpack_members(*p) for p in zip(group["sizes"], group["n_earlier"], group["sets"])]
+    sets, others = ([x for p in packs for x in p[k]] for k in (0, 1))
+    sets, others, rep, weight = [sets[k] for k in order], [others[k] for k in order], rep[order], weight[order]
     size = np.array([len(s) for s in sets])
-    rep, weight = group["rep"].to_numpy(), group["weight"].to_numpy()
     rows, cols = (slice(None), slice(None)) if same else (slice(0, left), slice(left, None))
     link = _common(sets, left)
     # |a & b| / |a | b| >= 0.8, row by row: the matrix stays small
     link = np.stack([9 * shared.astype(np.int64) >= 4 * (a + size[cols]) for a, shared in zip(size[rows], link)])
-    link &= _common([o[o < bucket] for o in others], left) == 0  # counted in the first common bucket
+    link &= _common(others, left) == 0  # counted in the first common bucket
     if same:
         np.fill_diagonal(link, False)
     if not link.any():
@@ -356,12 +429,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "set-representatives",
     )
     rows = described.select(F.col("row_key").alias("rep"), "chosen", "deeper").join(reps.where("n > 0").select("rep", "n"), "rep")
-    if described.groupBy("row_key").count().where("count > 1").limit(1).count():
-        rows = rows.dropDuplicates(["rep"])  # rows that repeat id and text
+    repeated = described.groupBy("row_key").count().where("count > 1").limit(1).count()  # rows that repeat id and text
+    if repeated:
+        rows = rows.dropDuplicates(["rep"])
     members, split = _buckets(rows)
     if split is not None and (extra := more_runs()):
         split = stored(split.join(reps.select("rep", "n"), "rep"), "split-sets")
-        texts = own.join(split.select(F.col("rep").alias("row_key")), "row_key", "left_semi").dropDuplicates(["row_key"])
+        texts = own.join(split.select(F.col("rep").alias("row_key")), "row_key", "left_semi")
+        if repeated:
+            texts = texts.dropDuplicates(["row_key"])
         again = texts.select("doc_id", "row_key", "text").mapInArrow(_describe(extra, n_runs), _SETS)
         again = stored(again.select(F.col("row_key").alias("rep"), "n", "chosen", "deeper"), "more-runs")
         members = members.unionByName(_buckets(again, n_runs)[0])
@@ -371,7 +447,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ).join(reps.select("rep", "weight"), "rep")
     wanted = own.select(F.col("row_key").alias("rep"), "text").join(lists, "rep")
     compared = stored(
-        wanted.mapInArrow(_send_sets, _MEMBER).groupBy("bucket", "i", "j").applyInPandas(_compare, "rep long, links long, to long"), "links"
+        wanted.mapInArrow(_send_sets, _PACK).groupBy("bucket", "i", "j").applyInPandas(_compare, "rep long, links long, to long"), "links"
     )
     links = compared.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(compared.select(F.col("rep").alias("u"), F.col("to").alias("v")))

@@ -137,3 +137,27 @@ def test_recall_holds_over_all_levels():
     kept = (1 - np.exp(-0.8 * chosen_path.BRANCH)) ** chosen_path.LEVELS
     n = chosen_path.runs() + chosen_path.more_runs()
     assert np.exp(-0.8 * chosen_path.BRANCH * chosen_path.runs()) + (1 - kept) ** n <= (1 - chosen_path.RECALL) * (1 + 1e-9)
+
+
+def test_wide_buckets_are_compared_by_size(docs_frame, monkeypatch):
+    """Texts of many sizes that share a passage: a set goes to the comparisons
+    of its size, not to all blocks of its buckets."""
+    monkeypatch.setattr(chosen_path, "BLOCK_SETS", 8)
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(8))
+    texts = [" ".join([passage, *(f"w{rng.randrange(10**6)}" for _ in range(10 + 3 * k))]) for k in range(100)]
+    texts += [t + " end" for t in texts[::10]]
+    rows, plans = list(enumerate(texts)), []
+    monkeypatch.setattr(chosen_path, "_shares", lambda members, f=chosen_path._shares: plans.append(f(members)) or plans[-1])
+    check(near_duplicates(docs_frame(rows)).collect(), rows)
+    sent = [r.rest_blocks + r.first_blocks if r.rest else r.rest_blocks for r in plans[0].collect()]
+    assert max(sent) <= 6
+
+
+def test_size_bands_part_no_similar_pair(spark):
+    sizes = sorted({n for k in range(1, 400) for n in (4 * k, 5 * k)})
+    level = spark.createDataFrame([(n, n, 0, 1) for n in sizes], "rep long, n int, run int, bucket long")
+    bands = {}
+    for r in chosen_path._size_bands(level).collect():
+        bands.setdefault(r.rep, set()).add(r.bucket)
+    assert all(bands[4 * k] & bands[5 * k] for k in range(1, 400)) and not bands[100] & bands[200]
