@@ -109,3 +109,14 @@ def test_slices_without_repeats_keep_the_schema(spark, docs_frame):
     found = remove_repeats(docs_frame(rows).coalesce(1)).collect()
     cut = {r.row.doc_id: r.ends[0] - r.starts[0] for r in found if r.starts}
     assert len(found) == 70 and set(cut) == set(range(60, 70)) and all(500 <= n <= 504 for n in cut.values())
+
+
+def test_long_texts_are_worked_in_pieces(monkeypatch):
+    """A long text is hashed piece by piece, with every window in one segment."""
+    seen, work = [], suffix_dedup._slice_segments
+    monkeypatch.setattr(suffix_dedup, "_slice_segments", lambda data, *rest: seen.append(len(data)) or work(data, *rest))
+    data = np.random.default_rng(2).integers(0, 256, 1_000_000).astype(np.uint8)
+    _, first, width, *_ = suffix_dedup.segments(data, np.array([0, len(data)]), 400)
+    assert max(seen) <= 1 << 19
+    covered = np.concatenate([np.arange(a, a + w + 1) for a, w in zip(first, width)])
+    assert (np.sort(covered) == np.arange(len(data) - 399)).all()
