@@ -5,9 +5,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from churnscope.llm import queries, suffix_dedup
+from churnscope.llm.storage import keyed
 from churnscope.llm.suffix_dedup import multikey_sort, remove_repeats, segments
 
 
@@ -120,3 +122,39 @@ def test_long_texts_are_worked_in_pieces(monkeypatch):
     assert max(seen) <= 1 << 19
     covered = np.concatenate([np.arange(a, a + w + 1) for a, w in zip(first, width)])
     assert (np.sort(covered) == np.arange(len(data) - 399)).all()
+
+
+def test_equal_segments_of_a_slice_travel_together():
+    """One row for up to PACK places of a segment, and no place is lost."""
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    shared = text(2000)
+    texts = [text(rng.randint(0, 30)) + shared for _ in range(100)] + [shared + text(900), "", text(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["row_key", "text"])
+    rows = [r for out in suffix_dedup._find_segments(400)(iter([batch])) for r in out.to_pylist()]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    doc, first, width, lead, gram, content = segments(data, offsets, 400)
+    want = Counter(zip(doc, first - offsets[doc], width, lead, gram.view(np.int64), content.view(np.int64)))
+    got = Counter()
+    for r in rows:
+        places = [(r["row_key"], r["first"]), *[(o["row_key"], o["first"]) for o in r["others"] or ()]]
+        assert len(places) <= suffix_dedup.PACK
+        got.update((k, f, r["width"], r["lead"], r["gram"], r["content"]) for k, f in places)
+    assert got == want
+    kinds = Counter((r["gram"], r["content"]) for r in rows)
+    assert max(kinds.values()) == -(-101 // suffix_dedup.PACK) and len(rows) < len(first) / 2
+
+
+def test_copies_of_a_row_get_their_marks_once(spark, docs_frame):
+    """Rows that repeat id and text share a key: each mark is kept once, not
+    once a copy, as every copy receives all of them."""
+    rng = random.Random(7)
+    text = "".join(rng.choices("abcdefghij ", k=3000))
+    frame = docs_frame([(None, text)] * 50 + [(1, "x" + text)])
+    own = keyed(frame.repartition(4), "doc_id", "text").select("row_key", "text")
+    marks = suffix_dedup.repeat_marks(own, 400).collect()
+    windows = [sum(b - a for m in r.marks for a, b in zip(m["starts"], m["ends"])) for r in marks]
+    assert sorted(windows) == [2601, 2601]
+    got = remove_repeats(frame).collect()
+    assert Counter((r.row.doc_id, r.kept) for r in got) == {(None, ""): 50, (1, "x"): 1}
