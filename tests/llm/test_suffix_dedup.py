@@ -158,3 +158,47 @@ def test_copies_of_a_row_get_their_marks_once(spark, docs_frame):
     assert sorted(windows) == [2601, 2601]
     got = remove_repeats(frame).collect()
     assert Counter((r.row.doc_id, r.kept) for r in got) == {(None, ""): 50, (1, "x"): 1}
+
+
+def test_places_of_a_document_come_back_as_one_row(spark, docs_frame):
+    """A passage of several segments in n texts: one row a text with the ranges
+    of its repeated windows, not one row per segment and text."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    one, two = text(3000), text(2500)
+    texts = [text(600) + one + text(600) + (two if i % 2 else "") + text(50) for i in range(80)]
+    frame = docs_frame(list(enumerate(texts))).repartition(3)
+    own = keyed(frame, "doc_id", "text").select("row_key", "text")
+    found = suffix_dedup.repeated_windows(own, 400).collect()
+    whole = [r for r in found if r.ends[-1] - r.starts[0] > 1500]  # the others: windows at the passages' edges
+    assert Counter(r.row_key for r in whole) == {r.row_key: 1 for r in own.collect()}
+    assert Counter(len(r.starts) for r in whole) == {1: 40, 2: 40}
+    assert len(found) <= 80 * 5
+    want = dict(enumerate(brute([t.encode() for t in texts], 400)))
+    assert {r.row.doc_id: list(zip(r.starts, r.ends)) for r in remove_repeats(frame).collect()} == want
+
+
+@pytest.mark.parametrize("rows", [1, 2, 7, 1000])
+def test_slices_span_batches(rows):
+    """Packs of slices that go on in the next batch, in batches of any size."""
+    rng = random.Random(9)
+    data, want = [], {}
+    for number in range(12):
+        for key in rng.sample(range(100), 4):
+            edges = sorted(rng.sample(range(60), 8))
+            for a, b in zip(edges, edges[1:]):
+                data.append({"slice": number, "row_key": key, "first": a, "width": b - a - 1, "others": rng.choice([None, [{"row_key": key + 1000, "first": a}]])})
+                want.setdefault(key, set()).update(range(a, b))
+                if data[-1]["others"]:
+                    want.setdefault(key + 1000, set()).update(range(a, b))
+    places = pa.list_(pa.struct([("row_key", pa.int64()), ("first", pa.int64())]))
+    schema = pa.schema([("slice", pa.int64()), ("row_key", pa.int64()), ("first", pa.int64()), ("width", pa.int32()), ("others", places)])
+    batches = pa.Table.from_pylist(data, schema).to_batches(max_chunksize=rows)
+    out = [r for b in suffix_dedup._ranges_by_document(iter(batches)) for r in b.to_pylist()]
+    got = {}
+    for r in out:
+        for a, b in zip(r["starts"], r["ends"]):
+            got.setdefault(r["row_key"], set()).update(range(r["first"] + a, r["first"] + b))
+    assert got == want
+    slices_of = Counter(k for n in range(12) for k in {x["row_key"] for x in data if x["slice"] == n})
+    assert all(n <= slices_of[k] for k, n in Counter(r["row_key"] for r in out).items() if k < 1000)
